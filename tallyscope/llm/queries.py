@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyscope.llm.decontaminate import find_passages
 from tallyscope.llm.digest_index import scratch_index
+from tallyscope.llm.langid import identify
 from tallyscope.llm.line_dedup import drop_site_boilerplate
+from tallyscope.llm.lm_score import score_documents
 from tallyscope.llm.mixing import curriculum_mix, in_training_order
+from tallyscope.llm.ngram_join import jaccard_components
+from tallyscope.llm.pii import KINDS, find_personal_data
+from tallyscope.llm.toxicity import score_toxicity
 from tallyscope.llm.url_filters import Rule, filter_urls
 from tallyscope.sources.tables import table
 
@@ -28,6 +34,36 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_site_boilerplate(table(spark, sf_dir, "pages"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    number = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    listed = lambda spans: F.array_join(
+        F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ","
+    )
+    order = lambda x: F.array_position(F.array(*map(F.lit, KINDS)), x["kind"])
+    merged = F.array_sort(F.transform(F.concat("base", "added"), lambda x: F.struct(order(x).alias("at"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    return found.select(
+        "doc_id", *map(number, KINDS), F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(merged).alias("spans")
+    )
+
+
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return score_documents(table(spark, sf_dir, "documents"), good)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = in_training_order(curriculum_mix(table(spark, sf_dir, "documents")))
     return mix.select("doc_id", "size", "source_size", "target", "taken", "position")
@@ -37,11 +73,28 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scratch_index(spark).dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_line_dedup": op2_line_dedup,
+    "op3_decontamination": op3_decontamination,
+    "op4_pii": op4_pii,
+    "op5_ngram_join": op5_ngram_join,
+    "op6_lm_score": op6_lm_score,
+    "op7_language_id": op7_language_id,
     "op8_source_mix": op8_source_mix,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_toxicity": op10_toxicity,
+    "pipeline": pipeline,
 }
 
 SQL = {}
