@@ -13,6 +13,7 @@ from tallyscope.llm.lm_score import score_documents
 from tallyscope.llm.mixing import curriculum_mix, in_training_order
 from tallyscope.llm.ngram_join import jaccard_components
 from tallyscope.llm.pii import KINDS, find_personal_data
+from tallyscope.llm.sql import SQL  # noqa: F401
 from tallyscope.llm.toxicity import score_toxicity
 from tallyscope.llm.url_filters import Rule, filter_urls
 from tallyscope.sources.tables import table
@@ -97,4 +98,4 @@ QUERIES = {
     "pipeline": pipeline,
 }
 
-SQL = {}
+

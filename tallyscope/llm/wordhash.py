@@ -55,10 +55,9 @@ _powers: list[np.ndarray] = []
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         size = max(n, 2 * PIECE)
-        _powers[:] = [
-            np.cumprod(np.concatenate(([1], np.full(size - 1, x, dtype=np.uint64))).astype(np.uint64), dtype=np.uint64)
-            for x in (BASE, INVERSE)
-        ]
+        tables = np.empty((2, size), dtype=np.uint64)
+        tables[:, 0], tables[0, 1:], tables[1, 1:] = 1, BASE, INVERSE
+        _powers[:] = [np.cumprod(row, dtype=np.uint64) for row in tables]
     return _powers[0][:n], _powers[1][:n]
 
 
