@@ -2,8 +2,8 @@
 
 Patterns give the base spans. The field labels what they leave open: its nodes are the tokens with a digit or an @
 (other tokens are clamped to "none"). Potentials come from a token's shape and cue words, from adjacent tokens (the
-chain) and from repeated or similar tokens anywhere in the document (the skip edges: equal tokens, equal local parts of
-addresses, equal last seven digits). Loopy message passing spreads the labels of the base spans, which are observed,
+chain) and from repeated or similar tokens anywhere in the document (the skip edges: equal tokens with letters, equal
+local parts of addresses, equal last seven digits). Loopy message passing spreads the labels of the base spans, which are observed,
 along both kinds of edge, so that one entity is labelled alike throughout its document.
 """
 
@@ -24,6 +24,10 @@ MAX_TRAIN_DOCS = 20_000
 ROUNDS = 12
 #: Posterior from which a token that no base span covers becomes a span of its own.
 CERTAIN = 0.5
+#: Share of the tokens without a base span that are taken to be entities the patterns miss.
+MISSED = 0.1
+#: Pseudo-counts of skip edges whose ends share a label, and don't, before any are seen.
+AGREEMENT = (20.0, 0.5)
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -127,8 +131,9 @@ def tokens(text: str, spans: list[tuple[int, int, int]]) -> list[Token]:
             at += 1
         label = next((1 + k for s, e, k in ordered[at : at + 8] if s < end and e > start), 0)
         digits = NOT_DIGIT.sub("", word)
-        low, keys = word.lower(), []
-        keys.append("w" + low.partition("@")[0])
+        low, keys = word.lower().partition("@")[0], []
+        if len(low) >= 4 and any(c.isalpha() for c in low):
+            keys.append("w" + low)
         if len(digits) >= 7:
             keys.append("d" + digits[-7:])
         left = text[max(0, start - 24) : start].rstrip(" :=\n\t").rpartition(" ")[2].lower()
@@ -208,7 +213,7 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nodes = tokens(text, base_spans(text)) if text and MAYBE.search(text) else []
             seen = [("unary", x.shape, x.label) for x in nodes]
             seen += [("chain", a.label, b.label) for a, b in zip(nodes, nodes[1:], strict=False) if b.joined]
-            seen += [("skip", nodes[i].label, nodes[j].label) for i, j in skip_edges(nodes)]
+            seen += [("skip", nodes[i].label, nodes[j].label) for i, j in skip_edges(nodes) if nodes[i].label and nodes[j].label]
             for key in seen:
                 counts[key] = counts.get(key, 0) + 1
         rows = [(*k, n) for k, n in sorted(counts.items())]
@@ -219,8 +224,9 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn_field(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Field:
-    """Potentials from the base spans of about `max_docs` whole texts: a logistic regression of label on shape, and
-    smoothed pointwise mutual information of the labels along either kind of edge."""
+    """Potentials from the base spans of about `max_docs` whole texts: a logistic regression of label on shape,
+    smoothed pointwise mutual information of the labels along chain edges, and along skip edges the log odds that ends
+    which both lie in base spans share a label (an end outside says nothing: the patterns may have missed it)."""
     n = docs.count()
     share = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 20)) / float(1 << 20)
     drawn = docs.where(share < F.lit(max_docs / max(n, 1))).select("text")
@@ -235,22 +241,22 @@ def learn_field(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Field:
         shape, label, count = (np.array(x) for x in zip(*unary, strict=True))
         bits = ((shape[:, None] >> np.arange(SHAPE_BITS)) & 1).astype(float)
         aim, share_ = np.eye(labels)[label], count / count.sum()
+        aim[label == 0] = [1 - MISSED, *[MISSED / len(KINDS)] * len(KINDS)]
         for _ in range(400):
             off = (_softmax(bits @ weights + bias) - aim) * share_[:, None]
             weights -= 4.0 * (bits.T @ off + 1e-4 * weights)
             bias -= 4.0 * off.sum(0)
-    edges = []
-    for what in ("chain", "skip"):
-        table = np.full((labels, labels), 0.5)
-        for r in rows:
-            if r["what"] == what:
-                table[r["a"], r["b"]] += r["n"] / 2
-                table[r["b"], r["a"]] += r["n"] / 2
-        joint = table / table.sum()
-        edges.append(np.clip(np.log(joint / (joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True))), -4.0, 4.0))
-    # agreement along a skip edge is what the model is for: it is never discouraged for want of examples
-    edges[1][np.diag_indices(labels)] = np.maximum(edges[1][np.diag_indices(labels)], 1.0)
-    return Field(weights, bias, *edges)
+    table = np.full((labels, labels), 0.5)
+    agree, differ = AGREEMENT
+    for r in rows:
+        if r["what"] == "chain":
+            table[r["a"], r["b"]] += r["n"]
+        elif r["what"] == "skip":
+            agree, differ = (agree + r["n"], differ) if r["a"] == r["b"] else (agree, differ + r["n"])
+    joint = table / table.sum()
+    chain = np.clip(np.log(joint / (joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True))), -4.0, 4.0)
+    skip = np.eye(labels) * np.clip(np.log(agree / differ), 1.0, 4.0)
+    return Field(weights, bias, chain, skip)
 
 
 def added_spans(texts: list[str], bases: list[list[tuple[int, int, int]]], field: Field) -> list[list[tuple[int, int, int]]]:
