@@ -3,8 +3,8 @@
 Patterns give the base spans. The field labels what they leave open: its nodes are the tokens with a digit or an @
 (other tokens are clamped to "none"). Potentials come from a token's shape and cue words, from adjacent tokens (the
 chain) and from repeated or similar tokens anywhere in the document (the skip edges: equal tokens with letters, equal
-local parts of addresses, equal last seven digits). Loopy message passing spreads the labels of the base spans, which are observed,
-along both kinds of edge, so that one entity is labelled alike throughout its document.
+local parts of addresses, equal last seven digits). Loopy message passing spreads the labels of the base spans, which
+are observed, along both kinds of edge, so that one entity is labelled alike throughout its document.
 """
 
 from __future__ import annotations
@@ -211,7 +211,9 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, int, int], int] = {}
         for text in batch.column("text").to_pylist():
             nodes = tokens(text, base_spans(text)) if text and MAYBE.search(text) else []
-            seen = [("unary", x.shape, x.label) for x in nodes]
+            # the later tokens of a span of several look like any number: they say nothing about shapes
+            later = {i for i in range(1, len(nodes)) if nodes[i].joined and nodes[i].label == nodes[i - 1].label > 0}
+            seen = [("unary", x.shape, x.label) for i, x in enumerate(nodes) if i not in later]
             seen += [("chain", a.label, b.label) for a, b in zip(nodes, nodes[1:], strict=False) if b.joined]
             seen += [("skip", nodes[i].label, nodes[j].label) for i, j in skip_edges(nodes) if nodes[i].label and nodes[j].label]
             for key in seen:
@@ -234,6 +236,11 @@ def learn_field(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Field:
         drawn.mapInArrow(_evidence, "what string, a long, b long, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n"))
         .orderBy("what", "a", "b").collect()
     )  # fmt: skip  # shapes and labels only: a few thousand rows at most
+    return fit_field(rows)
+
+
+def fit_field(rows: list) -> Field:
+    """Potentials from the rows (what, a, b, n) of _evidence."""
     labels = 1 + len(KINDS)
     unary = [(r["a"], r["b"], r["n"]) for r in rows if r["what"] == "unary"]
     weights, bias = np.zeros((SHAPE_BITS, labels)), np.zeros(labels)
