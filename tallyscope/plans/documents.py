@@ -372,7 +372,7 @@ def budgeted_risk_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     "q31_active_sampling",
     """WITH r AS (
   SELECT d.doc_id, d.source, coalesce(1 - abs(l.quality - 0.5::double), 1::double) AS uncertainty, coalesce((l.quality = 1 AND l.toxic = 1)::int::double, 0::double) AS disagreement,
-    coalesce(l.toxic::double, 0::double) AS severity, least(1::double, length(coalesce(d.text, '')) / 5000::double) AS value,
+    coalesce(l.toxic::double, 0::double) AS severity, least(1::double, length(coalesce(d.text, '')) / 4993::double) AS value,
     ('0x' || sha256(d.doc_id::varchar)[1:8])::bigint / 4294967295::double AS rnd,
     1::double / (1::double + (row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) - 1)) AS bonus
   FROM documents d LEFT JOIN labels l USING (doc_id))
@@ -386,7 +386,7 @@ def rank_for_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(lit(1) - F.abs(F.col("quality") - lit(0.5)), lit(1)).alias("uncertainty"),
         F.coalesce(((F.col("quality") == 1) & (F.col("toxic") == 1)).cast("double"), lit(0)).alias("disagreement"),
         F.coalesce(F.col("toxic").cast("double"), lit(0)).alias("severity"),
-        F.least(lit(1), F.length(F.coalesce("text", F.lit(""))) / lit(5000)).alias("value"),
+        F.least(lit(1), F.length(F.coalesce("text", F.lit(""))) / lit(4993)).alias("value"),
     )
     return active_sampling(r).select(F.col("record").alias("doc_id"), round6(F.col("bonus")).alias("bonus"), round6(F.col("score")).alias("score"))
 

@@ -14,7 +14,7 @@ WEIGHTS = {"length": 0.5, "lines": 0.3, "quality": 0.2}
 
 ROWS = """
 m AS (
-  SELECT d.doc_id, d.source, least(1::double, length(coalesce(text, '')) / 4000::double) AS s_length, least(1::double, len(string_split(coalesce(text, ''), chr(10))) / 8::double) AS s_lines,
+  SELECT d.doc_id, d.source, least(1::double, length(coalesce(text, '')) / 3989::double) AS s_length, least(1::double, len(string_split(coalesce(text, ''), chr(10))) / 8::double) AS s_lines,
     l.quality::double AS s_quality, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)),
 w AS (SELECT *, (0.5::double * s_length + 0.3::double * s_lines + coalesce(0.2::double * s_quality, 0::double)) / (0.5::double + 0.3::double + CASE WHEN s_quality IS NULL THEN 0::double ELSE 0.2::double END) AS mean FROM m),
 g AS (
@@ -30,7 +30,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document with its measures and labels."""
     text = F.coalesce("text", F.lit(""))
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").select(
-        "doc_id", "source", F.least(lit(1), F.length(text) / lit(4000)).alias("length"), F.least(lit(1), F.size(F.split(text, "\n")) / lit(8)).alias("lines"),
+        "doc_id", "source", F.least(lit(1), F.length(text) / lit(3989)).alias("length"), F.least(lit(1), F.size(F.split(text, "\n")) / lit(8)).alias("lines"),
         F.col("quality").cast("double").alias("quality"), "toxic",
     )
 
