@@ -125,28 +125,48 @@ def find_regions(data: np.ndarray, offsets: np.ndarray, index: Passages) -> np.n
     # cells of e + 1 diagonals; a band is two neighbouring cells, so any e + 1 neighbours lie within one
     cell = place // (index.edit[segment] + 1)
     both, pair = np.unique(doc * len(index.text) + segment, return_inverse=True)
-    band, count = np.unique(np.concatenate([pair, pair]) << 32 | np.concatenate([cell, cell - 1]), return_counts=True)
-    good = count >= index.need[both[band >> 32] % len(index.text)]
-    band = band[good]
+    key = np.concatenate([pair, pair]) << 32 | np.concatenate([cell, cell - 1])
+    band, at_band, count = np.unique(key, return_inverse=True, return_counts=True)
+    need = index.need[both[band >> 32] % len(index.text)]
+    # the bound is on places of the segment, so one that is met again and again counts once
+    some = (count >= need)[at_band]
+    spot = np.unique(at_band[some] << 20 | np.tile(index.place[entry], 2)[some])
+    band = band[np.bincount(spot >> 20, minlength=len(band)) >= need]
     doc, segment = np.divmod(both[band >> 32], len(index.text))
     first = (band & ((1 << 32) - 1)) * (index.edit[segment] + 1) - LEAD + offsets[doc]
     return np.stack([doc, segment, first], 1)
 
 
-def banded_edits(pattern: bytes, region: bytes, lead: int, width: int) -> int:
-    """The least number of edits that turn `pattern` into a run of `region` which begins at one of the `width` places
-    from `lead` on, along diagonals from `lead` to the end of the band (`lead` before it, too)."""
-    lanes = width + 2 * lead
-    p, t = np.frombuffer(pattern, dtype=np.uint8), np.full(len(pattern) + lanes, 0xFF, dtype=np.uint8)
-    own = np.frombuffer(region, dtype=np.uint8)[: len(t)]
-    t[: len(own)] = own
-    step = np.arange(lanes)
-    row = np.zeros(lanes, dtype=np.int64)
-    for i in range(len(p)):
-        change = row + (t[i : i + lanes] != p[i])
-        change[:-1] = np.minimum(change[:-1], row[1:] + 1)
-        row = np.minimum.accumulate(change - step) + step
-    return int(row.min())
+def banded_edits(patterns: np.ndarray, regions: np.ndarray, lanes: int) -> np.ndarray:
+    """For each row the least number of edits that turn the pattern into a run of the region, along the diagonals that
+    begin at its first `lanes` places. `patterns` has n columns, `regions` n + lanes."""
+    step = np.arange(lanes, dtype=np.int16)
+    row = np.zeros((len(patterns), lanes), dtype=np.int16)
+    for i in range(patterns.shape[1]):
+        change = row + (regions[:, i : i + lanes] != patterns[:, i : i + 1])
+        np.minimum(change[:, :-1], row[:, 1:] + 1, out=change[:, :-1])
+        change -= step
+        row = np.minimum.accumulate(change, axis=1) + step
+    return row.min(1)
+
+
+def align_regions(segments: np.ndarray, regions: list[bytes], index: Passages, at_once: int = 2000) -> np.ndarray:
+    """The edits of each region's segment within its band; regions of one shape are aligned side by side."""
+    out = np.zeros(len(regions), dtype=np.int64)
+    size = np.array([len(t) for t in index.text], dtype=np.int64)[segments]
+    for n in np.unique(size):
+        rows = np.flatnonzero(size == n)
+        lanes = band_lanes(index.edits[segments[rows[0]]])
+        for own in (rows[k : k + at_once] for k in range(0, len(rows), at_once)):
+            patterns = np.frombuffer(b"".join(index.text[s] for s in segments[own]), dtype=np.uint8).reshape(len(own), n)
+            padded = np.frombuffer(b"".join(regions[i][: n + lanes].ljust(n + lanes, b"\xff") for i in own), dtype=np.uint8)
+            out[own] = banded_edits(patterns, padded.reshape(len(own), n + lanes), lanes)
+    return out
+
+
+def band_lanes(edits: int) -> int:
+    """Diagonals that are aligned: two cells of edits + 1, and as many as edits reach on either side."""
+    return 2 * (edits + 1) + 2 * edits
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -> DataFrame:
@@ -212,15 +232,12 @@ def _search_block(docs: DataFrame, shared) -> DataFrame:
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            edits = []
-            for segment, region in zip(batch.column("segment").to_pylist(), batch.column("region").to_pylist(), strict=True):
-                text, e = index.text[segment], index.edits[segment]
-                edits.append(0 if text in region else banded_edits(text, region, e, 2 * (e + 1)))
-            most = [index.edits[s] for s in batch.column("segment").to_pylist()]
-            good = pa.array([x <= m for x, m in zip(edits, most, strict=True)], pa.bool_())
+            segments = batch.column("segment").to_numpy()
+            edits = align_regions(segments, batch.column("region").to_pylist(), index)
+            good = pa.array(edits <= index.edit[segments], pa.bool_())
             item = pa.array([index.item[s] for s in batch.column("segment").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [x.filter(good) for x in (batch.column("doc_id"), item, batch.column("start"), batch.column("end"), pa.array(edits, pa.int64()))],
+                [x.filter(good) for x in (batch.column("doc_id"), item, batch.column("start"), batch.column("end"), pa.array(edits))],
                 ["doc_id", "item_id", "start", "end", "edits"],
             )
 

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.llm.common import materialize
@@ -28,10 +28,13 @@ from tallyscope.llm.components import connected_components
 from tallyscope.llm.wordhash import Words, mix, pieces
 
 #: Bins of the minimum-hash sketch and bins for each band.
-BINS, BAND = 32, 4
-#: Tokens that go to the end of the common order, at most; they are broadcast (8 bytes each). This order only decides
-#: which tokens make up a prefix; the join is exact under any.
-MAX_FREQUENT = 200_000
+BINS, BAND = 32, 2
+#: Leaders of a band: its central set and others by different hashes.
+LEADERS = 4
+#: Tokens that go to the end of the common order, at most; they are broadcast (8 bytes each). They are those that repeat
+#: within a batch of documents, the most frequent first. This order only decides which tokens make up a prefix: the
+#: join is exact under any, but a prefix of rare tokens meets few others.
+MAX_FREQUENT = 500_000
 
 STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
                   0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
@@ -72,6 +75,29 @@ def bands(tokens: np.ndarray) -> np.ndarray:
     return mix((least * STEPS[:BAND]).sum(1, dtype=np.uint64) + np.arange(len(least)).astype(np.uint64)).view(np.int64)
 
 
+def parity_map(tokens: np.ndarray) -> np.ndarray:
+    """64-bit words of which each bit tells whether an even or odd number of tokens fall on it; two words or more for
+    every 64 tokens. Two maps differ in no more bits than their sets differ in tokens, also when the longer one is
+    folded to the length of the shorter."""
+    bits = 64 << max(0, int(np.ceil(np.log2(max(len(tokens), 1) / 32))))
+    odd = np.bincount((mix(tokens ^ STEPS[3]) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _fold(longer: Column, shorter: Column) -> Column:
+    n = F.size(shorter)
+    half = F.zip_with(F.slice(longer, 1, n), F.slice(longer, n + 1, n), lambda a, b: a.bitwiseXOR(b))
+    return F.when(F.size(longer) == 2 * n, half).otherwise(longer)
+
+
+def _may_link(x: Column, y: Column, a: Column, b: Column, t: int) -> Column:
+    """False if the parity maps x and y of sets of sizes a and b rule out a similarity of t percent. Maps whose lengths
+    are more than one doubling apart aren't compared."""
+    p, q = _fold(x, y), _fold(y, x)
+    off = F.aggregate(F.zip_with(p, q, lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda s, c: s + c)
+    return (F.size(p) != F.size(q)) | ((100 + t) * off <= (100 - t) * (a + b))
+
+
 def prefix_of(tokens: np.ndarray, frequent: np.ndarray, t: int) -> np.ndarray:
     """The first tokens of a set in the common order (frequent ones last, then by hash), so many that any set of t
     percent similarity shares one of them."""
@@ -100,19 +126,20 @@ def _describe(width: int, t: int):
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([signature(s) if f else None for s, f in zip(sets, full, strict=True)], pa.int64()),
                         pa.array([bands(s) if f else [] for s, f in zip(sets, full, strict=True)], pa.list_(pa.int64())),
+                        pa.array([parity_map(s) if f else [] for s, f in zip(sets, full, strict=True)], pa.list_(pa.int64())),
                         pa.nulls(len(sets), pa.int64()),
                         pa.nulls(len(sets), pa.int64()),
                     ],
-                    ["doc_id", "n_shingles", "cls", "bands", "token", "df"],
+                    ["doc_id", "n_shingles", "cls", "bands", "map", "token", "df"],
                 )
             if early:
                 token, df = np.unique(np.concatenate(early), return_counts=True)
-                often = df >= max(8, docs // 500)
+                often = df >= 2
                 k = int(often.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int64())),
+                    [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), *[pa.nulls(k, pa.list_(pa.int64()))] * 2,
                      pa.array(token[often].view(np.int64)), pa.array(df[often].astype(np.int64))],
-                    ["doc_id", "n_shingles", "cls", "bands", "token", "df"],
+                    ["doc_id", "n_shingles", "cls", "bands", "map", "token", "df"],
                 )
 
     return run
@@ -171,13 +198,16 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("doc_id"), "text")
     told = materialize(
         docs.mapInArrow(
-            _describe(width, percent), "doc_id long, n_shingles long, cls long, bands array<long>, token long, df long"
+            _describe(width, percent), "doc_id long, n_shingles long, cls long, bands array<long>, map array<long>, token long, df long"
         ),
         "described",
     )
     own = told.where("n_shingles is not null").select("doc_id", "n_shingles", "cls")
     classes = materialize(
-        told.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "classes"
+        told.where("cls is not null").groupBy("cls").agg(
+            F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "map")]
+        ),
+        "classes",
     )
     links = _leader_links(classes, docs, width, percent)
     labels = materialize(_labels(classes.select("cls"), links), "labels")
@@ -185,7 +215,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     top = top.orderBy(F.desc("df"), "token").limit(MAX_FREQUENT).select("token").toArrow()
     frequent = spark.sparkContext.broadcast(np.sort(top.column("token").to_numpy().astype(np.int64).view(np.uint64)))
     reps = materialize(classes.select("cls", "doc_id").join(labels, "cls"), "representatives")
-    across = _links_across(reps, docs, frequent, width, percent)
+    across = _links_across(reps, classes, docs, frequent, width, percent)
     labels = materialize(_labels(classes.select("cls"), links.unionByName(across)), "labels")
     named = materialize(own.join(labels, "cls", "left"), "named")
     heads = materialize(named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id")), "heads")
@@ -199,21 +229,33 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
 
 def _leader_links(classes: DataFrame, docs: DataFrame, width: int, t: int) -> DataFrame:
-    """Links between a class and the leaders of its bands: each band has one, so these grow with the classes alone."""
+    """Links between a class and the leaders of its bands: each band has a few, so these grow with the classes alone."""
     banded = classes.select("cls", F.posexplode("bands").alias("band", "value"))
-    rank = F.xxhash64(F.col("cls"), F.col("band") % 2)
-    leader = F.min(F.struct(rank.alias("rank"), F.col("cls").alias("leader")))
-    heads = banded.groupBy("band", "value").agg(leader.alias("head"), F.count("*").alias("n")).where("n > 1")
-    heads = materialize(heads.select("band", "value", F.col("head.leader").alias("leader")), "leaders")
+    shared = banded.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
+    banded = materialize(banded.join(shared, ["band", "value"]), "bands")
+    # the set that shares its bands with most others lies in the middle of its group: it links with more than others do
+    known = banded.groupBy("cls").agg(F.sum("n").alias("known"))
+    first = F.max(F.struct(F.col("known"), F.xxhash64("cls").alias("rank"), F.col("cls").alias("leader")))
+    others = [F.max(F.struct(F.xxhash64(F.col("cls"), F.lit(i)).alias("rank"), F.col("cls").alias("leader"))) for i in range(1, LEADERS)]
+    heads = banded.join(known, "cls").groupBy("band", "value").agg(F.array(*[x["leader"] for x in (first, *others)]).alias("leaders"))
+    heads = materialize(heads, "leaders")
     pairs = (
-        banded.join(heads, ["band", "value"]).where("cls <> leader")
+        banded.join(heads, ["band", "value"]).select("cls", F.explode(F.array_distinct("leaders")).alias("leader")).where("cls <> leader")
         .select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct()
     )
     pairs = materialize(pairs, "leader-pairs")
-    return materialize(_verify(pairs, docs, classes.select("cls", "doc_id"), width, t), "leader-links")
+    return materialize(_verify(_possible(pairs, classes, t), docs, classes, width, t), "leader-links")
+
+
+def _possible(pairs: DataFrame, classes: DataFrame, t: int) -> DataFrame:
+    """The pairs (a, b) of classes that their parity maps don't rule out."""
+    own = lambda x: classes.select(F.col("cls").alias(x), F.col("map").alias(f"map_{x}"), F.col("n_shingles").alias(f"n_{x}"))
+    held = pairs.join(own("a"), "a").join(own("b"), "b")
+    fits = _may_link(F.col("map_a"), F.col("map_b"), F.col("n_a"), F.col("n_b"), t)
+    return materialize(held.where(fits).select("a", "b"), "possible")
 
 
-def _links_across(reps: DataFrame, docs: DataFrame, frequent, width: int, t: int) -> DataFrame:
+def _links_across(reps: DataFrame, classes: DataFrame, docs: DataFrame, frequent, width: int, t: int) -> DataFrame:
     """All links between classes of different components of `reps` (cls, doc_id, comp)."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,10 +297,16 @@ def _links_across(reps: DataFrame, docs: DataFrame, frequent, width: int, t: int
         F.col("x.comp").alias("p"), F.col("y.comp").alias("q")
     )
     met = materialize(met.distinct(), "blocks")
-    if met.isEmpty():
-        return met.select(F.col("p").alias("a"), F.col("q").alias("b"))
-    some = met.select(F.explode(F.array("p", "q")).alias("comp")).distinct()
+    many = reps.groupBy("comp").agg(F.count("*").alias("n")).where("n > 1").select("comp")
+    many = materialize(many, "many")
+    wide = lambda x: many.select(F.col("comp").alias(x), F.lit(True).alias(f"many_{x}"))
+    met = met.join(wide("p"), "p", "left").join(wide("q"), "q", "left")
+    met = met.select("p", "q", F.coalesce("many_p", "many_q", F.lit(False)).alias("wide"))
+    # a component of one class is that class: its blocks are its entries
+    alone = met.where("not wide").select(F.col("p").alias("a"), F.col("q").alias("b"))
+    some = met.where("wide").select(F.explode(F.array("p", "q")).alias("comp")).distinct()
     opened = reps.join(some, "comp", "left_semi").join(docs, "doc_id").select("cls", "comp", "text")
+    grouped = many.withColumn("many", F.lit(True))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(token, comp, cls, size, rest) for every set and token of its prefix."""
@@ -280,18 +328,20 @@ def _links_across(reps: DataFrame, docs: DataFrame, frequent, width: int, t: int
                         ["token", "comp", "cls", "size", "rest"],
                     )
 
-    lists = materialize(opened.mapInArrow(entries, "token long, comp long, cls long, size int, rest int"), "lists")
+    lists = opened.mapInArrow(entries, "token long, comp long, cls long, size int, rest int").join(grouped, "comp", "left")
+    lists = materialize(lists.withColumn("many", F.coalesce("many", F.lit(False))), "lists")
     x, y = lists.alias("x"), lists.alias("y")
     fits = (
         (F.col("x.comp") < F.col("y.comp"))
+        & (F.col("x.many") | F.col("y.many"))
         & (100 * F.least("x.size", "y.size") >= t * F.greatest("x.size", "y.size"))
         & ((100 + t) * F.least("x.rest", "y.rest") >= t * (F.col("x.size") + F.col("y.size")))
     )
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(
         F.col("x.cls").alias("a"), F.col("y.cls").alias("b")
     )
-    pairs = materialize(pairs.distinct(), "pairs")
-    return materialize(_verify(pairs, docs, reps.select("cls", "doc_id"), width, t), "links")
+    pairs = materialize(pairs.distinct().unionByName(alone), "pairs")
+    return materialize(_verify(_possible(pairs, classes, t), docs, classes, width, t), "links")
 
 
 def keep_representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -299,4 +349,4 @@ def keep_representatives(docs: DataFrame, width: int = 5, percent: int = 80) ->
     stays; of repeated rows, all)."""
     found = jaccard_components(docs, width, percent)
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    return docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
