@@ -32,9 +32,11 @@ BINS, BAND = 32, 2
 #: Leaders of a band: its central set and others by different hashes.
 LEADERS = 4
 #: Tokens that go to the end of the common order, at most; they are broadcast (8 bytes each). They are those that repeat
-#: within a batch of documents, the most frequent first. This order only decides which tokens make up a prefix: the
-#: join is exact under any, but a prefix of rare tokens meets few others.
+#: within some neighbouring documents, the most frequent first. This order only decides which tokens make up a prefix:
+#: the join is exact under any, but a prefix of rare tokens meets few others.
 MAX_FREQUENT = 500_000
+#: Tokens of neighbouring documents that are counted at once.
+COUNTED = 4_000_000
 
 STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
                   0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
@@ -111,14 +113,28 @@ def prefix_of(tokens: np.ndarray, frequent: np.ndarray, t: int) -> np.ndarray:
     return tokens[:length]
 
 
-def _describe(width: int, t: int):
+def _repeated(sets: list[np.ndarray]) -> pa.RecordBatch:
+    token, df = np.unique(np.concatenate(sets), return_counts=True)
+    often = df >= 2
+    k = int(often.sum())
+    return pa.RecordBatch.from_arrays(
+        [*[pa.nulls(k, pa.int64())] * 3, *[pa.nulls(k, pa.list_(pa.int64()))] * 2,
+         pa.array(token[often].view(np.int64)), pa.array(df[often].astype(np.int64))],
+        ["doc_id", "n_shingles", "cls", "bands", "map", "token", "df"],
+    )
+
+
+def _describe(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            early, docs = [], 0
             for rows, data, offsets in pieces(batch, "text"):
                 sets = shingle_sets(data, offsets, width)
-                early += [s[: -(-2 * len(s) * (100 - t) // 100)] for s in sets]
-                docs += len(sets)
+                held += sets
+                n += sum(map(len, sets))
+                if n >= COUNTED:
+                    yield _repeated(held)
+                    held, n = [], 0
                 full = [len(s) > 0 for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -132,15 +148,8 @@ def _describe(width: int, t: int):
                     ],
                     ["doc_id", "n_shingles", "cls", "bands", "map", "token", "df"],
                 )
-            if early:
-                token, df = np.unique(np.concatenate(early), return_counts=True)
-                often = df >= 2
-                k = int(often.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), *[pa.nulls(k, pa.list_(pa.int64()))] * 2,
-                     pa.array(token[often].view(np.int64)), pa.array(df[often].astype(np.int64))],
-                    ["doc_id", "n_shingles", "cls", "bands", "map", "token", "df"],
-                )
+        if held:
+            yield _repeated(held)
 
     return run
 
@@ -198,7 +207,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("doc_id"), "text")
     told = materialize(
         docs.mapInArrow(
-            _describe(width, percent), "doc_id long, n_shingles long, cls long, bands array<long>, map array<long>, token long, df long"
+            _describe(width), "doc_id long, n_shingles long, cls long, bands array<long>, map array<long>, token long, df long"
         ),
         "described",
     )
