@@ -10,7 +10,7 @@ Two relations between sets spare most of the work of a prefix-filter join, and n
   position; a list within one component yields nothing, and blocks whose bounds exclude each other are skipped whole.
 
 Only what is left, blocks of different components that their bounds can't part, is opened into pairs of sets, which
-are filtered by size and position one by one and then compared exactly. Every pair of classes at or above the
+are filtered by size, position and parity map one by one and then compared exactly. Every pair of classes at or above the
 threshold shares a prefix token, so each is either inside one component or among these.
 """
 
@@ -35,6 +35,8 @@ LEADERS = 4
 #: within some neighbouring documents, the most frequent first. This order only decides which tokens make up a prefix:
 #: the join is exact under any, but a prefix of rare tokens meets few others.
 MAX_FREQUENT = 500_000
+#: Columns of 64 bits in the parity map of fixed length that travels with the index entries.
+SKETCH = [f"s{i}" for i in range(8)]
 #: Tokens of neighbouring documents that are counted at once.
 COUNTED = 4_000_000
 
@@ -86,6 +88,13 @@ def parity_map(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """A parity map of as many words as SKETCH has names."""
+    bits = 64 * len(SKETCH)
+    odd = np.bincount((mix(tokens ^ STEPS[3]) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _fold(longer: Column, shorter: Column) -> Column:
     n = F.size(shorter)
     half = F.zip_with(F.slice(longer, 1, n), F.slice(longer, n + 1, n), lambda a, b: a.bitwiseXOR(b))
@@ -318,14 +327,16 @@ def _links_across(reps: DataFrame, classes: DataFrame, docs: DataFrame, frequent
     grouped = many.withColumn("many", F.lit(True))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(token, comp, cls, size, rest) for every set and token of its prefix."""
+        """(token, comp, cls, size, rest) and the sketch for every set and token of its prefix."""
         for batch in batches:
             for part, sets in _own_sets(batch, "text", width):
                 own = part.column("comp").to_pylist(), part.column("cls").to_pylist()
                 token, rows, rest = [], [], []
+                maps = np.zeros((len(sets), len(SKETCH)), dtype=np.int64)
                 for i, s in enumerate(sets):
                     if len(s) and signature(s) == own[1][i]:
                         p = prefix_of(s, frequent.value, t)
+                        maps[i] = sketch(s)
                         token.append(p.view(np.int64))
                         rows.append(np.full(len(p), i))
                         rest.append(len(s) - np.arange(len(p)))
@@ -333,18 +344,22 @@ def _links_across(reps: DataFrame, classes: DataFrame, docs: DataFrame, frequent
                     rows = np.concatenate(rows)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.concatenate(token)), pa.array(np.array(own[0], dtype=np.int64)[rows]), pa.array(np.array(own[1], dtype=np.int64)[rows]),
-                         pa.array(np.array([len(s) for s in sets], dtype=np.int32)[rows]), pa.array(np.concatenate(rest).astype(np.int32))],
-                        ["token", "comp", "cls", "size", "rest"],
+                         pa.array(np.array([len(s) for s in sets], dtype=np.int32)[rows]), pa.array(np.concatenate(rest).astype(np.int32)),
+                         *[pa.array(maps[rows, k]) for k in range(len(SKETCH))]],
+                        ["token", "comp", "cls", "size", "rest", *SKETCH],
                     )
 
-    lists = opened.mapInArrow(entries, "token long, comp long, cls long, size int, rest int").join(grouped, "comp", "left")
+    shape = "token long, comp long, cls long, size int, rest int, " + ", ".join(f"{k} long" for k in SKETCH)
+    lists = opened.mapInArrow(entries, shape).join(grouped, "comp", "left")
     lists = materialize(lists.withColumn("many", F.coalesce("many", F.lit(False))), "lists")
     x, y = lists.alias("x"), lists.alias("y")
+    off = sum((F.bit_count(F.col(f"x.{k}").bitwiseXOR(F.col(f"y.{k}"))) for k in SKETCH[1:]), F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))))
     fits = (
         (F.col("x.comp") < F.col("y.comp"))
         & (F.col("x.many") | F.col("y.many"))
         & (100 * F.least("x.size", "y.size") >= t * F.greatest("x.size", "y.size"))
         & ((100 + t) * F.least("x.rest", "y.rest") >= t * (F.col("x.size") + F.col("y.size")))
+        & ((100 + t) * off <= (100 - t) * (F.col("x.size") + F.col("y.size")))
     )
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(
         F.col("x.cls").alias("a"), F.col("y.cls").alias("b")
