@@ -285,17 +285,17 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "q07_source_claim_alignment",
     f"""WITH {CLAIMS},
-d AS (SELECT doc_id, {TOKENS.format("text")} AS held FROM documents WHERE doc_id < 40),
-s AS (SELECT item_id, ord, doc_id, {TOKENS.format("claim")} AS need, held, regexp_matches(claim, '[0-9]') AS numeric FROM claims JOIN d ON doc_id = item_id)
+d AS (SELECT doc_id, {TOKENS.format("text")} AS held FROM documents),
+s AS (SELECT item_id, ord, doc_id, {TOKENS.format("claim")} AS need, held, regexp_matches(claim, '[0-9]') AS numeric FROM claims JOIN d ON doc_id % 40 = item_id)
 SELECT item_id, ord, doc_id, round(CASE WHEN len(need) > 0 THEN len(list_intersect(need, held))::double / len(need) END, 6) AS score,
   CASE WHEN len(need) = 0 THEN NULL WHEN numeric AND len(list_intersect(need, held))::double / len(need) < 0.5 THEN 'CRITICAL'
     WHEN len(list_intersect(need, held))::double / len(need) < 0.35 THEN 'MAJOR' WHEN len(list_intersect(need, held))::double / len(need) < 0.70 THEN 'MINOR' ELSE 'INFO' END AS severity
 FROM s""",
 )
 def source_claim_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The share of each claim's tokens in the source of its case (the document of the same number)."""
-    held = table(spark, sf_dir, "documents").where("doc_id < 40").select("doc_id", X.tokens(F.col("text")).alias("held"))
-    s = claims(spark, sf_dir).join(held, F.col("doc_id") == F.col("item_id"))
+    """The share of each claim's tokens in the sources of its case (each document is a source of one)."""
+    held = table(spark, sf_dir, "documents").select("doc_id", X.tokens(F.col("text")).alias("held"))
+    s = claims(spark, sf_dir).join(held, F.col("doc_id") % 40 == F.col("item_id"))
     score = X.recall(X.tokens(F.col("claim")), F.col("held"))
     severity = F.when(F.col("claim").rlike("[0-9]") & (score < 0.5), "CRITICAL").otherwise(severity_band(score))
     return s.select("item_id", "ord", "doc_id", round6(score).alias("score"), severity.alias("severity"))
@@ -322,17 +322,17 @@ def numeric_support(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "q09_key_point_recall",
     f"""WITH {CLAIMS},
-d AS (SELECT doc_id, {TOKENS.format("text")} AS held, {NORM.format("coalesce(text, '')")} AS hay FROM documents WHERE doc_id < 40),
-s AS (SELECT item_id, ord, {TOKENS.format("claim")} AS need, held, {NORM.format("claim")} AS needle, hay FROM claims JOIN d ON doc_id = item_id),
-r AS (SELECT item_id, ord, CASE WHEN needle <> '' AND contains(hay, needle) THEN 1::double WHEN len(need) = 0 THEN 0::double ELSE len(list_intersect(need, held))::double / len(need) END AS x FROM s)
-SELECT item_id, count(*) AS n_points, count(*) FILTER (WHERE x >= 0.5) AS n_covered, round(avg(x), 6) AS score FROM r GROUP BY item_id""",
+d AS (SELECT doc_id, {TOKENS.format("text")} AS held, {NORM.format("coalesce(text, '')")} AS hay FROM documents),
+s AS (SELECT item_id, ord, doc_id, {TOKENS.format("claim")} AS need, held, {NORM.format("claim")} AS needle, hay FROM claims JOIN d ON doc_id % 40 = item_id),
+r AS (SELECT item_id, doc_id, ord, CASE WHEN needle <> '' AND contains(hay, needle) THEN 1::double WHEN len(need) = 0 THEN 0::double ELSE len(list_intersect(need, held))::double / len(need) END AS x FROM s)
+SELECT item_id, doc_id, count(*) AS n_points, count(*) FILTER (WHERE x >= 0.5) AS n_covered, round(avg(x), 6) AS score FROM r GROUP BY item_id, doc_id""",
 )
 def key_point_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall of each passage's sentences in the document of its case."""
-    docs = table(spark, sf_dir, "documents").where("doc_id < 40").select("doc_id", F.coalesce("text", F.lit("")).alias("hay"))
-    s = claims(spark, sf_dir).join(docs, F.col("doc_id") == F.col("item_id"))
+    """Recall of each passage's sentences in each document of its case."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("hay"))
+    s = claims(spark, sf_dir).join(docs, F.col("doc_id") % 40 == F.col("item_id"))
     s = s.withColumn("x", X.token_recall(F.col("claim"), F.col("hay")))
-    return s.groupBy("item_id").agg(
+    return s.groupBy("item_id", "doc_id").agg(
         F.count(F.lit(1)).alias("n_points"), F.count_if(F.col("x") >= 0.5).alias("n_covered"), round6(F.avg("x")).alias("score")
     )
 
