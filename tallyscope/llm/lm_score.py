@@ -1,9 +1,10 @@
 """Cross-entropy difference: how much better a target-domain model codes a text than a background model.
 
 Two word bigram models of the same order, smoothing and vocabulary are counted over the whole corpus, one from the
-target texts and one from all texts. The vocabulary (the most frequent words, others counting as one unknown word)
-fixes the size of the models, vocab_size squared cells, so both travel to the tasks as one table of per-token loss
-differences whatever the corpus size.
+target texts and one from all texts. The vocabulary is every word of the corpus, so the models grow with it and are
+never gathered: the bigrams of the texts are dealt by their second word into buckets of bounded size, and a bucket
+counts its words and bigrams and adds up the bits of each text in the same pass. Words too frequent for one bucket are
+dealt by bigram, and bigrams too frequent by text; the counts of these few, fewer than a bound, travel to the tasks.
 """
 
 from __future__ import annotations
@@ -15,111 +16,216 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.llm.wordhash import Words, per_doc, pieces
+from tallyscope.llm.common import materialize
+from tallyscope.llm.wordhash import BASE, Words, mix, pieces
 
-#: Words of the shared vocabulary; two float tables of (VOCAB_SIZE + 2) squared cells are broadcast (8 MB).
-VOCAB_SIZE = 1022
 #: Weight of the unigram model in the bigram estimate, in pseudo-counts (Dirichlet smoothing).
 PRIOR = 200.0
+#: Bigrams of a bucket, on average; there are as many buckets as the corpus needs.
+BUCKET = 1 << 20
+#: A word that is an eighth of a bucket is dealt by bigram, a bigram that is half of one by text; in a large corpus only
+#: those of so large a share of all words, which bounds their number.
+HOT_WORD, HOT_PAIR = 1 / (1 << 16), 1 / (1 << 14)
+#: Bytes of text whose bigrams are dealt at once.
+DEALT = 4 << 20
 
 UNKNOWN, BEGIN = 0, 1
+ENTRY = np.dtype([("word", "<u8"), ("previous", "<u8"), ("key", "<i8"), ("flags", "u1")])
+#: Flags of an entry: its text is a target; its word is the last of the text.
+AIM, LAST = 1, 2
+COUNTS = ("n", "n_target", "n_last", "n_target_last")
 
 
-def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n): hashes of the lower-cased words and their counts in a batch."""
-    for batch in batches:
-        found = [Words(data, offsets).hashes().view(np.int64) for _, data, offsets in pieces(batch, "text")]
-        if found:
-            word, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n.astype(np.int64))], ["word", "n"])
+def coded(found: Words, vocab: np.ndarray | None) -> np.ndarray:
+    """The hashes of the words; UNKNOWN for words outside `vocab`, if there is one."""
+    words = found.hashes()
+    if vocab is None:
+        return words
+    return np.where(np.isin(words, vocab), words, np.uint64(UNKNOWN))
 
 
-def vocabulary(docs: DataFrame, size: int) -> np.ndarray:
-    """The hashes of the `size` most frequent words over all of `docs`, sorted; ties by hash."""
-    counted = docs.select("text").mapInArrow(count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(size).toArrow()
-    return np.sort(top.column("word").to_numpy())
+def flags_of(found: Words, aim: np.ndarray) -> np.ndarray:
+    """AIM and LAST of every word."""
+    flags = np.where(aim[found.doc] == 1, AIM, 0).astype(np.uint8)
+    flags[found.first[1:][found.first[:-1] < found.first[1:]] - 1] |= LAST
+    return flags
 
 
-def word_ids(words: np.ndarray, vocab: np.ndarray) -> np.ndarray:
-    """Numbers from 2 in the order of `vocab`; UNKNOWN for words outside it."""
-    if len(vocab) == 0:
-        return np.zeros(len(words), dtype=np.int64)
-    at = np.minimum(np.searchsorted(vocab, words), len(vocab) - 1)
-    return np.where(vocab[at] == words, at + 2, UNKNOWN)
+def tally(values: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values, the place of each value among them, and COUNTS (rows) of each."""
+    own, place = np.unique(values, return_inverse=True)
+    aim, last = flags & AIM != 0, flags & LAST != 0
+    chosen = (place, place[aim], place[last], place[aim & last])
+    return own, place, np.stack([np.bincount(x, minlength=len(own)) for x in chosen])
 
 
-def pairs(data: np.ndarray, offsets: np.ndarray, vocab: np.ndarray) -> tuple[np.ndarray, Words]:
-    """previous * width + word for every word of the texts, the first of a text following BEGIN."""
-    found = Words(data, offsets)
-    ids = word_ids(found.hashes().view(np.int64), vocab)
-    previous = np.empty_like(ids)
-    previous[1:] = ids[:-1]
-    previous[found.first[:-1][found.first[:-1] < found.first[1:]]] = BEGIN
-    return previous * (len(vocab) + 2) + ids, found
+def pairs_of(previous: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each bigram."""
+    return mix(mix(word) + previous * np.uint64(BASE))
 
 
-def losses(counts: np.ndarray) -> np.ndarray:
-    """Bits of every word (columns) after every word (rows), from a square table of counts."""
-    width = len(counts)
-    total = counts.sum(0)
-    unigram = (total + 1.0) / (total.sum() + width)
-    return -np.log2((counts + PRIOR * unigram) / (counts.sum(1, keepdims=True) + PRIOR))
+def previous_of(word: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The word before each; BEGIN for the first of a text."""
+    previous = np.empty_like(word)
+    previous[1:] = word[:-1]
+    previous[first[:-1][first[:-1] < first[1:]]] = BEGIN
+    return previous
 
 
-def score_documents(docs: DataFrame, target_ids: DataFrame, vocab_size: int = VOCAB_SIZE) -> DataFrame:
+def listed(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column, sorted, and COUNTS (rows) of each."""
+    own = table.column(column).to_numpy().view(np.uint64)
+    order = np.argsort(own)
+    return own[order], np.stack([table.column(c).to_numpy()[order] for c in COUNTS])
+
+
+def found_in(listed: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each value is listed, and where."""
+    if len(listed) == 0:
+        return np.zeros(len(values), dtype=bool), np.zeros(len(values), dtype=np.int64)
+    at = np.minimum(np.searchsorted(listed, values), len(listed) - 1)
+    return listed[at] == values, at
+
+
+def bits_of(pair: np.ndarray, word: np.ndarray, total: int, width: int) -> np.ndarray:
+    """The part of a bigram's bits that depends on its second word."""
+    return -np.log2(pair + PRIOR * (word + 1.0) / (total + width))
+
+
+def top_words(words: DataFrame, size: int) -> np.ndarray:
+    """The hashes of the `size` most frequent words, sorted; ties by hash."""
+    top = words.orderBy(F.desc("n"), "word").limit(size).toArrow()
+    return np.sort(top.column("word").to_numpy().view(np.uint64))
+
+
+def score_documents(docs: DataFrame, target_ids: DataFrame, vocab_size: int | None = None) -> DataFrame:
     """doc_id, n_words, ce_target, ce_background, score for every row of `docs` (doc_id, text).
 
     The target model learns from the documents whose id is in `target_ids` (doc_id; repeats count once), the background
     model from all. ce_* are bits for each word, score their difference: the lower, the closer to the target. Without
     words all three are 0; null counts as empty; with no target documents the target model is uniform over the
     vocabulary; repeated rows are scored alike and count as often as they stand; an empty table gives an empty result.
-    Other columns are ignored.
+    With `vocab_size` only the most frequent words are told apart, the others count as one. Other columns are ignored.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text"))
     ids = target_ids.where("doc_id is not null").select("doc_id").distinct().withColumn("aim", F.lit(1))
     # a merge join at every size: the plan, and so its cost for each byte, doesn't change as the ids outgrow a broadcast
-    aimed = docs.join(ids.hint("merge"), "doc_id", "left").select("text", F.coalesce("aim", F.lit(0)).alias("aim"))
+    aimed = docs.join(ids.hint("merge"), "doc_id", "left").select("key", "text", F.coalesce("aim", F.lit(0)).alias("aim"))
+    aimed = materialize(aimed, "aimed")
     context = docs.sparkSession.sparkContext
-    vocab = vocabulary(docs, vocab_size)
-    shared = context.broadcast(vocab)
-    width = len(vocab) + 2
+
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in pieces(batch, "text", DEALT):
+                found = Words(data, offsets)
+                if len(found.start):
+                    word, _, counts = tally(found.hashes(), flags_of(found, rows.column("aim").to_numpy()))
+                    yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), *map(pa.array, counts)], ["word", *COUNTS])
+
+    counted = aimed.mapInArrow(count_words, "word long, " + ", ".join(f"{c} long" for c in COUNTS))
+    words = materialize(counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS]), "words")
+    size, *sums = words.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(c), F.lit(0)) for c in COUNTS]).first()
+    vocab = top_words(words, vocab_size) if vocab_size is not None else None
+    width = (size if vocab is None else len(vocab)) + 2
+    if vocab is not None:
+        top = docs.sparkSession.createDataFrame(pa.table({"word": vocab.view(np.int64), "known": np.ones(len(vocab), bool)}))
+        known = words.join(top, "word", "left").withColumn("word", F.when(F.col("known"), F.col("word")).otherwise(F.lit(UNKNOWN)))
+        words = known.groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    total, buckets = sums[0], sums[0] // BUCKET + 1
+    word_from, pair_from = max(2, BUCKET // 8, int(total * HOT_WORD)), max(2, BUCKET // 2, int(total * HOT_PAIR))
+    hot_words = listed(words.where(F.col("n") >= word_from).toArrow(), "word")
+    often = hot_words[0][hot_words[1][0] >= pair_from]
+    likely = context.broadcast((np.append(often, np.uint64(BEGIN)), vocab))
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((2, width * width), dtype=np.int64)
+        often, vocab = likely.value
+        often = np.sort(often)
         for batch in batches:
-            for rows, data, offsets in pieces(batch, "text"):
-                pair, found = pairs(data, offsets, shared.value)
-                aim = rows.column("aim").to_numpy()[found.doc] == 1
-                table[0] += np.bincount(pair, minlength=width * width)
-                table[1] += np.bincount(pair[aim], minlength=width * width)
-        some = np.flatnonzero(table[0])
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(table[0][some]), pa.array(table[1][some])], ["pair", "n", "n_target"])
-
-    counted = (
-        aimed.mapInArrow(count_pairs, "pair long, n long, n_target long")
-        .groupBy("pair")
-        .agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-        .toArrow()
-    )
-    tables = []
-    for name in ("n_target", "n"):
-        cells = np.zeros(width * width)
-        cells[counted.column("pair").to_numpy()] = counted.column(name).to_numpy()
-        tables.append(losses(cells.reshape(width, width)).ravel().astype(np.float32))
-    models = context.broadcast(np.stack(tables, 1))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows, data, offsets in pieces(batch, "text", DEALT):
+                found = Words(data, offsets)
+                word = coded(found, vocab)
+                previous = previous_of(word, found.first)
+                both = found_in(often, word)[0] & found_in(often, previous)[0]
+                if both.any():
+                    flags = flags_of(found, rows.column("aim").to_numpy())
+                    pair, _, counts = tally(pairs_of(previous, word)[both], flags[both])
+                    yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), *map(pa.array, counts)], ["pair", *COUNTS])
+
+    pairs = aimed.mapInArrow(count_pairs, "pair long, " + ", ".join(f"{c} long" for c in COUNTS))
+    pairs = pairs.groupBy("pair").agg(*[F.sum(c).alias(c) for c in COUNTS]).where(F.col("n") >= pair_from)
+    hot_pairs = listed((pairs if len(often) else pairs.limit(0)).toArrow(), "pair")
+    shared = context.broadcast((hot_words, hot_pairs, vocab))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in pieces(batch, "text", DEALT):
+                found = Words(data, offsets)
+                if len(found.start) == 0:
+                    continue
+                entry = np.empty(len(found.start), dtype=ENTRY)
+                hot_words, hot_pairs, vocab = shared.value
+                entry["word"] = word = coded(found, vocab)
+                entry["previous"] = previous_of(word, found.first)
+                entry["key"] = rows.column("key").to_numpy()[found.doc]
+                entry["flags"] = flags_of(found, rows.column("aim").to_numpy())
+                pair = pairs_of(entry["previous"], word)
+                route = np.where(found_in(hot_words[0], word)[0], pair, word)
+                route = mix(np.where(found_in(hot_pairs[0], pair)[0], np.ascontiguousarray(entry["key"]).view(np.uint64), route))
+                bucket = (route % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                own, first = np.unique(bucket[order], return_index=True)
+                # a column after the other, so that equal bytes stand together
+                parts = np.split(entry[order], first[1:])
+                held = [b"".join(np.ascontiguousarray(part[c]).tobytes() for c in ENTRY.names) for part in parts]
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(held, pa.binary())], ["bucket", "entries"])
+
+    def weigh(held: list[bytes]) -> pa.RecordBatch:
+        entry = {}
+        for name in ENTRY.names:
+            own, before = ENTRY[name], ENTRY.fields[name][1]
+            entry[name] = np.concatenate([np.frombuffer(h, own, len(h) // ENTRY.itemsize, len(h) // ENTRY.itemsize * before) for h in held])
+        word, flags = entry["word"], entry["flags"]
+        counts = []
+        for values, (hot, exact) in zip((word, pairs_of(entry["previous"], word)), shared.value, strict=False):
+            own, place, here = tally(values, flags)
+            known, at = found_in(hot, own)
+            here[:, known] = exact[:, at[known]]
+            counts.append(here[:, place])
+        counts, pair = counts
+        key, doc = np.unique(entry["key"], return_inverse=True)
+        goes_on, begins = flags & LAST == 0, entry["previous"] == BEGIN
+        columns = [pa.array(key), pa.array(np.bincount(doc))]
+        for model in (1, 0):
+            bits = bits_of(pair[model], counts[model], sums[model], width)
+            # the weight of a word that another follows, and of the beginning
+            bits += np.where(goes_on, np.log2(counts[model] - counts[model + 2] + PRIOR), 0.0)
+            bits += np.where(begins, np.log2(sums[model + 2] + PRIOR), 0.0)
+            columns.append(pa.array(np.bincount(doc, bits)))
+        return pa.RecordBatch.from_arrays(columns, ["key", "n", "target", "background"])
+
+    def weigh_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
         for batch in batches:
-            for rows, data, offsets in pieces(batch, "text"):
-                pair, found = pairs(data, offsets, shared.value)
-                n = np.diff(found.first)
-                bits = per_doc(models.value[pair], found.first) / np.maximum(n, 1)[:, None]
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array(n), pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.array(bits[:, 0] - bits[:, 1])],
-                    ["doc_id", "n_words", "ce_target", "ce_background", "score"],
-                )
-
-    return docs.mapInArrow(
-        score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, ce_target double, ce_background double, score double"
+            for bucket, entries in zip(batch.column("bucket").to_pylist(), batch.column("entries").to_pylist(), strict=True):
+                if bucket != last and held:
+                    yield weigh(held)
+                    held = []
+                last = bucket
+                held.append(entries)
+        if held:
+            yield weigh(held)
+
+    dealt = aimed.mapInArrow(deal, "bucket int, entries binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    found = dealt.mapInArrow(weigh_buckets, "key long, n long, target double, background double")
+    found = found.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "target", "background")])
+    # rows of one key are repeats: their bits and words are in the sums as often as they stand
+    rows = docs.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.first("doc_id").alias("doc_id"))
+    rows = rows.join(found, "key", "left").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    mean = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("n")), F.lit(0.0))
+    return rows.select(
+        "doc_id",
+        F.coalesce((F.col("n") / F.col("times")).cast("long"), F.lit(0).cast("long")).alias("n_words"),
+        mean("target").alias("ce_target"),
+        mean("background").alias("ce_background"),
+        (mean("target") - mean("background")).alias("score"),
     )

@@ -73,3 +73,23 @@ def test_defined_results(spark):
     assert got == [("1", 0), ("2", 0), ("3", 2), ("3", 2), ("4", 300_000), ("None", 1)]
     assert all(r.score == 0 for r in score_documents(docs, none).where("n_words = 0").collect())
     assert score_documents(docs.limit(0), none).collect() == []
+
+
+def test_rare_words_are_told_apart(spark):
+    # 1,500 words, all but the first 1,022 of them rarer: two texts of rare words alone
+    rows = [(i, " ".join(f"w{k}" for k in range(10 * i, 10 * i + 10))) for i in range(150)]
+    rows += [(1000 + i, " ".join(f"w{k}" for k in range(1022))) for i in range(2)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = brute(rows, {140}, 10**6)
+    got = {r.doc_id: r for r in score_documents(docs, spark.createDataFrame([(140,)], "doc_id long")).collect()}
+    assert {i: (r.n_words, pytest.approx(r.ce_target), pytest.approx(r.ce_background)) for i, r in got.items()} == want
+    assert got[140].score < got[141].score
+
+
+def test_hot_words_and_bigrams_in_small_buckets(spark, monkeypatch):
+    monkeypatch.setattr("tallyscope.llm.lm_score.BUCKET", 64)
+    rows = [(i, " ".join(["of the", "cat", "sat of the", f"x{i % 7}", f"mat{i}"][k % 5] for k in range(i % 23))) for i in range(120)]
+    targets = {i for i in range(120) if i % 5 == 3}
+    want = brute(rows, targets, 10**6)
+    got = score_documents(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i,) for i in targets], "doc_id long")).collect()
+    assert {r.doc_id: (r.n_words, pytest.approx(r.ce_target), pytest.approx(r.ce_background)) for r in got} == want
