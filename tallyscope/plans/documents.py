@@ -253,6 +253,16 @@ def template_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "n_hits", "n_pages_hit", "codes", round6(F.when(F.col("n_hits") == 0, lit(1)).otherwise(lit(1) - cost)).alias("score"))
 
 
+def with_cases(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """`docs` with the item_id of its case: doc_id modulo the number of items is the item's place in order of item_id,
+    so every item has documents at every size. Only the ids are ranked."""
+    ids = items.where("item_id is not null").select("item_id").distinct()
+    cases = ids.withColumn("case", F.row_number().over(Window.orderBy("item_id")) - 1)
+    n_cases = F.broadcast(ids.agg(F.count(F.lit(1)).alias("n_cases")).where("n_cases > 0"))
+    placed = docs.crossJoin(n_cases).withColumn("case", F.pmod("doc_id", "n_cases"))
+    return placed.join(cases, "case").drop("case", "n_cases")
+
+
 @query(
     "q10_compression_curve",
     f"""WITH r AS (SELECT d.doc_id, length({NORM.format("b.text")})::double / nullif(length({NORM.format("d.text")}), 0) AS x
@@ -267,7 +277,7 @@ def compression_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     size = lambda t: F.length(X.normalize_text(F.col(t)))
     x = ratio(size("b.text").cast("double"), size("d.text"))
-    joined = docs.alias("d").join(items.alias("b"), F.col("d.doc_id") % 40 == F.col("b.item_id"))
+    joined = with_cases(docs, items).alias("d").join(items.alias("b"), F.col("d.item_id") == F.col("b.item_id"))
     return joined.select(F.col("d.doc_id").alias("doc_id"), round6(x).alias("ratio"), round6(piecewise(x, KNOTS)).alias("score"))
 
 
@@ -295,7 +305,7 @@ FROM s""",
 def source_claim_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of each claim's tokens in the sources of its case (each document is a source of one)."""
     held = table(spark, sf_dir, "documents").select("doc_id", X.tokens(F.col("text")).alias("held"))
-    s = claims(spark, sf_dir).join(held, F.col("doc_id") % 40 == F.col("item_id"))
+    s = claims(spark, sf_dir).join(with_cases(held, table(spark, sf_dir, "benchmark")), "item_id")
     score = X.recall(X.tokens(F.col("claim")), F.col("held"))
     severity = F.when(F.col("claim").rlike("[0-9]") & (score < 0.5), "CRITICAL").otherwise(severity_band(score))
     return s.select("item_id", "ord", "doc_id", round6(score).alias("score"), severity.alias("severity"))
@@ -330,7 +340,7 @@ SELECT item_id, doc_id, count(*) AS n_points, count(*) FILTER (WHERE x >= 0.5) A
 def key_point_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall of each passage's sentences in each document of its case."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("hay"))
-    s = claims(spark, sf_dir).join(docs, F.col("doc_id") % 40 == F.col("item_id"))
+    s = claims(spark, sf_dir).join(with_cases(docs, table(spark, sf_dir, "benchmark")), "item_id")
     s = s.withColumn("x", X.token_recall(F.col("claim"), F.col("hay")))
     return s.groupBy("item_id", "doc_id").agg(
         F.count(F.lit(1)).alias("n_points"), F.count_if(F.col("x") >= 0.5).alias("n_covered"), round6(F.avg("x")).alias("score")
