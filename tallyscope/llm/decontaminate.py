@@ -22,7 +22,8 @@ Q = 8
 #: Edits allowed for each character of a segment.
 EDIT_RATE = 0.1
 #: A longer passage is searched for in segments of this length, each overlapping half of the next: so a copy of a part
-#: one and a half segments long is found too.
+#: one and a half segments long is found too. One of up to one and a half segments is searched for whole as well, since
+#: its edits may all lie where its segments overlap.
 SEGMENT = 120
 #: Bytes of passages that one search takes; more are searched for in blocks, one pass over the texts each.
 BLOCK_BYTES = 4 << 20
@@ -61,10 +62,10 @@ class Passages:
         for item, raw in items:
             whole = normalise(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))[0].tobytes().strip()
             last = max(0, len(whole) - SEGMENT)
-            starts = sorted({*range(0, last, SEGMENT // 2), last}) if len(whole) > SEGMENT + SEGMENT // 2 else [0]
-            size = SEGMENT if len(starts) > 1 else len(whole)
-            for s in starts:
-                part = whole[s : s + size]
+            parts = [whole[s : s + SEGMENT] for s in sorted({*range(0, last, SEGMENT // 2), last})]
+            if SEGMENT < len(whole) <= SEGMENT + SEGMENT // 2:
+                parts.append(whole)
+            for part in parts:
                 if (e := budget(len(part), rate)) < 0:
                     continue
                 own = grams_of(np.frombuffer(part, dtype=np.uint8))

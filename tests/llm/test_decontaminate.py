@@ -73,6 +73,18 @@ def test_part_of_a_long_passage(spark):
     assert [(h.doc_id, h.item_id, h.edits) for h in hits.collect()] == [(1, 4, 0)]
 
 
+def test_part_of_a_passage_of_one_and_a_half_segments(spark):
+    r = random.Random(6)
+    item = " ".join(str(r.random()) for _ in range(9))[:175].strip()
+    assert SEGMENT < len(item) <= SEGMENT + SEGMENT // 2
+    middle = list(item)
+    for k in range(60, 60 + 2 * (len(item) // 10), 2):
+        middle[k] = "#"  # as many edits as the whole allows, more than a segment does
+    docs = [(1, "before " + item[:125] + " after"), (2, "before " + item[-125:] + " after"), (3, "before " + item[:90]), (4, "a " + item), (5, "a " + "".join(middle))]
+    hits = find_passages(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(4, item)], ITEMS))
+    assert sorted((h.doc_id, h.edits) for h in hits.collect()) == [(1, 0), (2, 0), (4, 0), (5, len(item) // 10)]
+
+
 def test_banded_edits():
     regions = [b"zzabcdefghzzzz", b"zzabXdefghzzzz", b"zzabdefghzzzzz", b"zzabcdXXefghzz"]
     rows = lambda x: np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1)
