@@ -30,9 +30,21 @@ def _link(rows: pd.DataFrame, previous: str) -> tuple[pd.DataFrame, str]:
     return pd.DataFrame(out, columns=["run_id", "seq", "payload", "previous_hash", "event_hash"]), previous
 
 
+def _link_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole runs one after another, in batches: only the last run and its last hash are carried from one to the next."""
+    run, previous = None, ""
+    for rows in batches:
+        for own, part in rows.groupby("run_id", sort=False, dropna=False):
+            own = None if pd.isna(own) else own
+            linked, previous = _link(part, previous if own == run else "")
+            run = own
+            yield linked
+
+
 def build_chains(events: DataFrame) -> DataFrame:
     """`events` (run_id, seq, payload) with previous_hash and event_hash, chained by run in order of seq."""
-    return events.select("run_id", "seq", "payload").groupBy("run_id").applyInPandas(lambda rows: _link(rows, "")[0], CHAINED)
+    ordered = events.select("run_id", "seq", "payload").repartition("run_id").sortWithinPartitions("run_id", "seq")
+    return ordered.mapInPandas(_link_sorted, CHAINED)
 
 
 def stream_chains(events: DataFrame) -> DataFrame:

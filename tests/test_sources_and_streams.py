@@ -98,3 +98,24 @@ def test_stream_equals_batch(spark, tmp_path):
         assert {tuple(r) for r in spark.sql("select * from chains").collect()} == batch
     finally:
         query.stop()
+
+
+def test_a_run_is_chained_across_batches(spark):
+    from tallyscope.streaming.chains import event_hash
+
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = [(f"run{i % 3}" if i % 4 else None, i, f"p{i}") for i in range(100)]
+    events = spark.createDataFrame(rows[::-1], EVENT)
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        chained = build_chains(events)
+        assert "FlatMapGroupsInPandas" not in chained._jdf.queryExecution().toString()
+        got = {tuple(r) for r in chained.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    last, want = {}, set()
+    for run, seq, payload in rows:
+        own = event_hash(last.get(run, ""), run, seq, payload)
+        want.add((run, seq, payload, last.get(run, ""), own))
+        last[run] = own
+    assert got == want
