@@ -41,9 +41,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How often, and at which training position first, the mix takes each document."""
+    """How often, and at which training positions, the mix takes each document."""
     mix = in_training_order(curriculum_mix(docs))
-    return mix.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", "position")
+    return mix.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", "position", "positions")
 
 
 STAGES = [

@@ -55,3 +55,10 @@ def test_run_equals_brute_force(spark, tmp_path):
 def test_empty_tables(spark, tmp_path):
     write(spark, tmp_path, [], [])
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_the_mix_returns_the_position_of_every_copy(spark):
+    docs = spark.createDataFrame([(i, "a few words " * (1 + i % 5), f"s{i % 3}") for i in range(60)], "doc_id long, text string, source string")
+    got = corpus_pipeline.source_mix(spark, docs, "").collect()
+    assert any(r.copies > 1 for r in got)
+    assert all(len(r.positions) == r.copies and r.position == (r.positions[0] if r.positions else None) for r in got)
