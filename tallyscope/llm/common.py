@@ -4,23 +4,33 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tallyscope.session import ship_package
 
 #: A word: a run of characters other than the ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Rows of a few numbers that may be broadcast, once counted; more are joined by merge.
+SMALL = 500_000
+
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
+    """The shared folder of spark.checkpoint.dir. Where that is unset, a temporary one if the master is local, as in
+    tests; on a cluster its executors would not share it, so that raises ValueError."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyscope-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -37,6 +47,37 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_arrow(df: DataFrame, function: Callable, schema: str | T.StructType) -> DataFrame:
+    """`df.mapInArrow` whose workers are sure to find this package."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
+def checked(df: DataFrame, rows: int | None = None, most: int = SMALL) -> DataFrame:
+    """`df` (written, of a few numbers a row) as a side of a join: broadcast if it has `most` rows or fewer, else for a
+    merge join."""
+    n = df.count() if rows is None else rows
+    return F.broadcast(df) if n <= most else df.hint("merge")
+
+
+def fresh(name: str) -> str:
+    """A column name that no table has."""
+    return f"__{name}_{uuid.uuid4().hex[:12]}"
+
+
+def text_mark(text: Column) -> Column:
+    """A 64-bit hash of the text, to tell the rows of one doc_id apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of `docs` without those whose doc_id (null equals null) and text_mark are in `gone` (doc_id, mark)."""
+    doc_id, mark = fresh("id"), fresh("mark")
+    gone = materialize(gone.select(F.col("doc_id").alias(doc_id), F.col("mark").alias(mark)).distinct(), "gone")
+    same = docs["doc_id"].eqNullSafe(gone[doc_id]) & (text_mark(docs["text"]) == gone[mark])
+    return docs.join(checked(gone), same, "left_anti")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)
