@@ -4,97 +4,166 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import materialize, scratch_path
+from tallyscope.llm.common import drop_rows, fresh, materialize, scratch_path, text_mark
 
-SCHEMA = "digest string, keep_id long, group_size long"
+SCHEMA = "digest binary, keep_id long, group_size long"
+LAYOUT = "folder string, buckets int, generation long, n_rows long"
+#: Rows of a bucket that call for more buckets, and appends after which the files of all buckets are joined.
+FULL, APPENDS = 8_000_000, 32
 
 
 def text_digest(text: Column) -> Column:
-    """Lower-case hex SHA-256 of the text in UTF-8; null counts as empty."""
-    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+    """SHA-256 of the text in UTF-8; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
 class DigestIndex:
-    """One row for each distinct text so far, in `buckets` buckets of files sorted by digest.
+    """One row for each distinct text so far, in buckets of files sorted by digest.
 
-    `path` must be in storage that all executors share. Opening an existing table goes on with it.
+    `path` must be in storage that all executors share. The index is what stands at its path, whatever the session's
+    catalog knows: the table `layout` there names the folder that holds the rows and their number of buckets, and
+    opening an existing index goes on with it. When buckets have grown too full, or too many small files were appended,
+    the rows are dealt anew into another folder, and `layout` names that once it is complete. `buckets` holds for an
+    index that doesn't exist yet; with `new` the path is known to be free.
     """
 
-    def __init__(self, spark: SparkSession, table: str, path: str, buckets: int = 64):
-        self.spark, self.table, self.path, self.buckets = spark, table, path, buckets
-        if not spark.catalog.tableExists(table):
-            self._append(spark.createDataFrame([], SCHEMA))
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, new: bool = False):
+        self.spark, self.path = spark, path.rstrip("/")
+        if new or not self._layouts():
+            self._note(uuid.uuid4().hex, buckets, 0, 0)
+        self._open()
+
+    def _layouts(self) -> list:
+        try:
+            return self.spark.read.schema(LAYOUT).parquet(f"{self.path}/layout").collect()  # a row for each append
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []
+
+    def _note(self, folder: str, buckets: int, generation: int, n_rows: int) -> None:
+        row = self.spark.createDataFrame([(folder, buckets, generation, n_rows)], LAYOUT)
+        row.coalesce(1).write.mode("append").parquet(f"{self.path}/layout")
+
+    def _open(self) -> None:
+        rows = self._layouts()
+        self.generation = max(r["generation"] for r in rows)
+        own = [r for r in rows if r["generation"] == self.generation]
+        self.folder, self.buckets = own[0]["folder"], own[0]["buckets"]
+        self.n_rows, self.appends = sum(r["n_rows"] for r in own), len(own)
+        self.table = f"digests_{self.folder}"
+        self._declare(self.table, self.folder, self.buckets)
+        self.spark.catalog.refreshTable(self.table)  # another session may have appended
+
+    def _declare(self, table: str, folder: str, buckets: int) -> None:
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {table} (digest BINARY, keep_id BIGINT, group_size BIGINT) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}/{folder}'"
+        )
+
+    def _dealt(self, rows: DataFrame, buckets: int) -> DataFrame:
+        """`rows` dealt like the index, so that a merge join on the digest shuffles no row of the index."""
+        return rows.repartition(buckets, "digest")
 
     def _append(self, rows: DataFrame) -> None:
-        dealt = rows.repartition(self.buckets, "digest").sortWithinPartitions("digest")
-        writer = dealt.write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest")
-        writer.option("path", self.path).saveAsTable(self.table)
+        n = rows.count()
+        if not n:
+            return
+        self._dealt(rows, self.buckets).sortWithinPartitions("digest").write.insertInto(self.table)
+        self._note(self.folder, self.buckets, self.generation, n)
+        self._open()
+        if self.n_rows > FULL * self.buckets or self.appends > APPENDS:
+            self.rebuild(max(self.buckets, 2 * (self.n_rows // FULL)))
+
+    def rebuild(self, buckets: int) -> None:
+        """Deal all rows into `buckets` buckets of one file each, in a folder of their own."""
+        folder, old = uuid.uuid4().hex, self.table
+        self._declare(f"digests_{folder}", folder, buckets)
+        self._dealt(self.rows(), buckets).sortWithinPartitions("digest").write.insertInto(f"digests_{folder}")
+        self._note(folder, buckets, self.generation + 1, self.n_rows)
+        self._open()
+        self.spark.sql(f"DROP TABLE IF EXISTS {old}")
+
+    def close(self) -> None:
+        """Take the index out of the session's catalog; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
     def rows(self) -> DataFrame:
-        """The index as a bucketed table: a merge join on the digest doesn't shuffle it."""
+        """The index as a bucketed table."""
         return self.spark.table(self.table)
 
-    def files(self) -> DataFrame:
-        """The same rows without their bucketing, for joins whose other side may have a hot digest: adaptive
-        execution splits a hot partition only where both sides were shuffled."""
-        return self.spark.read.schema(SCHEMA).parquet(self.path)
-
     def dedup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """doc_id, keep_id, group_size, kept, text_sha256 for every row of `docs`, whose new texts are appended.
+        """doc_id, keep_id, group_size, kept, text_sha256, mark for every row of `docs`, whose new texts are appended.
 
         Equal texts are one group; its row with the largest doc_id stays, unless the index knew the text from an
         earlier batch: then that document stays and none of this batch. group_size counts the rows of the batch in
         which the text first came. Of repeated rows with the same doc_id one stays. A null text counts as empty, a
         null doc_id as smaller than any other. An empty table gives an empty result and appends nothing. Other
-        columns are ignored.
+        columns are ignored. mark is text_mark of the text.
         """
         digests = materialize(
             docs.select(
                 F.monotonically_increasing_id().alias("row"),
                 F.col(id_col).cast("long").alias("doc_id"),
                 text_digest(F.col(text_col)).alias("digest"),
+                text_mark(F.col(text_col)).alias("mark"),
             ),
             "digests",
         )
         best = F.max(F.struct(F.col("doc_id"), F.col("row")))
-        groups = digests.groupBy("digest").agg(best.alias("best"), F.count("*").alias("group_size"))
-        fresh = materialize(
-            groups.join(self.rows().hint("merge"), "digest", "left_anti").select(
-                "digest", F.col("best.doc_id").alias("keep_id"), "group_size", F.col("best.row").alias("keep_row")
-            ),
-            "fresh",
+        groups = digests.groupBy("digest").agg(best.alias("best"), F.count("*").alias("n"))
+        groups = self._dealt(groups, self.buckets)
+        new = groups.join(self.rows().hint("merge"), "digest", "left_anti").select(
+            "digest", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"), F.col("best.row").alias("keep_row")
         )
-        self._append(fresh.select("digest", "keep_id", "group_size"))
-        stays = fresh.select(F.col("keep_row").alias("row"), F.lit(True).alias("stays"))
-        return (
-            digests.join(self.files(), "digest", "left")
-            .join(stays, "row", "left")
-            .select(
-                "doc_id",
-                "keep_id",
-                "group_size",
-                F.coalesce("stays", F.lit(False)).alias("kept"),
-                F.col("digest").alias("text_sha256"),
-            )
+        new = materialize(new, "new")
+        known = new
+        if self.n_rows:
+            old = groups.select("digest").join(self.rows().hint("merge"), "digest")
+            known = materialize(new.unionByName(old.select("digest", "keep_id", "group_size", F.lit(None).cast("long").alias("keep_row"))), "known")
+        self._append(new.select("digest", "keep_id", "group_size"))
+        return digests.join(known, "digest").select(
+            "doc_id",
+            "keep_id",
+            "group_size",
+            F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"),
+            F.lower(F.hex("digest")).alias("text_sha256"),
+            "mark",
         )
 
 
 def scratch_index(spark: SparkSession, buckets: int = 64) -> DigestIndex:
     """An index of its own in the scratch folder, for one run over one table."""
-    return DigestIndex(spark, f"digests_{uuid.uuid4().hex}", scratch_path(spark, "index"), buckets)
+    return DigestIndex(spark, scratch_path(spark, "index"), buckets, new=True)
+
+
+def dedup_once(docs: DataFrame) -> DataFrame:
+    """A result of dedup over `docs` alone, against an empty index."""
+    index = scratch_index(docs.sparkSession)
+    found = index.dedup(docs)
+    index.close()
+    return found
 
 
 def keep_first(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of `docs` that `decisions` (a result of dedup over them) keeps; one of any repeated rows."""
-    kept = decisions.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
-    own, digest = F.col("doc_id").eqNullSafe(F.col("__id")), text_digest(F.col("text"))
-    stays = docs.join(kept, own & (digest == F.col("__digest")), "left_semi")
-    rows = decisions.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n"))
-    twice = materialize(rows.where("n > 1").select(F.col("doc_id").alias("__id")).distinct(), "repeated")
+    """The rows of `docs` (doc_id, text, ...) that `decisions` (a result of dedup over them) keeps; one of any repeated
+    rows, told by id and text.
+
+    Null texts count as empty, a null doc_id is an id like others; an empty table gives an empty result. All columns are
+    kept, whatever their names; of repeated rows that differ in other columns any one stays.
+    """
+    rows = decisions.groupBy("doc_id", "mark").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    rows = materialize(rows.where("not kept or n > 1"), "dropped")
+    stays = drop_rows(docs, rows.where("not kept"))
+    twice = rows.where("kept").select("doc_id", "mark")
     if twice.isEmpty():
         return stays
-    repeated = stays.join(twice, own, "left_semi").dropDuplicates(["doc_id", "text"])
-    return stays.join(twice, own, "left_anti").unionByName(repeated)
+    doc_id, mark = fresh("id"), fresh("mark")
+    twice = twice.select(F.col("doc_id").alias(doc_id), F.col("mark").alias(mark))
+    same = stays["doc_id"].eqNullSafe(twice[doc_id]) & (text_mark(stays["text"]) == twice[mark])
+    repeated = stays.join(twice, same, "left_semi").withColumn(mark, text_mark(F.col("text"))).dropDuplicates(["doc_id", mark]).drop(mark)
+    return drop_rows(stays, rows.where("kept")).unionByName(repeated)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyscope.llm.decontaminate import find_passages
-from tallyscope.llm.digest_index import scratch_index
+from tallyscope.llm.digest_index import dedup_once
 from tallyscope.llm.langid import identify
 from tallyscope.llm.line_dedup import drop_site_boilerplate
 from tallyscope.llm.lm_score import score_documents
@@ -28,18 +28,22 @@ RULES = (
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 1: host, path, rule and verdict of every page."""
     return filter_urls(table(spark, sf_dir, "pages"), RULES)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 2: the text of every page without its site's boilerplate lines."""
     return drop_site_boilerplate(table(spark, sf_dir, "pages"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 3: the passages of `benchmark` that stand in a document, with their places."""
     return find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4: numbers and spans of personal data in every document."""
     found = find_personal_data(table(spark, sf_dir, "documents"))
     number = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     listed = lambda spans: F.array_join(
@@ -48,37 +52,45 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = lambda x: F.array_position(F.array(*map(F.lit, KINDS)), x["kind"])
     merged = F.array_sort(F.transform(F.concat("base", "added"), lambda x: F.struct(order(x).alias("at"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     return found.select(
-        "doc_id", *map(number, KINDS), F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(merged).alias("spans")
+        "doc_id", *map(number, KINDS), F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(merged).alias("spans"),
+        F.size(merged).cast("long").alias("n_spans"),
     )
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 5: the component of similar documents of every document."""
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6: losses of every document under a model of good documents and one of all."""
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return score_documents(table(spark, sf_dir, "documents"), good)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 7: the predicted language of every document."""
     return identify(table(spark, sf_dir, "documents"))
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8: how much of every document the mix takes, and when."""
     mix = in_training_order(curriculum_mix(table(spark, sf_dir, "documents")))
     return mix.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scratch_index(spark).dedup(table(spark, sf_dir, "documents"))
+    """Operator 9: of every document the one that stays of its equals."""
+    return dedup_once(table(spark, sf_dir, "documents")).drop("mark")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 10: a calibrated toxicity score of every document."""
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of corpus_pipeline.py over all documents."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import ascii_lower, materialize
+from tallyscope.llm.common import SMALL, ascii_lower, checked, materialize
 from tallyscope.llm.components import connected_components
 
 #: Rules are compiled into one CASE expression; a list beyond this does not belong there.
@@ -107,8 +107,6 @@ def filter_urls(
         )
     links = materialize(links.where("a is not null and b is not null and a <> b").distinct(), "links")
     rule, action = F.col("hit.rule").alias("rule"), F.col("hit.action")
-    if links.isEmpty():
-        return judged.select("page_id", "host", "path", rule, F.coalesce(action, F.lit(default)).alias("verdict"))
     stars = connected_components(links)
     members = stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
     ruled = members.withColumn("action", match_rule(url_host(F.col("node")), url_path(F.col("node")), rules)["action"])
@@ -117,7 +115,9 @@ def filter_urls(
         F.bool_or(F.col("action").eqNullSafe("allow")).alias("allowed"),
     )
     blocked = classes.where("blocked and not allowed").select("component")
-    aliases = members.join(blocked, "component").select(F.col("node").alias("key"), F.lit("block").alias("spread"))
-    return judged.join(aliases, "key", "left").select(
+    aliases = members.join(materialize(blocked, "blocked"), "component").select(F.col("node").alias("key"), F.lit("block").alias("spread"))
+    # written: a join by merge then has a plain shuffle on both sides, which adaptive execution splits for a hot address
+    aliases = materialize(aliases, "aliases")
+    return judged.join(checked(aliases, most=SMALL // 16), "key", "left").select(
         "page_id", "host", "path", rule, F.coalesce(action, F.col("spread"), F.lit(default)).alias("verdict")
     )

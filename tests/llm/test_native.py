@@ -5,7 +5,7 @@ import hashlib
 import pytest
 
 from tallyscope.llm.components import connected_components
-from tallyscope.llm.digest_index import DigestIndex, keep_first, scratch_index
+from tallyscope.llm.digest_index import DigestIndex, dedup_once, keep_first, scratch_index
 from tallyscope.llm.line_dedup import drop_site_boilerplate
 from tallyscope.llm.mixing import curriculum_mix, in_training_order, source_targets, training_sequence
 from tallyscope.llm.queries import RULES
@@ -76,6 +76,7 @@ def test_components_equal_union_find(spark):
 def test_line_dedup(spark):
     nav = "<nav><ul><li>Home</li><li>Me &amp; you</li></ul></nav>"
     rows = [(i, f"http://s.test/{i}", f"<html><script>x</script>{nav}<p>Text <b>{i}</b></p><p>Home</p>{'<p>rare</p>' * (i < 3)}</html>") for i in range(6)]
+    rows += [(20 + i, f"http://u.test/{i}", f"{nav}<p>own {i}</p><script>never closed {'<script' * 20_000 * (i == 1)}") for i in range(2)]
     rows += [(10, "http://t.test/1", nav), (11, None, nav), (12, "http://s.test/7", None), (12, "http://s.test/7", ""), (13, "http://s.test/8", "<p>" + "long " * 100_000 + "</p>")]
     docs = spark.createDataFrame([(*r, 5, 6) for r in rows], PAGES + ", row int, lines int")
     got = {}
@@ -83,6 +84,7 @@ def test_line_dedup(spark):
         got.setdefault(r.page_id, []).append((r.host, r.n_lines, r.n_dropped, r.text))
     assert got[0] == [("s.test", 5, 3, "Text 0\nrare")] and got[5] == [("s.test", 4, 3, "Text 5")]
     assert got[10] == [("t.test", 2, 0, "Home\nMe &amp; you")] and got[11] == [("", 2, 0, "Home\nMe &amp; you")]
+    assert got[20] == [("u.test", 3, 2, "own 0")] and got[21] == [("u.test", 3, 2, "own 1")]
     assert got[12] == [("s.test", 0, 0, "")] * 2 and got[13][0][1:3] == (1, 0)
     assert drop_site_boilerplate(docs.limit(0)).collect() == []
 
@@ -101,13 +103,45 @@ def test_exact_dedup(spark):
     kept = keep_first(docs, first)
     assert kept.columns == docs.columns
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == ["3", "5", "6", "8", "9", "None"]
-    # a second batch meets the index, also when it is opened anew
-    again = DigestIndex(spark, index.table, index.path, 3)
+    # a second batch meets the index, also when it is opened anew where no catalog knows it
+    index.close()
+    assert not spark.catalog.tableExists(index.table)
+    again = DigestIndex(spark.newSession(), index.path)
+    again.spark.conf.set("spark.sql.shuffle.partitions", 7)
+    assert again.buckets == 3 and again.rows().count() == 6
     more = spark.createDataFrame([(20, "y", "s"), (21, "new", "s"), (22, "new", "s")], DOCS)
     got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in again.dedup(more).collect())
     assert got == [(20, 9, 2, False), (21, 22, 2, False), (22, 22, 2, True)]
     assert again.rows().count() == 7
     assert again.dedup(docs.limit(0)).collect() == [] and again.rows().count() == 7
+    # more buckets: the same rows, and the same answers
+    again.rebuild(5)
+    once_more = DigestIndex(spark, index.path)
+    assert once_more.buckets == 5 and once_more.rows().count() == 7
+    assert not any(r.kept for r in once_more.dedup(docs).collect()) and once_more.rows().count() == 7
+
+
+def test_the_index_is_not_shuffled(spark):
+    from pyspark.sql import functions as F
+
+    index = scratch_index(spark, buckets=3)
+    index.dedup(spark.createDataFrame([(i, f"t{i}", "s") for i in range(50)], DOCS))
+    groups = spark.range(9).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"))
+    spark.conf.set("spark.sql.shuffle.partitions", 9)
+    try:
+        plan = index._dealt(groups, index.buckets).join(index.rows().hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert "SortMergeJoin" in plan and "Bucketed: true" in plan and plan.count("Exchange") == 1
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    rows = [(1, "a b c d e f g", "x"), (1, "something else entirely here and there", "y"), (2, "a b c d e f g", "z"), (2, None, "w"), (2, "", "v"), (None, "a b c d e f g", "u")]
+    docs = spark.createDataFrame([(*r, 7) for r in rows], DOCS + ", `__gone.x` int")
+    kept = keep_first(docs, dedup_once(docs))
+    assert kept.columns == docs.columns
+    got = sorted((str(r.doc_id), r.text or "") for r in kept.collect())
+    assert got == [("1", "something else entirely here and there"), ("2", ""), ("2", "a b c d e f g")]
 
 
 def fill(sizes, weights, ratio, most):
