@@ -4,7 +4,9 @@ Patterns give the base spans. The field labels what they leave open: its nodes a
 (other tokens are clamped to "none"). Potentials come from a token's shape and cue words, from adjacent tokens (the
 chain) and from repeated or similar tokens anywhere in the document (the skip edges: equal tokens with letters, equal
 local parts of addresses, equal last seven digits). Loopy message passing spreads the labels of the base spans, which
-are observed, along both kinds of edge, so that one entity is labelled alike throughout its document.
+are observed, along both kinds of edge, so that one entity is labelled alike throughout its document. Three or more
+tokens of one key are tied to a node of their own for that key, so any two of them are two steps apart; as they say the
+same over and over, each has only its part of what one such token would say by its shape.
 """
 
 from __future__ import annotations
@@ -18,10 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyscope.llm.common import in_arrow
+
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that the potentials are learned from, about; drawn by a hash of the id.
 MAX_TRAIN_DOCS = 20_000
-ROUNDS = 12
+#: A document's messages have settled when none of them changes by more in a round; rounds after which they are taken as
+#: they are, should they never settle.
+SETTLED, MAX_ROUNDS = 1e-4, 2000
 #: Posterior from which a token that no base span covers becomes a span of its own.
 CERTAIN = 0.5
 #: Share of the tokens without a base span that are taken to be entities the patterns miss.
@@ -97,6 +103,10 @@ class Token(NamedTuple):
     joined: bool  # only blanks or signs lie between it and the token before
 
 
+#: Stands for a node of a key.
+HUB = Token(0, 0, 0, -1, (), False)
+
+
 def _shape(word: str, digits: str, before: str) -> int:
     n = len(digits)
     flags = [
@@ -129,7 +139,7 @@ def tokens(text: str, spans: list[tuple[int, int, int]]) -> list[Token]:
         word = text[start:end]
         while at < len(ordered) and ordered[at][1] <= start:
             at += 1
-        label = next((1 + k for s, e, k in ordered[at : at + 8] if s < end and e > start), 0)
+        label = 1 + ordered[at][2] if at < len(ordered) and ordered[at][0] < end else 0
         digits = NOT_DIGIT.sub("", word)
         low, keys = word.lower().partition("@")[0], []
         if len(low) >= 4 and any(c.isalpha() for c in low):
@@ -143,15 +153,26 @@ def tokens(text: str, spans: list[tuple[int, int, int]]) -> list[Token]:
     return out
 
 
-def skip_edges(nodes: list[Token]) -> list[tuple[int, int]]:
-    """Each token with the last earlier one of the same key: a chain through any number of repeats."""
-    last: dict[str, int] = {}
-    out = []
+def _of_key(nodes: list[Token]) -> list[list[int]]:
+    """The tokens of each key that more than one has."""
+    own: dict[str, list[int]] = {}
     for i, node in enumerate(nodes):
-        near = {last[k] for k in node.keys if k in last}
-        out += [(j, i) for j in near if j != i - 1 or not node.joined]
-        last.update(dict.fromkeys(node.keys, i))
-    return out
+        for k in node.keys:
+            own.setdefault(k, []).append(i)
+    return [x for x in own.values() if len(x) > 1]
+
+
+def skip_edges(nodes: list[Token]) -> list[tuple[int, int]]:
+    """Edges between tokens of the same key: of a pair directly, of more to a node of the key, numbered after the
+    tokens."""
+    out, hub = set(), len(nodes)
+    for own in _of_key(nodes):
+        if len(own) > 2:
+            out |= {(i, hub) for i in own}
+            hub += 1
+        elif own[1] != own[0] + 1 or not nodes[own[1]].joined:
+            out.add((own[0], own[1]))
+    return sorted(out)
 
 
 class Field(NamedTuple):
@@ -166,9 +187,11 @@ class Field(NamedTuple):
         bits = (shapes[:, None] >> np.arange(SHAPE_BITS)) & 1
         return bits @ self.unary + self.bias
 
-    def posteriors(self, shapes: np.ndarray, observed: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> np.ndarray:
-        """Marginals of all nodes by loopy sum-product; `observed` is a label above 0 where it is known."""
-        own = self.scores(shapes)
+    def posteriors(self, shapes: np.ndarray, observed: np.ndarray, chain: np.ndarray, skip: np.ndarray, parts: np.ndarray, share: np.ndarray | float = 1.0) -> np.ndarray:
+        """Marginals of all nodes by loopy sum-product; `observed` is a label above 0 where it is known. A shape below 0
+        is that of a node of a key, which has no potential of its own. `parts` numbers the document of each node, below
+        the number of nodes; `share` is the part of a node's own potential that counts."""
+        own = np.where(shapes[:, None] >= 0, self.scores(np.maximum(shapes, 0)), 0.0) * np.reshape(share, (-1, 1))
         known = observed > 0
         own[known] = -30.0
         own[known, observed[known]] = 0.0
@@ -181,14 +204,17 @@ class Field(NamedTuple):
         tables = np.concatenate([tables, tables.transpose(0, 2, 1)])
         opposite = np.concatenate([np.arange(len(ends)) + len(ends), np.arange(len(ends))])
         sent = np.zeros((len(source), own.shape[1]))
-        for _ in range(ROUNDS):
+        part, live = parts[source], np.arange(len(source))
+        for rounds in range(MAX_ROUNDS):
             belief = own.copy()
             np.add.at(belief, target, sent)
-            out = _lse((belief[source] - sent[opposite])[:, :, None] + tables)
+            out = _lse((belief[source[live]] - sent[opposite[live]])[:, :, None] + tables[live])
             out -= out.max(1, keepdims=True)
-            moved = np.abs(out - sent).max()
-            sent = 0.5 * sent + 0.5 * out if _ else out
-            if moved < 1e-4:
+            moved = np.zeros(len(own))
+            np.maximum.at(moved, part[live], np.abs(out - sent[live]).max(1))
+            sent[live] = 0.5 * sent[live] + 0.5 * out if rounds else out
+            live = live[moved[part[live]] >= SETTLED]  # each document ends by itself, whatever shares its batch
+            if len(live) == 0:
                 break
         belief = own.copy()
         np.add.at(belief, target, sent)
@@ -213,9 +239,14 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nodes = tokens(text, base_spans(text)) if text and MAYBE.search(text) else []
             # the later tokens of a span of several look like any number: they say nothing about shapes
             later = {i for i in range(1, len(nodes)) if nodes[i].joined and nodes[i].label == nodes[i - 1].label > 0}
-            seen = [("unary", x.shape, x.label) for i, x in enumerate(nodes) if i not in later]
-            seen += [("chain", a.label, b.label) for a, b in zip(nodes, nodes[1:], strict=False) if b.joined]
-            seen += [("skip", nodes[i].label, nodes[j].label) for i, j in skip_edges(nodes) if nodes[i].label and nodes[j].label]
+            # nor do repeats of what a pattern found: that no pattern covers them doesn't make them other than entities
+            named = {k for x in nodes if x.label for k in x.keys}
+            open_ = {i for i, x in enumerate(nodes) if not x.label and named.intersection(x.keys)}
+            seen = [("unary", x.shape, x.label) for i, x in enumerate(nodes) if i not in later and i not in open_]
+            both = [(i - 1, i) for i in range(1, len(nodes)) if nodes[i].joined and not {i - 1, i} & open_]
+            seen += [("chain", nodes[i].label, nodes[j].label) for i, j in both]
+            both = [x for own in _of_key(nodes) for x in zip(own, own[1:], strict=False)]
+            seen += [("skip", nodes[i].label, nodes[j].label) for i, j in both if nodes[i].label and nodes[j].label]
             for key in seen:
                 counts[key] = counts.get(key, 0) + 1
         rows = [(*k, n) for k, n in sorted(counts.items())]
@@ -233,7 +264,7 @@ def learn_field(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Field:
     share = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 20)) / float(1 << 20)
     drawn = docs.where(share < F.lit(max_docs / max(n, 1))).select("text")
     rows = (
-        drawn.mapInArrow(_evidence, "what string, a long, b long, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n"))
+        in_arrow(drawn, _evidence, "what string, a long, b long, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n"))
         .orderBy("what", "a", "b").collect()
     )  # fmt: skip  # shapes and labels only: a few thousand rows at most
     return fit_field(rows)
@@ -268,22 +299,32 @@ def fit_field(rows: list) -> Field:
 
 def added_spans(texts: list[str], bases: list[list[tuple[int, int, int]]], field: Field) -> list[list[tuple[int, int, int]]]:
     """Spans that the field adds to each text; the texts of a batch are solved as one graph of separate parts."""
-    nodes, owner, chain, skip = [], [], [], []
+    nodes, owner, chain, skip, share = [], [], [], [], []
     for i, (text, base) in enumerate(zip(texts, bases, strict=True)):
         own = tokens(text, base) if MAYBE.search(text) else []
         if own and any(x.label == 0 for x in own):
             at = len(nodes)
             chain += [(at + j - 1, at + j) for j in range(1, len(own)) if own[j].joined]
-            skip += [(at + a, at + b) for a, b in skip_edges(own)]
-            nodes += own
-            owner += [i] * len(own)
+            edges = skip_edges(own)
+            hubs = max([b + 1 for _, b in edges], default=0) - len(own)
+            skip += [(at + a, at + b) for a, b in edges]
+            nodes += own + [HUB] * max(hubs, 0)
+            owner += [i] * (len(nodes) - at)
+            alike = [1] * (len(nodes) - at)
+            for a, b in edges:
+                alike[b] += b >= len(own)
+            for a, b in edges:
+                alike[a] = max(alike[a], alike[b] - 1) if b >= len(own) else alike[a]
+            share += [1 / n for n in alike]
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if not nodes:
         return out
     edge = lambda x: np.array(x, dtype=np.int64).reshape(-1, 2)
     observed = np.array([x.label for x in nodes])
-    belief = field.posteriors(np.array([x.shape for x in nodes], dtype=np.int64), observed, edge(chain), edge(skip))
-    pick = np.where((observed == 0) & (belief[:, 1:].max(1) > CERTAIN), belief[:, 1:].argmax(1), -1)
+    shapes = np.array([x.shape for x in nodes], dtype=np.int64)
+    parts = np.unique(owner, return_inverse=True)[1]
+    belief = field.posteriors(shapes, observed, edge(chain), edge(skip), parts, np.array(share))
+    pick = np.where((observed == 0) & (shapes >= 0) & (belief[:, 1:].max(1) > CERTAIN), belief[:, 1:].argmax(1), -1)
     for i in np.flatnonzero(pick >= 0):
         spans, kind = out[owner[i]], int(pick[i])
         if nodes[i].joined and spans and pick[i - 1] == kind and spans[-1][2] == nodes[i - 1].end:
@@ -319,4 +360,4 @@ def find_personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     spans = "array<struct<kind:string,start:int,end:int>>"
-    return docs.mapInArrow(search, f"doc_id {kind}, base {spans}, added {spans}")
+    return in_arrow(docs, search, f"doc_id {kind}, base {spans}, added {spans}")

@@ -1,7 +1,10 @@
+import itertools
 import random
 import re
 
-from tallyscope.llm.pii import KINDS, base_spans, find_personal_data, learn_field, luhn, skip_edges, tokens
+import numpy as np
+
+from tallyscope.llm.pii import KINDS, SHAPE_BITS, Field, added_spans, base_spans, find_personal_data, learn_field, luhn, skip_edges, tokens
 from tallyscope.llm.queries import op4_pii
 
 SCHEMA = "doc_id long, text string"
@@ -57,6 +60,49 @@ def test_skip_edges_form_chains():
     assert len(nodes) == 50 and len(skip_edges(nodes)) <= 50
 
 
+def random_field(r, labels=5):
+    table = lambda: np.array([[r.uniform(-1, 1) for _ in range(labels)] for _ in range(labels)])
+    skip = table()
+    return Field(np.array([[r.uniform(-1, 1) for _ in range(labels)] for _ in range(SHAPE_BITS)]), table()[0], table(), skip + skip.T)
+
+
+def test_marginals_equal_enumeration():
+    """On trees, chains and nodes of keys among them, the messages give exact marginals."""
+    r = random.Random(4)
+    for _ in range(6):
+        field, n = random_field(r), 5
+        shapes = np.array([r.randrange(1 << SHAPE_BITS) for _ in range(n - 1)] + [-1])
+        observed = np.array([r.choice([0, 0, 0, 2]) for _ in range(n - 1)] + [0])
+        chain, skip = np.array([[0, 1]]), np.array([[1, 4], [2, 4], [3, 4]])
+        own = np.where(shapes[:, None] >= 0, field.scores(np.maximum(shapes, 0)), 0.0)
+        total = np.zeros((n, 5))
+        for labels in itertools.product(range(5), repeat=n):
+            if any(o and o != x for o, x in zip(observed, labels)):
+                continue
+            weight = sum(own[i, x] for i, x in enumerate(labels) if not observed[i])
+            weight += sum(field.chain[labels[a], labels[b]] for a, b in chain) + sum(field.skip[labels[a], labels[b]] for a, b in skip)
+            for i, x in enumerate(labels):
+                total[i, x] += np.exp(weight)
+        got = field.posteriors(shapes, observed, chain, skip, np.zeros(n, dtype=np.int64))
+        assert np.allclose(got, total / total.sum(1, keepdims=True), atol=2e-3)
+
+
+def test_a_document_does_not_depend_on_its_batch():
+    r = random.Random(5)
+    field = random_field(r)
+    texts = [" ".join(r.choice(["id77", "id77", "+1 (555) 555-2485", "5552485", "x@y.zz", "x9", "12", "word"]) for _ in range(25)) for _ in range(20)]
+    bases = [base_spans(t) for t in texts]
+    assert added_spans(texts, bases, field) == [added_spans([t], [b], field)[0] for t, b in zip(texts, bases)]
+
+
+def test_repeats_far_apart_are_all_found(spark):
+    """Repeats of what a pattern found don't teach the field that they are no entities."""
+    text = lambda i, k: f"mail user.{i:03}@host.example.com now. " + "".join(f"Then user.{i:03} wrote, line {j} of it. " for j in range(k))
+    docs = spark.createDataFrame([(i, text(i, 30 if i < 4 else 1)) for i in range(100)], SCHEMA)
+    for r in find_personal_data(docs).collect():
+        assert len([s for s in r.added if s.kind == "email"]) == (30 if r.doc_id < 4 else 1)
+
+
 def test_defined_results(spark, tmp_path):
     rows = [(1, None, "x"), (2, "", "x"), (3, "a@b.cc", "x"), (3, "a@b.cc", "x"), (None, "1.2.3.4 and é 5.6.7.8", "x"), (4, "no data", "x")]
     docs = spark.createDataFrame(rows, SCHEMA + ", base string")
