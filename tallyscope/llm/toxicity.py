@@ -18,7 +18,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import id_remainder, materialize
+from tallyscope.llm.common import id_remainder, in_arrow, materialize
 from tallyscope.llm.wordhash import LETTERS, Words, hash_words, per_doc, pieces
 
 #: Labelled texts that the lexicons, the trees and the calibration learn from, about; drawn by a hash of the id.
@@ -83,9 +83,9 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn_lexicons(labelled: DataFrame) -> dict[int, np.ndarray]:
     """Sorted hashes of the entries of each kind, from `labelled` (text, toxic); equal texts count once."""
+    texts = labelled.groupBy("text").agg(F.max("toxic").alias("toxic"))
     terms = (
-        labelled.groupBy("text").agg(F.max("toxic").alias("toxic"))
-        .mapInArrow(count_terms, "kind long, term long, n long, toxic long")
+        in_arrow(texts, count_terms, "kind long, term long, n long, toxic long")
         .groupBy("kind", "term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
         .where((F.col("n") >= MIN_DOCS) & (F.col("toxic") >= MIN_SHARE * F.col("n")))
     )
@@ -144,16 +144,18 @@ def with_features(docs: DataFrame, lexicons: dict[int, np.ndarray], carry: list[
                 )
 
     kept = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return docs.select(*carry, "text").mapInArrow(compute, ", ".join([kept, *[f"{f} double" for f in FEATURES]]))
+    return in_arrow(docs.select(*carry, "text"), compute, ", ".join([kept, *[f"{f} double" for f in FEATURES]]))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of `docs` (doc_id, text).
 
     Learns from the rows of `labels` (doc_id, toxic) with crc32(doc_id) mod 3 other than 1 and a toxic value of 0 or
-    1, about `max_docs` of them; labels of one doc_id count once, by the largest. A fifth of them calibrates the
-    trees. Where labels of either class are missing, the score is their mean (0 without labels). A null text counts as
-    empty; repeated rows are scored alike; an empty table gives an empty result. Other columns are ignored.
+    1, about `max_docs` of them; labels of one doc_id count once, by the largest. Lexicons and trees learn from four
+    fifths, and the rest, which neither has seen, calibrates the trees; where one of these parts lacks a class, both
+    steps take all. Where labels of either class are missing altogether, the score is their mean (0 without labels). A
+    null text counts as empty; repeated rows are scored alike; an empty table gives an empty result. Other columns are
+    ignored.
     """
     docs = docs.select("doc_id", "text")
     held = id_remainder(F.col("doc_id"))
@@ -162,20 +164,24 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN
     quota = max_docs / max(usable.count(), 1)
     drawn = docs.where((held != 1) & (share < quota)).join(usable.where(share < quota), "doc_id")
     drawn = materialize(drawn.select("doc_id", "text", "toxic"), "labelled")
-    mean, classes, n = drawn.agg(F.avg("toxic"), F.count_distinct("toxic"), F.count("*")).first()
-    if classes < 2 or n < 50:
+    fold = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fold")), F.lit(5)) == 0
+    mean, classes = drawn.agg(F.avg("toxic"), F.count_distinct("toxic")).first()
+    if classes < 2:
         score = F.lit(float(mean or 0.0))
         return docs.select("doc_id", (held == 1).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
-    lexicons = learn_lexicons(drawn)
+    if drawn.select(fold.alias("fold"), "toxic").distinct().count() == 4:
+        learns, calibrates = ~fold, fold
+    else:
+        learns = calibrates = F.lit(True)
+    lexicons = learn_lexicons(drawn.where(learns))
     table = materialize(with_features(drawn, lexicons, ["doc_id", "toxic"]), "features")
     gather = VectorAssembler(inputCols=FEATURES, outputCol="features")
     margin = vector_to_array(F.col("rawPrediction"))[1]
-    fold = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fold")), F.lit(5)) == 0
     ready = gather.transform(table.withColumn("label", F.col("toxic").cast("double")))
-    trees = GBTClassifier(maxIter=12, maxDepth=3, maxBins=32, stepSize=0.3, seed=7).fit(ready.where(~fold).select("features", "label"))
+    trees = GBTClassifier(maxIter=12, maxDepth=3, maxBins=32, stepSize=0.3, seed=7).fit(ready.where(learns).select("features", "label"))
     bind = VectorAssembler(inputCols=["margin"], outputCol="margins")
     raw = lambda rows: bind.transform(trees.transform(rows).withColumn("margin", margin))
-    scale = IsotonicRegression(featuresCol="margins", labelCol="label", predictionCol="score").fit(raw(ready.where(fold)).select("margins", "label"))
+    scale = IsotonicRegression(featuresCol="margins", labelCol="label", predictionCol="score").fit(raw(ready.where(calibrates)).select("margins", "label"))
     scored = scale.transform(raw(gather.transform(with_features(docs, lexicons, ["doc_id"]))).select("doc_id", "margins"))
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))
     return scored.select("doc_id", (held == 1).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
