@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import materialize
+from tallyscope.llm.common import SMALL, checked, in_arrow, materialize
 from tallyscope.llm.wordhash import BASE, Words, mix, pieces
 
 #: Weight of the unigram model in the bigram estimate, in pseudo-counts (Dirichlet smoothing).
@@ -30,9 +30,10 @@ HOT_WORD, HOT_PAIR = 1 / (1 << 16), 1 / (1 << 14)
 DEALT = 4 << 20
 
 UNKNOWN, BEGIN = 0, 1
-ENTRY = np.dtype([("word", "<u8"), ("previous", "<u8"), ("key", "<i8"), ("flags", "u1")])
-#: Flags of an entry: its text is a target; its word is the last of the text.
-AIM, LAST = 1, 2
+#: Bytes of the hash of a bigram that travel: it is compared only with the other bigrams of its second word.
+PAIR_BYTES = 6
+#: Flags of an entry: its text is a target; its word is the last of the text; the first; its bigram is a frequent one.
+AIM, LAST, FIRST, HOT = 1, 2, 4, 8
 COUNTS = ("n", "n_target", "n_last", "n_target_last")
 
 
@@ -72,6 +73,35 @@ def previous_of(word: np.ndarray, first: np.ndarray) -> np.ndarray:
     return previous
 
 
+def pack(word: np.ndarray, pair: np.ndarray, doc: np.ndarray, key: np.ndarray, flags: np.ndarray) -> bytes:
+    """Entries sorted by word: each word and each text (by its key[doc]) once, and of a bigram's hash PAIR_BYTES bytes."""
+    words, runs = np.unique(word, return_counts=True)
+    docs, place = np.unique(doc, return_inverse=True)
+    place = place.astype(np.uint16 if len(docs) <= 1 << 16 else np.uint32)
+    low = np.ascontiguousarray(pair).view(np.uint8).reshape(-1, 8)[:, :PAIR_BYTES]
+    parts = (np.array([len(word), len(words), len(docs)], np.int32), words, runs.astype(np.int32), key[docs], place, low, flags)
+    return b"".join(x.tobytes() for x in parts)
+
+
+def unpack(held: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word, low bytes of the bigram, key, flags) of the entries that `pack` was given."""
+    n, n_words, n_docs = np.frombuffer(held, np.int32, 3).tolist()
+    at, out = 12, []
+    for kind, count in ((np.uint64, n_words), (np.int32, n_words), (np.int64, n_docs), (np.uint16 if n_docs <= 1 << 16 else np.uint32, n),
+                        (np.uint8, n * PAIR_BYTES), (np.uint8, n)):
+        out.append(np.frombuffer(held, kind, count, at))
+        at += out[-1].nbytes
+    words, runs, keys, place, low, flags = out
+    pair = np.zeros((n, 8), dtype=np.uint8)
+    pair[:, :PAIR_BYTES] = low.reshape(n, PAIR_BYTES)
+    return np.repeat(words, runs), pair.view(np.uint64).ravel(), keys[place], flags
+
+
+def low_bytes(pair: np.ndarray) -> np.ndarray:
+    """The part of a bigram's hash that travels."""
+    return pair & np.uint64((1 << 8 * PAIR_BYTES) - 1)
+
+
 def listed(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
     """The values of a column, sorted, and COUNTS (rows) of each."""
     own = table.column(column).to_numpy().view(np.uint64)
@@ -109,9 +139,11 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, vocab_size: int | No
     """
     docs = docs.select("doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text"))
     ids = target_ids.where("doc_id is not null").select("doc_id").distinct().withColumn("aim", F.lit(1))
-    # a merge join at every size: the plan, and so its cost for each byte, doesn't change as the ids outgrow a broadcast
-    aimed = docs.join(ids.hint("merge"), "doc_id", "left").select("key", "text", F.coalesce("aim", F.lit(0)).alias("aim"))
-    aimed = materialize(aimed, "aimed")
+    ids = materialize(ids, "targets")
+    n_ids = ids.count()
+    aimed = docs.join(checked(ids, n_ids), "doc_id", "left").select("key", "text", F.coalesce("aim", F.lit(0)).alias("aim"))
+    if n_ids > SMALL:  # the texts are read three times, but shuffled once
+        aimed = materialize(aimed, "aimed")
     context = docs.sparkSession.sparkContext
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +154,7 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, vocab_size: int | No
                     word, _, counts = tally(found.hashes(), flags_of(found, rows.column("aim").to_numpy()))
                     yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), *map(pa.array, counts)], ["word", *COUNTS])
 
-    counted = aimed.mapInArrow(count_words, "word long, " + ", ".join(f"{c} long" for c in COUNTS))
+    counted = in_arrow(aimed, count_words, "word long, " + ", ".join(f"{c} long" for c in COUNTS))
     words = materialize(counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS]), "words")
     size, *sums = words.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(c), F.lit(0)) for c in COUNTS]).first()
     vocab = top_words(words, vocab_size) if vocab_size is not None else None
@@ -151,7 +183,7 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, vocab_size: int | No
                     pair, _, counts = tally(pairs_of(previous, word)[both], flags[both])
                     yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), *map(pa.array, counts)], ["pair", *COUNTS])
 
-    pairs = aimed.mapInArrow(count_pairs, "pair long, " + ", ".join(f"{c} long" for c in COUNTS))
+    pairs = in_arrow(aimed, count_pairs, "pair long, " + ", ".join(f"{c} long" for c in COUNTS))
     pairs = pairs.groupBy("pair").agg(*[F.sum(c).alias(c) for c in COUNTS]).where(F.col("n") >= pair_from)
     hot_pairs = listed((pairs if len(often) else pairs.limit(0)).toArrow(), "pair")
     shared = context.broadcast((hot_words, hot_pairs, vocab))
@@ -162,38 +194,38 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, vocab_size: int | No
                 found = Words(data, offsets)
                 if len(found.start) == 0:
                     continue
-                entry = np.empty(len(found.start), dtype=ENTRY)
                 hot_words, hot_pairs, vocab = shared.value
-                entry["word"] = word = coded(found, vocab)
-                entry["previous"] = previous_of(word, found.first)
-                entry["key"] = rows.column("key").to_numpy()[found.doc]
-                entry["flags"] = flags_of(found, rows.column("aim").to_numpy())
-                pair = pairs_of(entry["previous"], word)
+                word = coded(found, vocab)
+                previous, flags = previous_of(word, found.first), flags_of(found, rows.column("aim").to_numpy())
+                pair, key = pairs_of(previous, word), rows.column("key").to_numpy()
+                hot = found_in(hot_pairs[0], pair)[0]
+                flags[previous == BEGIN] |= FIRST
+                flags[hot] |= HOT
                 route = np.where(found_in(hot_words[0], word)[0], pair, word)
-                route = mix(np.where(found_in(hot_pairs[0], pair)[0], np.ascontiguousarray(entry["key"]).view(np.uint64), route))
+                route = mix(np.where(hot, key[found.doc].view(np.uint64), route))
                 bucket = (route % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
+                order = np.lexsort((word, bucket))
                 own, first = np.unique(bucket[order], return_index=True)
-                # a column after the other, so that equal bytes stand together
-                parts = np.split(entry[order], first[1:])
-                held = [b"".join(np.ascontiguousarray(part[c]).tobytes() for c in ENTRY.names) for part in parts]
+                held = [pack(word[x], pair[x], found.doc[x], key, flags[x]) for x in np.split(order, first[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(held, pa.binary())], ["bucket", "entries"])
 
     def weigh(held: list[bytes]) -> pa.RecordBatch:
-        entry = {}
-        for name in ENTRY.names:
-            own, before = ENTRY[name], ENTRY.fields[name][1]
-            entry[name] = np.concatenate([np.frombuffer(h, own, len(h) // ENTRY.itemsize, len(h) // ENTRY.itemsize * before) for h in held])
-        word, flags = entry["word"], entry["flags"]
-        counts = []
-        for values, (hot, exact) in zip((word, pairs_of(entry["previous"], word)), shared.value, strict=False):
-            own, place, here = tally(values, flags)
-            known, at = found_in(hot, own)
-            here[:, known] = exact[:, at[known]]
-            counts.append(here[:, place])
-        counts, pair = counts
-        key, doc = np.unique(entry["key"], return_inverse=True)
-        goes_on, begins = flags & LAST == 0, entry["previous"] == BEGIN
+        word, low, keys, flags = (np.concatenate(x) for x in zip(*map(unpack, held), strict=True))
+        hot_words, hot_pairs, _ = shared.value
+        own, place, here = tally(word, flags)
+        known, at = found_in(hot_words[0], own)
+        here[:, known] = hot_words[1][:, at[known]]
+        counts = here[:, place]
+        # a bigram is told from the others of its word by the bytes that travel
+        own, place, here = tally(mix(word) + low, flags)
+        some = np.zeros(len(own), dtype=np.int64)
+        some[place] = np.arange(len(place))
+        some = some[known := flags[some] & HOT != 0]
+        order = np.argsort(low_bytes(hot_pairs[0]))
+        here[:, known] = hot_pairs[1][:, order[np.searchsorted(low_bytes(hot_pairs[0])[order], low[some])]]
+        pair = here[:, place]
+        key, doc = np.unique(keys, return_inverse=True)
+        goes_on, begins = flags & LAST == 0, flags & FIRST != 0
         columns = [pa.array(key), pa.array(np.bincount(doc))]
         for model in (1, 0):
             bits = bits_of(pair[model], counts[model], sums[model], width)
@@ -215,8 +247,8 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, vocab_size: int | No
         if held:
             yield weigh(held)
 
-    dealt = aimed.mapInArrow(deal, "bucket int, entries binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    found = dealt.mapInArrow(weigh_buckets, "key long, n long, target double, background double")
+    dealt = in_arrow(aimed, deal, "bucket int, entries binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    found = in_arrow(dealt, weigh_buckets, "key long, n long, target double, background double")
     found = found.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "target", "background")])
     # rows of one key are repeats: their bits and words are in the sums as often as they stand
     rows = docs.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.first("doc_id").alias("doc_id"))

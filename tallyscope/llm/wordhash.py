@@ -69,6 +69,7 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = NOT_BLANK):
         self.data = data
+        self._base, self._sums = -1, np.zeros(0, dtype=np.uint64)
         if len(data) == 0:
             self.start = self.end = self.doc = np.zeros(0, dtype=np.int64)
             self.first = np.zeros(len(offsets), dtype=np.int64)
@@ -85,24 +86,46 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
 
-    def _sums(self) -> tuple[np.ndarray, np.ndarray]:
-        if not hasattr(self, "_kept"):
-            power, inverse = _power_tables(len(self.data) + 1)
-            terms = (LOWER[self.data].astype(np.uint64) + np.uint64(1)) * power[: len(self.data)]
-            sums = np.empty(len(terms) + 1, dtype=np.uint64)
-            sums[0] = 0
-            np.cumsum(terms, out=sums[1:])
-            self._kept = sums, inverse
-        return self._kept
+    def _runs(self) -> Iterator[tuple[int, int]]:
+        """(first, last + 1) of runs of words that lie within about 2 * PIECE bytes."""
+        at = 0
+        while at < len(self.start):
+            end = max(int(np.searchsorted(self.end, self.start[at] + 2 * PIECE, side="right")), at + 1)
+            yield at, end
+            at = end
 
     def hashes(self, most: int | None = None) -> np.ndarray:
         """A 64-bit hash of each word with A-Z lower-cased, or of its first `most` bytes."""
-        sums, inverse = self._sums()
+        raw = np.empty(len(self.start), dtype=np.uint64)
         end = self.end if most is None else np.minimum(self.end, self.start + most)
-        raw = (sums[end] - sums[self.start]) * inverse[self.start]
+        for low, high in self._runs():  # what is held beside the result is bounded, however long a text is
+            base, stop = int(self.start[low]), int(end[high - 1])
+            if stop - base > 2 * PIECE:
+                raw[low] = _hash_of_long(self.data[base:stop])
+                continue
+            if self._base == base and len(self._sums) > stop - base:
+                sums = self._sums
+            else:
+                sums = np.zeros(stop - base + 1, dtype=np.uint64)
+                terms = (LOWER[self.data[base:stop]].astype(np.uint64) + np.uint64(1)) * _power_tables(stop - base + 1)[0][: stop - base]
+                np.cumsum(terms, out=sums[1:])
+                self._base, self._sums = base, sums
+            inverse = _power_tables(len(sums))[1]
+            begin = self.start[low:high] - base
+            raw[low:high] = (sums[end[low:high] - base] - sums[begin]) * inverse[begin]
         return mix(raw + (end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def _hash_of_long(word: np.ndarray) -> np.uint64:
+    total, lead = 0, 1
+    step, power = pow(BASE, PIECE, 1 << 64), _power_tables(PIECE)[0]
+    for low in range(0, len(word), PIECE):
+        own = LOWER[word[low : low + PIECE]].astype(np.uint64) + np.uint64(1)
+        total += int((own * power[: len(own)]).sum(dtype=np.uint64)) * lead
+        lead = lead * step % (1 << 64)
+    return np.uint64(total % (1 << 64))
+
+
 def hash_words(words: list[str], most: int | None = None) -> np.ndarray:
     """The hashes that `Words` gives to these words."""
     raw = [w.encode() for w in words]
