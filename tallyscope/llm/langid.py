@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyscope.llm.common import id_remainder
+from tallyscope.llm.common import fresh, id_remainder, in_arrow
 from tallyscope.llm.wordhash import pieces
 
 ORDER = 3
@@ -167,7 +167,7 @@ def train(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> ContextTrees | Non
     drawn = F.lit(False)
     for lang, n in sizes.items():
         drawn = drawn | ((F.col("lang") == lang) & (share < F.lit(max_docs / n)))
-    grams = known.where(drawn).select("lang", "text").mapInArrow(count_grams, "lang string, gram long, n long")
+    grams = in_arrow(known.where(drawn).select("lang", "text"), count_grams, "lang string, gram long, n long")
     counted = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     names = np.array(counted.column("lang").to_pylist(), dtype=object)
     gram, n = counted.column("gram").to_numpy(), counted.column("n").to_numpy()
@@ -175,40 +175,38 @@ def train(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> ContextTrees | Non
     return ContextTrees(list(trees), trees) if trees else None
 
 
-def predict(docs: DataFrame, trees: ContextTrees | None) -> DataFrame:
-    """`docs` with __lang, __score and __bits: the language of the shortest code, its posterior under equal priors (0
-    to 1), and that code's bits for each byte. `und` with score 0 where the text is null or has no letter, or nothing
-    was learned."""
-    docs = docs.withColumn("__letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+def predict(docs: DataFrame, trees: ContextTrees | None, named: tuple[str, str, str] = ("lang_pred", "score", "bits_per_byte")) -> DataFrame:
+    """`docs` with three columns of the names `named`: the language of the shortest code, its posterior under equal
+    priors (0 to 1), and that code's bits for each byte. `und` with score 0 where the text is null or has no letter, or
+    nothing was learned."""
     if trees is None:
-        return docs.drop("__letters").withColumns(
-            {"__lang": F.lit("und"), "__score": F.lit(0.0), "__bits": F.lit(0.0)}
-        )
+        return docs.withColumns(dict(zip(named, (F.lit("und"), F.lit(0.0), F.lit(0.0)), strict=True)))
     shared = docs.sparkSession.sparkContext.broadcast(trees)
-    names = [f.name for f in docs.schema if f.name != "__letters"]
-    schema = T.StructType(
-        [f for f in docs.schema if f.name != "__letters"]
-        + [T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType()), T.StructField("__bits", T.DoubleType())]
-    )
+    # the columns go through Python by place, so that their names may be any
+    outer, names, letters = [*docs.columns, *named], [f"c{i}" for i in range(len(docs.columns))], fresh("letters")
+    text = names[docs.columns.index("text")]
+    kinds = [f.dataType for f in docs.schema] + [T.StringType(), T.DoubleType(), T.DoubleType()]
+    schema = T.StructType([T.StructField(n, kind) for n, kind in zip([*names, *named], kinds, strict=True)])
+    docs = docs.withColumn(letters, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).toDF(*names, letters)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         langs = np.array([*model.langs, "und"], dtype=object)
         for batch in batches:
-            for rows, data, offsets in pieces(batch, "text"):
+            for rows, data, offsets in pieces(batch, text):
                 bits = model.code_lengths(data, offsets)
                 best = bits.min(1)
                 posterior = 1.0 / np.exp2(np.maximum(best[:, None] - bits, -1000.0)).sum(1)
-                known = rows.column("__letters").to_numpy(zero_copy_only=False)
+                known = rows.column(letters).to_numpy(zero_copy_only=False)
                 pick = np.where(known, bits.argmin(1), len(langs) - 1)
                 rate = best / np.maximum(np.diff(offsets), 1)
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(x) for x in names]
                     + [pa.array(langs[pick], pa.string()), pa.array(np.where(known, posterior, 0.0)), pa.array(np.where(known, rate, 0.0))],
-                    [*names, "__lang", "__score", "__bits"],
+                    [*names, *named],
                 )
 
-    return docs.mapInArrow(score, schema)
+    return in_arrow(docs, score, schema).toDF(*outer)
 
 
 def identify(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
@@ -223,14 +221,21 @@ def identify(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
     return predict(rows.select("doc_id", "text"), trees).select(
         "doc_id",
         (id_remainder(F.col("doc_id")) == 1).alias("held_out"),
-        F.col("__lang").alias("lang_pred"),
-        F.col("__score").alias("score"),
-        F.col("__bits").alias("bits_per_byte"),
+        "lang_pred",
+        "score",
+        "bits_per_byte",
     )
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.5, max_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
-    """The rows of `docs` whose language is found: those that are not `und` and score `min_score` or more."""
+    """The rows of `docs` (doc_id, text, lang, ...) whose language is found: not `und`, and with a score of `min_score`
+    or more.
+
+    Null texts and texts without a letter go; if no language can be learned, all do. Repeated rows are judged alike,
+    and of rows of one doc_id each by its own text; an empty table gives an empty result. All columns are kept,
+    whatever their names.
+    """
     trees = train(docs.select("doc_id", "text", "lang").where(id_remainder(F.col("doc_id")) != 1), max_docs)
-    judged = predict(docs, trees)
-    return judged.where((F.col("__lang") != "und") & (F.col("__score") >= min_score)).select(docs.columns)
+    lang, score, bits = named = fresh("lang"), fresh("score"), fresh("bits")
+    judged = predict(docs, trees, named)
+    return judged.where((F.col(lang) != "und") & (F.col(score) >= min_score)).drop(*named)

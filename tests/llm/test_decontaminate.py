@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tallyscope.llm.decontaminate import SEGMENT, banded_edits, budget, drop_contaminated, find_passages
+from tallyscope.llm.decontaminate import SEGMENT, Passages, banded_edits, budget, drop_contaminated, find_passages, find_regions
 
 DOCS, ITEMS = "doc_id long, text string", "item_id long, text string"
 
@@ -85,6 +85,56 @@ def test_part_of_a_passage_of_one_and_a_half_segments(spark):
     assert sorted((h.doc_id, h.edits) for h in hits.collect()) == [(1, 0), (2, 0), (4, 0), (5, len(item) // 10)]
 
 
+def test_short_passages(spark):
+    """Also those whose length leaves no room for 8-grams: q shrinks until the bound holds."""
+    r = random.Random(8)
+    items = [(n, "".join(r.choice("abcdefgh") for _ in range(n))) for n in (1, 3, 7, 8, 10, 12, 15, 17, 21, 23, 30, 31)]
+    docs = []
+    for i in range(120):
+        n, text = r.choice(items[1:])
+        docs.append((i, "".join(r.choice("mnop ") for _ in range(r.randrange(30))) + edited(r, text, r.randrange(0, 4)) + "".join(r.choice("mnop ") for _ in range(9))))
+    got = {(h.doc_id, h.item_id) for h in find_passages(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
+    assert got == {(i, k) for i, t in docs for k, item in items if least_edits(plain(item), plain(t)) <= budget(len(item))}
+    few = spark.createDataFrame([(1, "abc"), (2, "x")], DOCS)
+    assert [h.doc_id for h in find_passages(few, spark.createDataFrame([(5, "b")], ITEMS)).collect()] == [1]
+    assert drop_contaminated(few, spark.createDataFrame([(5, "b")], ITEMS)).count() == 2
+
+
+def test_a_common_opening_of_many_passages():
+    """The places of its q-grams are counted in parts, so that what is held is bounded."""
+    import tracemalloc
+
+    opening = "which of the following statements about the history of the town is true "
+    r = random.Random(2)
+    items = [(i, (opening + " ".join(str(r.random()) for _ in range(8))).encode()[:175]) for i in range(2000)]
+    index = Passages(items)
+    text = ((opening + "and so on ") * 20).encode() + items[7][1]
+    data = np.frombuffer(text, np.uint8)
+    tracemalloc.start()
+    found = find_regions(data, np.array([0, len(data)]), index)
+    assert tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
+    assert 7 in {index.item[s] for s in found[:, 1]}
+
+
+def test_windows_of_a_long_text(spark):
+    passage = " ".join(str(random.Random(3).random()) for _ in range(9))[:150]
+    fill = "words without end " * 1000
+    long = fill * 58 + passage[:140] + "#" + passage[141:] + " " + fill * 60 + passage + fill
+    hits = find_passages(spark.createDataFrame([(1, long), (2, fill)], DOCS), spark.createDataFrame([(4, passage)], ITEMS)).collect()
+    assert [(h.doc_id, h.item_id, h.edits) for h in hits] == [(1, 4, 0)]
+    first, last = long.index(passage[:140]), long.rindex(passage)
+    assert hits[0].start <= first and hits[0].end >= last + len(passage)
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    passage = "the quick brown fox jumps over the lazy dog and runs away"
+    docs = spark.createDataFrame([(1, passage, 0), (1, "clean", 0), (None, passage, 0), (None, None, 0), (2, passage, 0), (2, passage, 0)], DOCS + ", `__leak.x` int")
+    kept = drop_contaminated(docs, spark.createDataFrame([(7, passage)], ITEMS))
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == [("1", "clean"), ("None", None)]
+
+
 def test_banded_edits():
     regions = [b"zzabcdefghzzzz", b"zzabXdefghzzzz", b"zzabdefghzzzzz", b"zzabcdXXefghzz"]
     rows = lambda x: np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1)

@@ -78,3 +78,16 @@ def test_defined_results(spark):
     assert identify(docs.limit(0)).collect() == []
     kept = keep_identified(docs)
     assert kept.columns == docs.columns and kept.count() == len(rows) - 3
+
+
+def test_kept_rows_keep_clashing_columns(spark):
+    docs = spark.createDataFrame(
+        [(i, f"the river runs by the old town number {i} in summer" if i % 2 else f"der alte fluss nummer {i} der stadt im sommer", "en" if i % 2 else "de", 1, 2, 3) for i in range(60)]
+        + [(1, "12 34", "en", 1, 2, 3), (100, None, None, 1, 2, 3)],
+        "doc_id long, text string, lang string, __lang int, score int, `__letters.x` int",
+    )
+    kept = keep_identified(docs)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert sorted(r.doc_id for r in rows) == list(range(60)) and all(tuple(r)[3:] == (1, 2, 3) for r in rows)
+    assert keep_identified(docs.limit(0)).collect() == []

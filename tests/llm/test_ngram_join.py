@@ -85,6 +85,32 @@ def test_defined_results(spark):
     assert jaccard_components(docs.limit(0)).collect() == []
 
 
+def test_groups_that_only_members_link(spark):
+    """Two groups whose leaders are apart and whose members aren't: the bound from the leaders must let them through."""
+    r = random.Random(9)
+    base = [f"w{k}" for k in range(80)]
+    rows = []
+    for side in range(2):
+        for k in range(40):
+            text = base[:]
+            for i in r.sample(range(40), 1 + k % 4):
+                text[(i + 40 * side) % 80] = f"s{side}x{i}"
+            rows.append((len(rows), " ".join(text)))
+    for percent in (60, 80, 90):
+        got = jaccard_components(spark.createDataFrame(rows, SCHEMA).repartition(3), percent=percent)
+        assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got.collect()) == brute(rows, percent=percent)
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    rows = [(1, "a b c d e f g", "x"), (2, "A b c d e f g", "y"), (2, "quite another text of its own", "z"), (3, None, "n"), (3, " ", "m"), (1, "a b c d e f g", "x")]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA + ", source string, `__gone.x` int")
+    kept = keep_representatives(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id, r.text or "") for r in kept.collect())
+    assert got == [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "quite another text of its own"), (3, ""), (3, " ")]
+    assert keep_representatives(docs.limit(0)).collect() == []
+
+
 def test_representatives_keep_columns(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "A b c d e f", "y"), (3, None, "z")], SCHEMA + ", source string")
     kept = keep_representatives(docs)
