@@ -39,7 +39,9 @@ MAX_FREQUENT = 500_000
 #: Columns of 64 bits in the parity map of fixed length that travels with the index entries.
 SKETCH = [f"s{i}" for i in range(8)]
 #: Tokens of neighbouring documents that are counted at once.
-COUNTED = 4_000_000
+COUNTED = 1_000_000
+#: Entries of the index whose blocks are formed at once.
+INDEXED = 300_000
 
 STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
                   0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
@@ -274,9 +276,10 @@ class _Join:
         def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """(token, grp, comp, low, high, rest): of one group's sets in a list, the sizes and the most tokens from there on."""
             met: set[int] = set()
+            held: tuple[list, ...] = ([], [], [], [], [])
             for batch in batches:
-                token, grp, comp, size, rest = [], [], [], [], []
                 for part, sets in _own_sets(batch, "text", width):
+                    token, grp, comp, size, rest = held
                     g, c = part.column("grp").to_pylist(), part.column("comp").to_pylist()
                     for i, s in _real(part, sets, met):
                         p = prefix_of(s, frequent.value, t)
@@ -285,18 +288,23 @@ class _Join:
                         comp.append(np.full(len(p), c[i]))
                         size.append(np.full(len(p), len(s)))
                         rest.append(len(s) - np.arange(len(p)))
-                if not token:
-                    continue
-                token, grp, comp, size, rest = (np.concatenate(x) for x in (token, grp, comp, size, rest))
-                order = np.lexsort((grp, token))
-                token, grp, comp, size, rest = (x[order] for x in (token, grp, comp, size, rest))
-                new = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (grp[1:] != grp[:-1])]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(token[new].view(np.int64)), pa.array(grp[new]), pa.array(comp[new]),
-                     pa.array(np.minimum.reduceat(size, new).astype(np.int32)), pa.array(np.maximum.reduceat(size, new).astype(np.int32)),
-                     pa.array(np.maximum.reduceat(rest, new).astype(np.int32))],
-                    ["token", "grp", "comp", "low", "high", "rest"],
-                )
+                    if sum(map(len, token)) >= INDEXED:
+                        yield joined(*held)
+                        held = ([], [], [], [], [])
+            if held[0]:
+                yield joined(*held)
+
+        def joined(*held: list) -> pa.RecordBatch:
+            token, grp, comp, size, rest = (np.concatenate(x) for x in held)
+            order = np.lexsort((grp, token))
+            token, grp, comp, size, rest = (x[order] for x in (token, grp, comp, size, rest))
+            new = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (grp[1:] != grp[:-1])]))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(token[new].view(np.int64)), pa.array(grp[new]), pa.array(comp[new]),
+                 pa.array(np.minimum.reduceat(size, new).astype(np.int32)), pa.array(np.maximum.reduceat(size, new).astype(np.int32)),
+                 pa.array(np.maximum.reduceat(rest, new).astype(np.int32))],
+                ["token", "grp", "comp", "low", "high", "rest"],
+            )
 
         index = in_arrow(self.texts(groups, ("grp", "comp")), blocks, "token long, grp long, comp long, low int, high int, rest int")
         x, y = index.alias("x"), index.alias("y")

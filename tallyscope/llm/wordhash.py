@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 #: An odd multiplier (2^64 divided by the golden ratio) and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
