@@ -321,15 +321,14 @@ class _Join:
     def member_links(self, groups: DataFrame, open_pairs: DataFrame, frequent) -> DataFrame:
         """p, q: of the pairs of groups in `open_pairs` those of which some members link."""
         width, t = self.width, self.t
-        both = open_pairs.select(F.inline(F.array(F.struct(F.col("p").alias("grp"), "p", "q"), F.struct(F.col("q").alias("grp"), "p", "q"))))
-        some = groups.join(both.select("grp").distinct(), "grp", "left_semi")
+        some = groups.join(open_pairs.select(F.explode(F.array("p", "q")).alias("grp")).distinct(), "grp", "left_semi")
 
         def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """(token, grp, node, size, rest) and the sketch for every set and token of its prefix."""
+            """(token, grp, comp, node, size, rest) and the sketch for every set and token of its prefix."""
             met: set[int] = set()
             for batch in batches:
                 for part, sets in _own_sets(batch, "text", width):
-                    own = [np.array(part.column(c).to_pylist(), dtype=np.int64) for c in ("grp", "node")]
+                    own = [np.array(part.column(c).to_pylist(), dtype=np.int64) for c in ("grp", "comp", "node")]
                     token, rows, rest = [], [], []
                     maps, size = np.zeros((len(sets), len(SKETCH)), dtype=np.int64), np.array([len(s) for s in sets], dtype=np.int32)
                     for i, s in _real(part, sets, met):
@@ -343,23 +342,23 @@ class _Join:
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(np.concatenate(token)), *[pa.array(c[rows]) for c in own], pa.array(size[rows]),
                              pa.array(np.concatenate(rest).astype(np.int32)), *[pa.array(maps[rows, k]) for k in range(len(SKETCH))]],
-                            ["token", "grp", "node", "size", "rest", *SKETCH],
+                            ["token", "grp", "comp", "node", "size", "rest", *SKETCH],
                         )
 
-        shape = "token long, grp long, node long, size int, rest int, " + ", ".join(f"{k} long" for k in SKETCH)
-        lists = in_arrow(self.texts(some, ("grp",)), entries, shape)
-        lists = materialize(lists.join(both, "grp"), "lists")
-        x, y = lists.where("grp = p").alias("x"), lists.where("grp = q").alias("y")
+        shape = "token long, grp long, comp long, node long, size int, rest int, " + ", ".join(f"{k} long" for k in SKETCH)
+        lists = materialize(in_arrow(self.texts(some, ("grp", "comp")), entries, shape), "lists")
+        x, y = lists.alias("x"), lists.alias("y")
         off = sum((F.bit_count(F.col(f"x.{k}").bitwiseXOR(F.col(f"y.{k}"))) for k in SKETCH), F.lit(0))
         sizes = F.col("x.size") + F.col("y.size")
         fits = (
-            (F.col("x.token") == F.col("y.token")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q"))
+            (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp"))
             & (100 * F.least("x.size", "y.size") >= t * F.greatest("x.size", "y.size"))
             & ((100 + t) * F.least("x.rest", "y.rest") >= t * sizes)
             & ((100 + t) * off <= (100 - t) * sizes)
         )
-        pairs = x.join(y, fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), "x.p", "x.q").distinct()
-        pairs = materialize(self.possible(materialize(pairs, "member-pairs")), "possible")
+        ends = (F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.grp").alias("p"), F.col("y.grp").alias("q"))
+        pairs = materialize(x.join(y, fits).select(*ends).distinct(), "member-pairs").join(open_pairs, ["p", "q"], "left_semi")
+        pairs = materialize(self.possible(pairs), "possible")
         return materialize(pairs.join(self.compared(pairs), ["a", "b"]).where(self.linked()).select("p", "q").distinct(), "member-links")
 
     def components(self, frequent) -> DataFrame:
