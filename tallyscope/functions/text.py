@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions.scores import lit
 
-STOP_WORDS = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "were", "has", "have", "not", "but", "its")
+#: The words that are no tokens.
+STOP_WORDS = (
+    "and", "the", "for", "with", "this", "that", "from", "page", "slide", "ppt",
+    "以及", "进行", "一个", "需要", "可以", "内容", "页面", "幻灯片", "展示",
+)
 HAN = r"一-鿿"
 
 
@@ -17,10 +21,10 @@ def normalize_text(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """The distinct tokens of a text in order: words of three letters or more, numbers with their decimals and percent
+    """The distinct tokens of a text in order: words of three characters or more that begin with a letter, numbers with their decimals and percent
     sign, and the overlapping pairs of each run of Han characters; no stop words."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    plain = F.regexp_extract_all(low, F.lit(r"[a-z][a-z0-9]{2,}|[0-9]+(?:\.[0-9]+)?%?"), F.lit(0))
+    plain = F.regexp_extract_all(low, F.lit(r"[a-z][a-z0-9_-]{2,}|[0-9]+(?:\.[0-9]+)?%?"), F.lit(0))
     runs = F.regexp_extract_all(low, F.lit(f"[{HAN}]+"), F.lit(0))
     pair = lambda run: F.when(F.length(run) < 2, F.array(run)).otherwise(
         F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - 1, F.lit(1))), lambda i: F.substring(run, i, F.lit(2)))
@@ -42,9 +46,15 @@ def recall(needed: Column, held: Column) -> Column:
 
 
 def token_recall(needle: Column, hay: Column) -> Column:
-    """1 where the normalised needle stands in the normalised hay, else the recall of its tokens (0 without any)."""
-    whole = (normalize_text(needle) != "") & F.contains(normalize_text(hay), normalize_text(needle))
-    return F.when(whole, lit(1)).otherwise(F.coalesce(recall(tokens(needle), tokens(hay)), lit(0)))
+    """1 where the normalised needle stands in the normalised hay, else the recall of its tokens. Without tokens that
+    alone decides, so an empty needle gives 1."""
+    return recall_of(normalize_text(needle), tokens(needle), normalize_text(hay), tokens(hay))
+
+
+def recall_of(needle: Column, needed: Column, hay: Column, held: Column) -> Column:
+    """token_recall of texts that are normalised and tokenised already."""
+    held_whole = F.contains(hay, needle)
+    return F.when((needle != "") & held_whole, lit(1)).otherwise(F.coalesce(recall(needed, held), held_whole.cast("double")))
 
 
 def sentences(text: Column, least: int = 8, most: int = 240) -> Column:

@@ -31,10 +31,31 @@ def budgeted_sample(pages: DataFrame, k: int) -> DataFrame:
     return ranked.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k).drop("rn")
 
 
+def running_before(rows: DataFrame, key: str, seq: str, value: Column, name: str) -> DataFrame:
+    """`rows` with `name`: the sum of `value` (a whole number) over the rows of the same `key` before it, by `seq` (a
+    number; equal ones count in any order).
+
+    A key may hold most rows: its rows are dealt into ranges of `seq`, about as many as rows in each, whose offsets come
+    from their sums, so no window is over a whole key. A null key is one of its own; a null seq comes first.
+    """
+    span = rows.agg(F.min(seq).alias("__low"), F.max(seq).alias("__high"), F.count(F.lit(1)).alias("__rows"))
+    share = (F.col(seq) - F.col("__low")) / F.greatest(F.col("__high") - F.col("__low"), F.lit(1))
+    placed = rows.crossJoin(F.broadcast(span)).withColumn("__at", F.floor(F.coalesce(share, F.lit(-1)) * F.ceil(F.sqrt("__rows"))).cast("long"))
+    placed = placed.withColumn("__value", value.cast("long")).drop("__low", "__high", "__rows")
+    sums = placed.groupBy(F.col(key).alias("__key"), F.col("__at").alias("__range")).agg(F.sum("__value").alias("__sum"))
+    before = Window.partitionBy("__key").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("__offset", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
+    own = Window.partitionBy(key, "__at").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    joined = placed.join(sums, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__at") == F.col("__range")))
+    total = F.col("__offset") + F.coalesce(F.sum("__value").over(own), F.lit(0))
+    return joined.withColumn(name, total).drop("__key", "__at", "__range", "__offset", "__value")
+
+
 def active_sampling(records: DataFrame, random_share: float = 0.10) -> DataFrame:
     """`records` (record, diversity_key, seq, uncertainty, disagreement, severity, value) with bonus and score: what to
     label first. The bonus of a record is 1 / (1 + records of its key before it)."""
-    before = F.row_number().over(Window.partitionBy("diversity_key").orderBy("seq")) - 1
+    records = running_before(records, "diversity_key", "seq", F.lit(1), "__before")
+    before = F.col("__before")
     score = (
         lit(0.28) * F.col("uncertainty")
         + lit(0.24) * F.col("disagreement")
@@ -43,4 +64,4 @@ def active_sampling(records: DataFrame, random_share: float = 0.10) -> DataFrame
         + lit(0.10) * F.col("bonus")
         + lit(random_share * 0.05) * hash_fraction(F.col("record"))
     )
-    return records.withColumn("bonus", lit(1) / (lit(1) + before)).withColumn("score", score)
+    return records.withColumn("bonus", lit(1) / (lit(1) + before)).withColumn("score", score).drop("__before")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyscope.functions import text as X
 from tallyscope.functions.scores import clamp, ladder, lit, lookup, piecewise, ratio, round6, severity_band
 from tallyscope.operators.reduce import page_quality
-from tallyscope.operators.sampling import active_sampling, budgeted_sample, even_places
+from tallyscope.operators.sampling import active_sampling, budgeted_sample, even_places, running_before
 from tallyscope.plans.registry import query
 from tallyscope.sources.tables import table
 
@@ -139,7 +139,7 @@ def content_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 TOKENS = (
-    r"list_distinct(list_filter(regexp_extract_all(lower(coalesce({}, '')), '[a-z][a-z0-9]{{2,}}|[0-9]+(?:\.[0-9]+)?%?'), lambda t: t NOT IN ("
+    r"list_distinct(list_filter(regexp_extract_all(lower(coalesce({}, '')), '[a-z][a-z0-9_-]{{2,}}|[0-9]+(?:\.[0-9]+)?%?'), lambda t: t NOT IN ("
     + STOP
     + ")))"
 )
@@ -193,15 +193,24 @@ def duplicate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = pages(spark, sf_dir).select(
         "doc_id", "page", "objects", X.normalize_text(F.col("line")).alias("norm"), X.tokens(F.col("line")).alias("t")
     ).where("norm <> ''")
+    # Pages meet by what a hit must share: equal pages their text, similar ones their number of objects and a token of
+    # the prefix that any two sets of this similarity share (longer tokens first, as they are rarer).
+    ordered = F.transform(F.array_sort(F.transform("t", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda z: z["w"])
+    prefix = F.slice(ordered, 1, F.greatest(F.size("t") - F.ceil(F.size("t") * lit(0.94) - lit(1e-9)).cast("int") + 1, F.lit(1)))
+    near = F.transform(F.when(F.size("t") == 0, F.array(F.lit(""))).otherwise(prefix), lambda w: F.concat_ws(":", F.lit("t"), "objects", w))
+    keys = F.concat(near, F.array(F.concat(F.lit("="), F.col("norm"))))
+    u = u.select("doc_id", "page", "objects", F.length("norm").alias("n"), "t", F.xxhash64("norm").alias("mark"), F.explode(keys).alias("key"))
+    u = u.withColumn("key", F.xxhash64("key"))
     x, y = u.alias("x"), u.alias("y")
-    same = F.col("x.norm") == F.col("y.norm")
+    same = F.col("x.mark") == F.col("y.mark")
     alike = F.col("x.objects") == F.col("y.objects")
     sim = X.jaccard(F.col("x.t"), F.col("y.t"))
-    duplicate = same & (alike | (F.length("x.norm") >= 12))
+    duplicate = same & (alike | (F.col("x.n") >= 12))
     hits = (
-        x.join(y, (F.col("x.doc_id") == F.col("y.doc_id")) & (F.col("x.page") < F.col("y.page")))
+        x.join(y, (F.col("x.doc_id") == F.col("y.doc_id")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.page") < F.col("y.page")))
         .where(duplicate | ((sim >= 0.94) & alike))
         .select(F.col("x.doc_id").alias("doc_id"), F.col("x.page").alias("left_page"), F.col("y.page").alias("right_page"), F.when(duplicate & alike, lit(0)).otherwise(lit(0.2)).alias("score"))
+        .distinct()
     )
     decks = table(spark, sf_dir, "documents").select("doc_id")
     return decks.join(hits, "doc_id", "left").select("doc_id", "left_page", "right_page", F.coalesce("score", lit(1)).alias("score"))
@@ -263,10 +272,15 @@ def with_cases(docs: DataFrame, items: DataFrame) -> DataFrame:
     return placed.join(cases, "case").drop("case", "n_cases")
 
 
+CASE_OF = """
+cases AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS place, count(*) OVER () AS n_cases FROM (SELECT DISTINCT item_id FROM benchmark WHERE item_id IS NOT NULL)),
+cased AS (SELECT doc_id, item_id FROM documents JOIN cases ON doc_id % n_cases = place)"""
+
+
 @query(
     "q10_compression_curve",
-    f"""WITH r AS (SELECT d.doc_id, length({NORM.format("b.text")})::double / nullif(length({NORM.format("d.text")}), 0) AS x
-  FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id)
+    f"""WITH {CASE_OF}, r AS (SELECT d.doc_id, length({NORM.format("b.text")})::double / nullif(length({NORM.format("d.text")}), 0) AS x
+  FROM documents d JOIN cased USING (doc_id) JOIN benchmark b USING (item_id))
 SELECT doc_id, round(x, 6) AS ratio, round(CASE WHEN x IS NULL THEN NULL WHEN x <= 0 THEN 0::double WHEN x <= 0.03 THEN x * (0.5::double / 0.03::double)
   WHEN x <= 0.20 THEN 0.5::double + (x - 0.03::double) * (0.5::double / (0.20::double - 0.03::double))
   WHEN x <= 0.45 THEN 1::double + (x - 0.20::double) * ((0.85::double - 1::double) / (0.45::double - 0.20::double))
@@ -294,9 +308,9 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "q07_source_claim_alignment",
-    f"""WITH {CLAIMS},
-d AS (SELECT doc_id, {TOKENS.format("text")} AS held FROM documents),
-s AS (SELECT item_id, ord, doc_id, {TOKENS.format("claim")} AS need, held, regexp_matches(claim, '[0-9]') AS numeric FROM claims JOIN d ON doc_id % 40 = item_id)
+    f"""WITH {CLAIMS}, {CASE_OF},
+d AS (SELECT doc_id, item_id, {TOKENS.format("text")} AS held FROM documents JOIN cased USING (doc_id)),
+s AS (SELECT item_id, ord, doc_id, {TOKENS.format("claim")} AS need, held, regexp_matches(claim, '[0-9]') AS numeric FROM claims JOIN d USING (item_id))
 SELECT item_id, ord, doc_id, round(CASE WHEN len(need) > 0 THEN len(list_intersect(need, held))::double / len(need) END, 6) AS score,
   CASE WHEN len(need) = 0 THEN NULL WHEN numeric AND len(list_intersect(need, held))::double / len(need) < 0.5 THEN 'CRITICAL'
     WHEN len(list_intersect(need, held))::double / len(need) < 0.35 THEN 'MAJOR' WHEN len(list_intersect(need, held))::double / len(need) < 0.70 THEN 'MINOR' ELSE 'INFO' END AS severity
@@ -331,17 +345,20 @@ def numeric_support(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "q09_key_point_recall",
-    f"""WITH {CLAIMS},
-d AS (SELECT doc_id, {TOKENS.format("text")} AS held, {NORM.format("coalesce(text, '')")} AS hay FROM documents),
-s AS (SELECT item_id, ord, doc_id, {TOKENS.format("claim")} AS need, held, {NORM.format("claim")} AS needle, hay FROM claims JOIN d ON doc_id % 40 = item_id),
-r AS (SELECT item_id, doc_id, ord, CASE WHEN needle <> '' AND contains(hay, needle) THEN 1::double WHEN len(need) = 0 THEN 0::double ELSE len(list_intersect(need, held))::double / len(need) END AS x FROM s)
+    f"""WITH {CLAIMS}, {CASE_OF},
+d AS (SELECT doc_id, item_id, {TOKENS.format("text")} AS held, {NORM.format("coalesce(text, '')")} AS hay FROM documents JOIN cased USING (doc_id)),
+s AS (SELECT item_id, ord, doc_id, {TOKENS.format("claim")} AS need, held, {NORM.format("claim")} AS needle, hay FROM claims JOIN d USING (item_id)),
+r AS (SELECT item_id, doc_id, ord, CASE WHEN needle <> '' AND contains(hay, needle) THEN 1::double WHEN len(need) = 0 THEN contains(hay, needle)::int::double ELSE len(list_intersect(need, held))::double / len(need) END AS x FROM s)
 SELECT item_id, doc_id, count(*) AS n_points, count(*) FILTER (WHERE x >= 0.5) AS n_covered, round(avg(x), 6) AS score FROM r GROUP BY item_id, doc_id""",
 )
 def key_point_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall of each passage's sentences in each document of its case."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("hay"))
-    s = claims(spark, sf_dir).join(with_cases(docs, table(spark, sf_dir, "benchmark")), "item_id")
-    s = s.withColumn("x", X.token_recall(F.col("claim"), F.col("hay")))
+    text = F.coalesce("text", F.lit(""))
+    # each text is normalised and tokenised once, not again for every sentence it meets
+    docs = table(spark, sf_dir, "documents").select("doc_id", X.normalize_text(text).alias("hay"), X.tokens(text).alias("held"))
+    points = claims(spark, sf_dir).select("item_id", "ord", X.normalize_text(F.col("claim")).alias("needle"), X.tokens(F.col("claim")).alias("needed"))
+    s = points.join(with_cases(docs, table(spark, sf_dir, "benchmark")), "item_id")
+    s = s.withColumn("x", X.recall_of(F.col("needle"), F.col("needed"), F.col("hay"), F.col("held")))
     return s.groupBy("item_id", "doc_id").agg(
         F.count(F.lit(1)).alias("n_points"), F.count_if(F.col("x") >= 0.5).alias("n_covered"), round6(F.avg("x")).alias("score")
     )
@@ -409,9 +426,8 @@ SELECT source, count(*) AS n_docs, sum(least(n, 20000 - before))::bigint AS n_by
 def byte_budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of each source, by id, that fit a budget of 20,000 bytes, the last one in part."""
     n = F.octet_length(F.coalesce("text", F.lit("")))
-    s = table(spark, sf_dir, "documents").select("doc_id", "source", n.alias("n"))
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).where("before < 20000")
+    s = table(spark, sf_dir, "documents").select("doc_id", "source", n.cast("long").alias("n"))
+    s = running_before(s, "source", "doc_id", F.col("n"), "before").where("before < 20000")
     return s.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.least("n", F.lit(20000) - F.col("before"))).alias("n_bytes"))
 
 

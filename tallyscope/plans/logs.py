@@ -2,41 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.operators.logs import content_hash, idempotency, illegal_transitions, latest, verify_chain
+from tallyscope.operators.logs import idempotency, illegal_transitions, latest, verify_chain
 from tallyscope.plans.registry import query
 from tallyscope.sources.tables import table
+from tallyscope.streaming.chains import build_chains
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations")
 
 
-H = "sha256(concat_ws('|', {}))"
-
-
 @query(
     "q38_hash_chain_verify",
-    f"""WITH h AS (SELECT *, {H.format("'', conv_id::varchar, turn::varchar, text")} AS own FROM conversations),
-l AS (SELECT *, coalesce(lag(own) OVER (PARTITION BY conv_id ORDER BY turn), '') AS prev FROM h),
-stored AS (SELECT conv_id, turn, text, CASE WHEN (conv_id + turn) % 7 = 5 THEN 'x' ELSE prev END AS previous_hash, prev,
-  {H.format("CASE WHEN (conv_id + turn) % 7 = 5 THEN 'x' ELSE prev END, conv_id::varchar, turn::varchar, text")} AS event_hash FROM l),
-b AS (SELECT *, NOT (previous_hash = coalesce(lag(event_hash) OVER (PARTITION BY conv_id ORDER BY turn), '')) AS broken FROM stored)
+    """WITH RECURSIVE e AS (SELECT conv_id::varchar AS run, conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, turn, coalesce(text, '') AS text FROM conversations),
+chain AS (
+  SELECT run, conv_id, place, turn, text, '' AS previous_hash, sha256('|' || run || '|' || turn::varchar || '|' || text) AS event_hash FROM e WHERE place = 1
+  UNION ALL
+  SELECT e.run, e.conv_id, e.place, e.turn, e.text, c.event_hash, sha256(c.event_hash || '|' || e.run || '|' || e.turn::varchar || '|' || e.text) FROM chain c JOIN e ON e.run = c.run AND e.place = c.place + 1),
+stored AS (SELECT *, CASE WHEN (conv_id + turn) % 7 = 5 THEN text || '!' ELSE text END AS found FROM chain),
+b AS (SELECT *, sha256(previous_hash || '|' || run || '|' || turn::varchar || '|' || found) <> event_hash
+  OR previous_hash <> coalesce(lag(event_hash) OVER (PARTITION BY run ORDER BY place), '') AS broken FROM stored)
 SELECT conv_id, count(*) AS n_events, count(*) FILTER (WHERE broken) AS n_broken, min(turn) FILTER (WHERE broken) AS first_broken FROM b GROUP BY conv_id""",
 )
 def hash_chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Broken links of each conversation's chain (every event but the first names a hash that is not the one
-    before it, as the log was never chained)."""
-    parts = [F.col("conv_id"), F.col("turn"), F.col("text")]
-    own = content_hash(F.lit(""), *parts)
-    before = F.coalesce(F.lag("own").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(""))
-    bad = (F.col("conv_id") + F.col("turn")) % 7 == 5
-    stored = log(spark, sf_dir).withColumn("own", own).withColumn("prev", before)
-    stored = stored.withColumn("previous_hash", F.when(bad, F.lit("x")).otherwise(F.col("prev")))
-    stored = stored.withColumn("event_hash", content_hash(F.col("previous_hash"), *parts))
-    return verify_chain(stored, "conv_id", "turn", ["conv_id", "turn", "text"])
+    """Each conversation chained turn by turn; then one turn in seven is changed, and the chain verified."""
+    turns = log(spark, sf_dir).select(F.col("conv_id").cast("string").alias("run_id"), F.col("turn").cast("long").alias("seq"), F.coalesce("text", F.lit("")).alias("payload"))
+    conv_id = F.col("run_id").cast("long")
+    changed = F.when((conv_id + F.col("seq")) % 7 == 5, F.concat("payload", F.lit("!"))).otherwise(F.col("payload"))
+    stored = build_chains(turns).withColumn("payload", changed)
+    found = verify_chain(stored, "run_id", "seq", ["run_id", "seq", "payload"])
+    return found.select(conv_id.alias("conv_id"), "n_events", "n_broken", "first_broken")
 
 
 @query(

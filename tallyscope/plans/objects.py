@@ -107,19 +107,24 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "q15_silhouette_groups",
-    f"""WITH {OBJ}, sig AS (SELECT deck % 200 AS deck, deck AS page, array_to_string(list(kind || ':' || (floor(x * 2))::int::varchar || ':' || (floor(y * 2))::int::varchar ORDER BY ord), ';') AS signature FROM obj WHERE ord <= 2 GROUP BY deck),
+    f"""WITH {OBJ}, marks AS (SELECT deck AS page, concat_ws(':', kind, round(x * 20)::int, round(y * 20)::int, round(w * 20)::int, round(h * 20)::int) AS mark FROM obj),
+sig AS (SELECT o_custkey AS deck, page, array_to_string(list(mark ORDER BY mark), ';') AS signature FROM marks JOIN orders ON page = o_orderkey GROUP BY o_custkey, page),
 c AS (SELECT *, count(*) OVER (PARTITION BY deck, signature) AS n_alike, count(*) OVER (PARTITION BY deck) AS n_pages FROM sig)
-SELECT deck, signature, n_alike, n_pages FROM c WHERE n_alike >= 3 AND n_alike / n_pages >= 0.12 GROUP BY ALL""",
+SELECT deck, any_value(n_pages) AS n_pages, count(DISTINCT signature) AS n_layouts, max(n_alike) AS n_alike, count(*) FILTER (WHERE n_alike >= 3 AND n_alike / n_pages >= 0.12) AS n_flagged FROM c GROUP BY deck""",
 )
 def silhouette_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Layouts that repeat on a large share of a deck's pages."""
-    cell = lambda c: F.floor(F.col(c) * 2).cast("int").cast("string")
-    mark = F.concat_ws(":", "kind", cell("x"), cell("y"))
-    o = objects(spark, sf_dir).where("ord <= 2").groupBy("deck").agg(F.array_sort(F.collect_list(F.struct("ord", mark.alias("m")))).alias("all"))
-    sig = o.select((F.col("deck") % 200).alias("deck"), F.array_join(F.transform("all", lambda x: x["m"]), ";").alias("signature"))
+    """Layouts that repeat on a large share of a deck's pages. A customer is a deck and an order a page, with all
+    its objects: their kinds and boxes, rounded to twentieths."""
+    cell = lambda c: F.round(F.col(c) * 20).cast("int").cast("string")
+    mark = F.concat_ws(":", "kind", *map(cell, "xywh"))
+    own = objects(spark, sf_dir).groupBy(F.col("deck").alias("page")).agg(F.array_join(F.array_sort(F.collect_list(mark)), ";").alias("signature"))
+    decks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"), F.col("o_custkey").alias("deck"))
+    sig = own.join(decks, "page")
     n_pages = F.count(F.lit(1)).over(Window.partitionBy("deck"))
-    flagged = G.silhouettes(sig.withColumn("n_pages", n_pages)).where("flagged")
-    return flagged.select("deck", "signature", "n_alike", "n_pages").distinct()
+    found = G.silhouettes(sig.withColumn("n_pages", n_pages))
+    return found.groupBy("deck").agg(
+        F.first("n_pages").alias("n_pages"), F.count_distinct("signature").alias("n_layouts"), F.max("n_alike").alias("n_alike"), F.count_if("flagged").alias("n_flagged")
+    )
 
 
 @query(

@@ -261,13 +261,13 @@ issues AS (
     metric, page, CASE metric {" ".join(f"WHEN '{m}' THEN '{c}'" for m, c in CODES.items())} END AS code,
     CASE WHEN status = 'ERROR' THEN 'P1' WHEN severity = 'CRITICAL' AND critical THEN 'P0' WHEN severity = 'CRITICAL' THEN 'P1' ELSE 'P2' END AS priority,
     severity, rank, CASE WHEN status = 'ERROR' THEN 'GAP' WHEN k % 17 = 0 THEN 'CONFLICT' WHEN k % 2 = 0 THEN 'MODEL' ELSE 'RULE' END AS source
-  FROM obs WHERE page <= 3 AND (status = 'ERROR' OR (status = 'SCORED' AND severity IN ('MAJOR', 'CRITICAL'))))"""
+  FROM obs WHERE status = 'ERROR' OR (status = 'SCORED' AND severity IN ('MAJOR', 'CRITICAL')))"""
 FAMILY = {"click": "layout", "purchase": "layout", "view": "typography", "signup": "content", "error": "delivery"}
 
 
 def raw_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Failed measurements, and serious findings on the first pages, each as a candidate issue."""
-    obs = observations(spark, sf_dir).where("page <= 3")
+    """Failed measurements and serious findings, each as a candidate issue."""
+    obs = observations(spark, sf_dir)
     shared = [F.col("run"), lookup(F.col("metric"), FAMILY).alias("family"), F.col("metric"), F.col("page"), lookup(F.col("metric"), CODES).alias("code")]
     errors = obs.where("status = 'ERROR'").select(*shared, F.lit("P1").alias("priority"), "severity", F.lit("GAP").alias("source"))
     urgent = ladder(((F.col("severity") == "CRITICAL") & F.col("critical"), "P0"), (F.col("severity") == "CRITICAL", "P1"), otherwise="P2")

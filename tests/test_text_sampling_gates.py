@@ -21,7 +21,7 @@ def test_text_measures(spark):
     assert got[1][0] == ["收入", "入增", "增长", "利"] and got[1][1:] == ("收入增长and利", "ZH")
     assert got[2][0] == [] and got[3] == ([], "", "UNKNOWN")
     got = values(spark, [("ab cde", "xx abc de yy"), ("alpha beta", "beta gamma"), ("", "x"), ("a", "z")], "n string, h string", X.token_recall(F.col("n"), F.col("h")))
-    assert [g[0] for g in got] == [1.0, 0.5, 0.0, 0.0]
+    assert [g[0] for g in got] == [1.0, 0.5, 1.0, 0.0]
     got = values(spark, [(["a"], ["a", "b"]), ([], [])], "a array<string>, b array<string>", X.jaccard(F.col("a"), F.col("b")))
     assert [g[0] for g in got] == [0.5, 1.0]
     got = values(spark, [("A first sentence. Short! 一二三四五六七八。no",)], "t string", X.sentences(F.col("t")))
