@@ -1,6 +1,6 @@
 """The registered core queries and their SQL twins."""
 
-from tallyscope.plans import documents, logs, markup, objects, observations, scoring  # noqa: F401
+from tallyscope.plans import checks, documents, logs, markup, objects, observations, scoring  # noqa: F401
 from tallyscope.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
