@@ -5,6 +5,9 @@ target texts and one from all texts. The vocabulary is every word of the corpus,
 never gathered: the bigrams of the texts are dealt by their second word into buckets of bounded size, and a bucket
 counts its words and bigrams and adds up the bits of each text in the same pass. Words too frequent for one bucket are
 dealt by bigram, and bigrams too frequent by text; the counts of these few, fewer than a bound, travel to the tasks.
+
+Texts travel as pieces, some MB of them at once: a bucket gets one block of a piece, in which a text is a place, and
+returns one block of sums. What is shuffled is linear in the number of words; the sums are at most one for each word.
 """
 
 from __future__ import annotations
@@ -35,6 +38,10 @@ PAIR_BYTES = 6
 #: Flags of an entry: its text is a target; its word is the last of the text; the first; its bigram is a frequent one.
 AIM, LAST, FIRST, HOT = 1, 2, 4, 8
 COUNTS = ("n", "n_target", "n_last", "n_target_last")
+#: A block of a piece: the piece, the keys of its texts (with one block of each piece), entries or sums.
+BLOCK = ("piece", "keys", "block")
+DEALT_AS = pa.schema([("bucket", pa.int32()), ("piece", pa.int64()), ("keys", pa.binary()), ("block", pa.binary())])
+SUMS = ["key", "n", "target", "background"]
 
 
 def coded(found: Words, vocab: np.ndarray | None) -> np.ndarray:
@@ -73,28 +80,54 @@ def previous_of(word: np.ndarray, first: np.ndarray) -> np.ndarray:
     return previous
 
 
-def pack(word: np.ndarray, pair: np.ndarray, doc: np.ndarray, key: np.ndarray, flags: np.ndarray) -> bytes:
-    """Entries sorted by word: each word and each text (by its key[doc]) once, and of a bigram's hash PAIR_BYTES bytes."""
+def piece_of(key: np.ndarray) -> int:
+    """A 64-bit hash of the keys of a piece in their order. Pieces of equal keys are repeats, and may be added up as one."""
+    turn = np.arange(len(key), dtype=np.uint64) * np.uint64(BASE)
+    return int(mix(np.add.reduce(mix(key.view(np.uint64) + turn), keepdims=True)).view(np.int64)[0])
+
+
+def place_type(n_docs: int) -> type:
+    """The narrowest type for a place among so many texts."""
+    return np.uint16 if n_docs <= 1 << 16 else np.uint32
+
+
+def pack(word: np.ndarray, pair: np.ndarray, place: np.ndarray, flags: np.ndarray, n_docs: int) -> bytes:
+    """Entries sorted by word: each word once, the place of the text in its piece, and PAIR_BYTES of a bigram's hash."""
     words, runs = np.unique(word, return_counts=True)
-    docs, place = np.unique(doc, return_inverse=True)
-    place = place.astype(np.uint16 if len(docs) <= 1 << 16 else np.uint32)
     low = np.ascontiguousarray(pair).view(np.uint8).reshape(-1, 8)[:, :PAIR_BYTES]
-    parts = (np.array([len(word), len(words), len(docs)], np.int32), words, runs.astype(np.int32), key[docs], place, low, flags)
+    parts = (np.array([n_docs, len(word), len(words)], np.int32), words, runs.astype(np.int32), place.astype(place_type(n_docs)), low, flags)
     return b"".join(x.tobytes() for x in parts)
 
 
-def unpack(held: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word, low bytes of the bigram, key, flags) of the entries that `pack` was given."""
-    n, n_words, n_docs = np.frombuffer(held, np.int32, 3).tolist()
-    at, out = 12, []
-    for kind, count in ((np.uint64, n_words), (np.int32, n_words), (np.int64, n_docs), (np.uint16 if n_docs <= 1 << 16 else np.uint32, n),
-                        (np.uint8, n * PAIR_BYTES), (np.uint8, n)):
+def parts_of(held: bytes, at: int, kinds: list[tuple[type, int]]) -> list[np.ndarray]:
+    """The arrays of these types and lengths that stand one after another from byte `at`."""
+    out = []
+    for kind, count in kinds:
         out.append(np.frombuffer(held, kind, count, at))
         at += out[-1].nbytes
-    words, runs, keys, place, low, flags = out
+    return out
+
+
+def unpack(held: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(texts of the piece, word, low bytes of the bigram, place, flags) of the entries that `pack` was given."""
+    n_docs, n, n_words = np.frombuffer(held, np.int32, 3).tolist()
+    kinds = [(np.uint64, n_words), (np.int32, n_words), (place_type(n_docs), n), (np.uint8, n * PAIR_BYTES), (np.uint8, n)]
+    words, runs, place, low, flags = parts_of(held, 12, kinds)
     pair = np.zeros((n, 8), dtype=np.uint8)
     pair[:, :PAIR_BYTES] = low.reshape(n, PAIR_BYTES)
-    return np.repeat(words, runs), pair.view(np.uint64).ravel(), keys[place], flags
+    return n_docs, np.repeat(words, runs), pair.view(np.uint64).ravel(), place, flags
+
+
+def pack_sums(n_docs: int, place: np.ndarray, n: np.ndarray, target: np.ndarray, background: np.ndarray) -> bytes:
+    """Words and bits of the texts at these places of a piece, bits as 32-bit floats."""
+    parts = (np.array([n_docs, len(place)], np.int32), place.astype(place_type(n_docs)), n.astype(np.int32))
+    return b"".join(x.tobytes() for x in (*parts, target.astype(np.float32), background.astype(np.float32)))
+
+
+def unpack_sums(held: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What `pack_sums` was given."""
+    n_docs, n = np.frombuffer(held, np.int32, 2).tolist()
+    return n_docs, *parts_of(held, 8, [(place_type(n_docs), n), (np.int32, n), (np.float32, n), (np.float32, n)])
 
 
 def low_bytes(pair: np.ndarray) -> np.ndarray:
@@ -206,11 +239,16 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, vocab_size: int | No
                 bucket = (route % np.uint64(buckets)).astype(np.int32)
                 order = np.lexsort((word, bucket))
                 own, first = np.unique(bucket[order], return_index=True)
-                held = [pack(word[x], pair[x], found.doc[x], key, flags[x]) for x in np.split(order, first[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(held, pa.binary())], ["bucket", "entries"])
-
-    def weigh(held: list[bytes]) -> pa.RecordBatch:
-        word, low, keys, flags = (np.concatenate(x) for x in zip(*map(unpack, held), strict=True))
+                held = [pack(word[x], pair[x], found.doc[x], flags[x], len(key)) for x in np.split(order, first[1:])]
+                piece = pa.array(np.full(len(own), piece_of(key)))
+                keys = pa.array([key.tobytes(), *[None] * (len(own) - 1)], pa.binary())  # with one of the blocks
+                yield pa.RecordBatch.from_arrays([pa.array(own), piece, keys, pa.array(held, pa.binary())], ["bucket", *BLOCK])
+
+    def weigh(held: list[bytes]) -> list[bytes]:
+        n_docs, *columns = zip(*map(unpack, held), strict=True)
+        block = np.repeat(np.arange(len(held), dtype=np.int64) << 32, [len(x) for x in columns[0]])
+        word, low, place, flags = (np.concatenate(x) for x in columns)
+        text, at_text = np.unique(block + place, return_inverse=True)
         hot_words, hot_pairs, _ = shared.value
         own, place, here = tally(word, flags)
         known, at = found_in(hot_words[0], own)
@@ -224,32 +262,45 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, vocab_size: int | No
         order = np.argsort(low_bytes(hot_pairs[0]))
         here[:, known] = hot_pairs[1][:, order[np.searchsorted(low_bytes(hot_pairs[0])[order], low[some])]]
         pair = here[:, place]
-        key, doc = np.unique(keys, return_inverse=True)
         goes_on, begins = flags & LAST == 0, flags & FIRST != 0
-        columns = [pa.array(key), pa.array(np.bincount(doc))]
+        found = [np.bincount(at_text)]
         for model in (1, 0):
             bits = bits_of(pair[model], counts[model], sums[model], width)
             # the weight of a word that another follows, and of the beginning
             bits += np.where(goes_on, np.log2(counts[model] - counts[model + 2] + PRIOR), 0.0)
             bits += np.where(begins, np.log2(sums[model + 2] + PRIOR), 0.0)
-            columns.append(pa.array(np.bincount(doc, bits)))
-        return pa.RecordBatch.from_arrays(columns, ["key", "n", "target", "background"])
-
-    def weigh_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, []
+            found.append(np.bincount(at_text, bits))
+        ends = np.searchsorted(text, np.arange(1, len(held), dtype=np.int64) << 32)
+        found = zip(*(np.split(x, ends) for x in (text & 0xFFFFFFFF, *found)), strict=True)
+        return [pack_sums(n, *x) for n, x in zip(n_docs, found, strict=True)]
+
+    def weigh_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = pa.Table.from_batches(batches, DEALT_AS).drop_columns("bucket")
+        if blocks.num_rows:
+            found = pa.array(weigh(blocks.column("block").to_pylist()), pa.binary())
+            yield from blocks.set_column(2, "block", found).combine_chunks().to_batches()
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = keys = found = None
         for batch in batches:
-            for bucket, entries in zip(batch.column("bucket").to_pylist(), batch.column("entries").to_pylist(), strict=True):
-                if bucket != last and held:
-                    yield weigh(held)
-                    held = []
-                last = bucket
-                held.append(entries)
-        if held:
-            yield weigh(held)
-
-    dealt = in_arrow(aimed, deal, "bucket int, entries binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    found = in_arrow(dealt, weigh_buckets, "key long, n long, target double, background double")
-    found = found.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "target", "background")])
+            for piece, own, block in zip(*(batch.column(c).to_pylist() for c in BLOCK), strict=True):
+                if piece != last and last is not None:
+                    yield pa.RecordBatch.from_arrays([keys, *map(pa.array, found)], SUMS)
+                n_docs, place, *columns = unpack_sums(block)
+                if piece != last:
+                    last, found = piece, (np.zeros(n_docs, np.int64), np.zeros(n_docs), np.zeros(n_docs))
+                if own is not None:
+                    keys = pa.array(np.frombuffer(own, np.int64))
+                for total, column in zip(found, columns, strict=True):
+                    total[place] += column
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([keys, *map(pa.array, found)], SUMS)
+
+    kinds = ", ".join(f"{c} {t}" for c, t in zip(BLOCK, ("long", "binary", "binary"), strict=True))
+    dealt = in_arrow(aimed, deal, "bucket int, " + kinds).repartitionById(buckets, F.col("bucket"))
+    weighed = in_arrow(dealt, weigh_bucket, kinds).repartition("piece").sortWithinPartitions("piece")
+    found = in_arrow(weighed, add_up, "key long, n long, target double, background double")
+    found = found.groupBy("key").agg(*[F.sum(c).alias(c) for c in SUMS[1:]])
     # rows of one key are repeats: their bits and words are in the sums as often as they stand
     rows = docs.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.first("doc_id").alias("doc_id"))
     rows = rows.join(found, "key", "left").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))

@@ -88,6 +88,7 @@ def test_rare_words_are_told_apart(spark):
 
 def test_hot_words_and_bigrams_in_small_buckets(spark, monkeypatch):
     monkeypatch.setattr("tallyscope.llm.lm_score.BUCKET", 64)
+    monkeypatch.setattr("tallyscope.llm.lm_score.DEALT", 300)  # several pieces of a batch
     rows = [(i, " ".join(["of the", "cat", "sat of the", f"x{i % 7}", f"mat{i}"][k % 5] for k in range(i % 23))) for i in range(120)]
     targets = {i for i in range(120) if i % 5 == 3}
     want = brute(rows, targets, 10**6)
