@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyscope.llm.ball_kmeans import ball_kmeans
 from tallyscope.llm.decontaminate import find_passages
 from tallyscope.llm.digest_index import dedup_once
 from tallyscope.llm.langid import identify
@@ -13,6 +14,8 @@ from tallyscope.llm.lm_score import score_documents
 from tallyscope.llm.mixing import curriculum_mix, in_training_order
 from tallyscope.llm.ngram_join import jaccard_components
 from tallyscope.llm.pii import KINDS, find_personal_data
+from tallyscope.llm.ranked_search import ranked_search
+from tallyscope.llm.sharding import assign_shards
 from tallyscope.llm.sql import SQL  # noqa: F401
 from tallyscope.llm.toxicity import score_toxicity
 from tallyscope.llm.url_filters import Rule, filter_urls
@@ -89,6 +92,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 11: the 20 best documents for every item of `benchmark`."""
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tier")
+
+
+def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 12: the cluster of every vector."""
+    return ball_kmeans(table(spark, sf_dir, "embeddings")).drop("compared")
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 13: shard and slot of every document."""
+    return assign_shards(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of corpus_pipeline.py over all documents."""
     import corpus_pipeline
@@ -107,7 +125,8 @@ QUERIES = {
     "op8_source_mix": op8_source_mix,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_ball_kmeans": op12_ball_kmeans,
+    "op13_sharding": op13_sharding,
     "pipeline": pipeline,
 }
-
-

@@ -119,10 +119,61 @@ groups AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM text
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM texts JOIN groups USING (body)
 """
 
+TERMS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')".replace("{}", LOW)
+
+OP11 = rf"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, {TERMS.format("coalesce(text, '')")} AS terms FROM documents),
+items AS (SELECT row_number() OVER () AS item, item_id, {TERMS.format("coalesce(text, '')")} AS terms FROM benchmark),
+stats AS (SELECT count(*) FILTER (WHERE len(terms) > 0) AS big_n, sum(len(terms))::bigint AS big_l FROM docs),
+wanted AS (SELECT item, item_id, term, count(*) AS often FROM (SELECT item, item_id, unnest(terms) AS term FROM items) GROUP BY ALL),
+postings AS (
+  SELECT rid, doc_id, n, term, count(*) AS tf FROM (SELECT rid, doc_id, len(terms) AS n, unnest(terms) AS term FROM docs)
+  WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * big_n + 2)::double / (2 * count(*) + 1)::double))::bigint AS w FROM postings, stats GROUP BY term, big_n),
+scored AS (
+  SELECT item, item_id, rid, doc_id, sum(often * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l))))::bigint AS score
+  FROM wanted JOIN postings USING (term) JOIN weights USING (term), stats GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::int AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+def _ball_kmeans(k: int = 8, rounds: int = 10, dims: int = 64) -> str:
+    """Plain k-means on the same integers, a pair of steps for each round."""
+    far = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint"
+    steps = [
+        f"kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) AS x FROM embeddings "
+        f"WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, x FROM (SELECT sha256('3:' || vec_id) AS h, x FROM kept ORDER BY h LIMIT {k}))",
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"a{i} AS MATERIALIZED (SELECT v.rid, v.vec_id, min({{'d': {far}, 'c': c.c}}) AS best FROM kept v, c{i} c GROUP BY v.rid, v.vec_id)"
+        )
+        if i < rounds:
+            steps.append(
+                f"m{i} AS MATERIALIZED (SELECT c, list(floor(s / n)::bigint ORDER BY p) AS x FROM (SELECT a.best.c AS c, p, sum(v.x[p])::double AS s, count(*)::double AS n "
+                f"FROM a{i} a JOIN kept v USING (rid), range(1, {dims} + 1) r(p) GROUP BY ALL) GROUP BY c), "
+                f"c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m.x, o.x) AS x FROM c{i} o LEFT JOIN m{i} m USING (c))"
+            )
+    return (
+        "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, best.c::int AS cluster, best.d AS distance, sum(best.d) OVER (PARTITION BY best.c)::bigint AS cluster_inertia, sum(best.d) OVER ()::bigint AS inertia,
+  sha256(array_to_string(f.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} f ON a.best.c = f.c
+"""
+    )
+
+
+OP12 = _ball_kmeans()
+
 SQL = {
     "op1_url_filter": OP1,
     "op2_line_dedup": OP2,
     "op5_ngram_join": OP5,
     "op8_source_mix": OP8,
     "op9_exact_dedup": OP9,
+    "op11_ranked_search": OP11,
+    "op12_ball_kmeans": OP12,
 }
