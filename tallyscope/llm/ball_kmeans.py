@@ -149,7 +149,7 @@ def _total(state: DataFrame, column: str, size: int) -> list[int]:
     return out
 
 
-def first_centroids(kept: DataFrame, k: int, seed: str, scale: int) -> np.ndarray:
+def first_centroids(kept: DataFrame, k: int, seed: str, scale: int, dims: int) -> np.ndarray:
     """The `k` vectors with the smallest sha256 of `seed`:`vec_id`, as integers, in that order; of one id the smaller."""
     rank = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))).cast("binary"), 256)
     rows = kept.select(rank.alias("rank"), "embedding").orderBy("rank", "embedding").limit(k).collect()
@@ -173,7 +173,7 @@ def ball_kmeans(vectors: DataFrame, k: int = 8, rounds: int = 10, dims: int = 64
     """
     spark = vectors.sparkSession
     kept = _kept(vectors, dims)
-    centroids = first_centroids(kept, k, seed, scale)
+    centroids = first_centroids(kept, k, seed, scale, dims)
     if not len(centroids):
         return spark.createDataFrame([], "vec_id long, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string, compared long")
     k = len(centroids)
