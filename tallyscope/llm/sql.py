@@ -17,8 +17,8 @@ WITH RECURSIVE rules(action, host, path) AS (
          ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
 tags AS (
   SELECT url, unnest([
-    regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)
+    regexp_extract(regexp_extract(html, '(?i)<link\b[^<>]*\brel\s*=\s*["'']?canonical\b[^<>]*>'), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+    regexp_extract(regexp_extract(html, '(?i)<meta\b[^<>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^<>]*>'), '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)
   ]) AS target FROM pages),
 resolved AS (
   SELECT url, CASE WHEN contains(target, '://') THEN target
@@ -52,15 +52,15 @@ OP2 = rf"""
 WITH plain AS (
   SELECT row_number() OVER () AS rid, page_id, {HOST.format(url="url")} AS host,
     regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b.*?(?:</script>|\z)|<style\b.*?(?:</style>|\z)|<!--.*?(?:-->|\z)', '', 'g'),
-      '(?i)</?(?:p|li|ul|ol|br|div|nav|h[1-6]|article|footer|header|section|title|table|tr|td|th|body|head|html)(?:[\s/][^>]*)?>', chr(10), 'g'),
-      '<[^>]*>', '', 'g') AS text
+      '(?i)</?(?:p|li|ul|ol|br|div|nav|h[1-6]|article|footer|header|section|title|table|tr|td|th|body|head|html)(?:[\s/][^<>]*)?>', chr(10), 'g'),
+      '<[^<>]*>', '', 'g') AS text
   FROM pages),
 parsed AS (
   SELECT rid, page_id, host, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM plain),
 totals AS (SELECT host, count(*) AS n_pages FROM parsed GROUP BY host),
 seen AS (SELECT DISTINCT rid, host, unnest(lines) AS line FROM parsed),
 common AS (
-  SELECT host, line FROM seen JOIN totals USING (host) GROUP BY host, line, n_pages HAVING count(*) > 0.5 * n_pages AND count(*) >= 2),
+  SELECT host, line FROM seen JOIN totals USING (host) GROUP BY host, line, n_pages HAVING count(*) > 0.5 * n_pages),
 drops AS (SELECT rid, list(line) AS gone FROM seen JOIN common USING (host, line) GROUP BY rid),
 kept AS (
   SELECT page_id, host, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(gone, []), x)) AS stay

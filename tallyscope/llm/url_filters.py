@@ -78,9 +78,9 @@ def match_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 def page_links(pages: DataFrame) -> DataFrame:
     """(a, b): the canonical link and the meta refresh target of each page, as address keys."""
     html, url = F.col("html"), F.col("url")
-    tag = F.regexp_extract(html, r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0)
+    tag = F.regexp_extract(html, r"(?i)<link\b[^<>]*\brel\s*=\s*[\"']?canonical\b[^<>]*>", 0)
     canonical = F.regexp_extract(tag, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    tag = F.regexp_extract(html, r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
+    tag = F.regexp_extract(html, r"(?i)<meta\b[^<>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^<>]*>", 0)
     refresh = F.regexp_extract(tag, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
     found = pages.select(url.alias("url"), F.explode(F.array(canonical, refresh)).alias("target")).where("target <> ''")
     return found.select(url_key(F.col("url")).alias("a"), url_key(resolve(F.col("url"), F.col("target"))).alias("b"))
