@@ -49,6 +49,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared storage with all it holds."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def give_back() -> None:
     """Return the memory that this worker has freed to the system: it lives on between tasks, beside others."""
     pa.default_memory_pool().release_unused()

@@ -83,10 +83,23 @@ def test_line_dedup(spark):
     for r in drop_site_boilerplate(docs).collect():
         got.setdefault(r.page_id, []).append((r.host, r.n_lines, r.n_dropped, r.text))
     assert got[0] == [("s.test", 5, 3, "Text 0\nrare")] and got[5] == [("s.test", 4, 3, "Text 5")]
-    assert got[10] == [("t.test", 2, 0, "Home\nMe &amp; you")] and got[11] == [("", 2, 0, "Home\nMe &amp; you")]
+    assert got[10] == [("t.test", 2, 2, "")] and got[11] == [("", 2, 2, "")]  # a line of a host's only page is on all its pages
     assert got[20] == [("u.test", 3, 2, "own 0")] and got[21] == [("u.test", 3, 2, "own 1")]
     assert got[12] == [("s.test", 0, 0, "")] * 2 and got[13][0][1:3] == (1, 0)
     assert drop_site_boilerplate(docs.limit(0)).collect() == []
+    kept = {r.page_id: r.text for r in drop_site_boilerplate(docs, min_seen=2).collect()}
+    assert kept[10] == "Home\nMe &amp; you" and kept[0] == "Text 0\nrare"
+
+
+def test_unclosed_tags_are_text_and_cost_no_rescan(spark):
+    import time
+
+    rows = [(1, "http://s.test/1", "<p " * 400_000), (2, "http://s.test/2", "<" * 1_000_000), (3, "http://s.test/3", "a <b <i>c</i> d < e > f"), (4, "http://s.test/4", "<link " * 300_000)]
+    began = time.time()
+    got = {r.page_id: r.text for r in drop_site_boilerplate(spark.createDataFrame(rows, PAGES), min_seen=2).collect()}
+    assert got[1] == ("<p " * 400_000).strip() and got[2] == "<" * 1_000_000 and got[3] == "a <b c d  f"
+    assert {v[3] for v in verdicts(spark, rows).values()} == {"allow"}
+    assert time.time() - began < 60
 
 
 def test_exact_dedup(spark):
@@ -121,6 +134,40 @@ def test_exact_dedup(spark):
     assert not any(r.kept for r in once_more.dedup(docs).collect()) and once_more.rows().count() == 7
 
 
+def test_no_rows_are_lost_between_handles_and_broken_writes(spark, monkeypatch):
+    index = scratch_index(spark, buckets=2)
+    other = DigestIndex(spark, index.path)  # both opened empty
+    docs = spark.createDataFrame([(i, f"t{i}", "s") for i in range(10)], DOCS)
+    rows = lambda df: sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in df.collect())
+    first = rows(index.dedup(docs, batch="monday"))
+    assert len(first) == 10 and all(r[3] for r in first)
+    assert rows(other.dedup(docs)) == [(*r[:3], False) for r in first]
+    # the same batch again, by another handle and session: the same answer, and nothing is appended
+    again = DigestIndex(spark.newSession(), index.path)
+    assert rows(again.dedup(docs, batch="monday")) == first and again.rows().count() == 10
+    # a write that dies before it is noted leaves no trace
+    more = spark.createDataFrame([(20 + i, f"u{i}", "s") for i in range(5)], DOCS)
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(DigestIndex, "_note", dies)
+        with pytest.raises(RuntimeError, match="lost"):
+            again.dedup(more, batch="tuesday")
+    assert spark.read.parquet(f"{index.path}/{index.folder}").count() == 15
+    assert DigestIndex(spark, index.path).rows().count() == 10
+    assert rows(index.dedup(more, batch="tuesday")) == [(20 + i, 20 + i, 1, True) for i in range(5)]
+    assert rows(other.dedup(more)) == [(20 + i, 20 + i, 1, False) for i in range(5)]
+    # dealt anew: the half-written rows are gone, answers and batches stay, and so does no old folder
+    folder = index.folder
+    index.rebuild(3)
+    assert spark.read.parquet(f"{index.path}/{index.folder}").count() == 15
+    assert rows(other.dedup(docs, batch="monday")) == first and other.rows().count() == 15
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(f"{index.path}/{folder}")
+
+
 def test_the_index_is_not_shuffled(spark):
     from pyspark.sql import functions as F
 
