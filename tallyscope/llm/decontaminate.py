@@ -178,6 +178,15 @@ def _counted(at: np.ndarray, found: np.ndarray, doc: np.ndarray, offsets: np.nda
         cut = np.searchsorted(doc, (doc[0] + doc[-1] + 1) // 2)
         yield from _counted(at[:cut], found[:cut], doc[:cut], offsets, index, low, high)
         yield from _counted(at[cut:], found[cut:], doc[cut:], offsets, index, low, high)
+    elif total > AT_ONCE:
+        # one segment in one text: by places; what counts for a band lies within `reach` of its begin
+        reach = int(index.need[low] - 1 + (index.q + 2) * (index.edit[low] + 1))
+        step = max(reach, AT_ONCE // int(n.max()))
+        for begin in range(int(at[0]) - reach, int(at[-1]) + 1, step):
+            own = slice(*np.searchsorted(at, [begin, begin + step + reach]))
+            if own.start < own.stop:
+                bands = _bands(at[own], first[own], n[own], doc[own], offsets, index)
+                yield bands[(bands[:, 2] >= begin) & (bands[:, 2] < begin + step)]
     elif total:
         yield _bands(at, first, n, doc, offsets, index)
 

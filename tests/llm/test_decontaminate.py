@@ -154,3 +154,32 @@ def test_defined_results(spark):
     assert drop_contaminated(docs, items).columns == docs.columns
     assert find_passages(docs, items.limit(0)).collect() == []
     assert find_passages(docs.limit(0), items).collect() == []
+
+
+def test_places_of_one_segment_are_counted_in_windows(monkeypatch):
+    from tallyscope.llm import decontaminate as d
+
+    r = random.Random(3)
+    for base in ("_" * 120, "ab" * 60, "".join(r.choice("abc") for _ in range(120))):
+        text = np.frombuffer((base * 12 + "zz" + base[:80] * 9 + edited(r, base, 5)).encode(), dtype=np.uint8)
+        index, ends = Passages([(1, base.encode())]), np.array([0, len(text)])
+        monkeypatch.setattr(d, "AT_ONCE", 1 << 30)
+        whole = sorted(map(tuple, find_regions(text, ends, index).tolist()))
+        monkeypatch.setattr(d, "AT_ONCE", 500)
+        assert whole and sorted(map(tuple, find_regions(text, ends, index).tolist())) == whole
+
+
+def test_a_self_similar_text_takes_bounded_memory():
+    import subprocess
+    import sys
+
+    code = (
+        "import sys, resource, numpy as np; sys.path.insert(0, '.')\n"
+        "from tallyscope.llm.decontaminate import Passages, find_regions\n"
+        "before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+        "text = np.full(500_000, 95, dtype=np.uint8)\n"
+        "assert len(find_regions(text, np.array([0, len(text)]), Passages([(1, b'_' * 120)]))) > 30_000\n"
+        "print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)"
+    )
+    taken = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) // 1024
+    assert taken < 500
