@@ -168,8 +168,8 @@ def _own_sets(rows: pa.RecordBatch, column: str, width: int) -> Iterator[tuple[p
 
 
 def _real(part: pa.RecordBatch, sets: list[np.ndarray], met: set[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, set) of the rows whose set is that of their class (rows of one doc_id may have several texts) and whose
-    class isn't in `met` yet."""
+    """(row, set) of the rows whose set is that of their class (texts of one doc_id may share a mark) and whose class
+    isn't in `met` yet."""
     node, s0, s1 = (part.column(c).to_pylist() for c in ("node", "s0", "s1"))
     for i, s in enumerate(sets):
         if len(s) and node[i] not in met and signature(s) == (s0[i], s1[i]):
@@ -186,9 +186,10 @@ class _Join:
     def texts(self, nodes: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         """Rows with the texts of `nodes` (node and the columns `carry`, one row for each class); not yet told apart by
         _real. A few nodes are broadcast to the texts, so that these aren't shuffled."""
-        wanted = nodes.join(self.classes.select("node", "doc_id", "s0", "s1"), "node")
-        wanted = materialize(wanted.select("node", "doc_id", "s0", "s1", *carry), "wanted")
-        return self.docs.select("doc_id", "text").join(checked(wanted), "doc_id").select("node", "s0", "s1", *carry, "text")
+        wanted = nodes.join(self.classes.select("node", "doc_id", "mark", "s0", "s1"), "node")
+        wanted = materialize(wanted.select("node", "doc_id", "mark", "s0", "s1", *carry), "wanted")
+        texts = self.docs.select("doc_id", text_mark(F.col("text")).alias("mark"), "text")  # rows of one id are many, of one text few
+        return texts.join(checked(wanted), ["doc_id", "mark"]).select("node", "s0", "s1", *carry, "text")
 
     def compared(self, pairs: DataFrame) -> DataFrame:
         """a, b, both: the number of common tokens of each pair of classes, counted on their texts."""
@@ -415,7 +416,7 @@ def _classified(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
     classes = (
         told.where("s0 is not null").groupBy("s0", "s1")
         .agg(F.min(F.struct("doc_id", "mark")).alias("head"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "map")])
-        .select(F.monotonically_increasing_id().alias("node"), "s0", "s1", "head", F.col("head.doc_id").alias("doc_id"), "n_shingles", "bands", "map")
+        .select(F.monotonically_increasing_id().alias("node"), "s0", "s1", "head", F.col("head.doc_id").alias("doc_id"), F.col("head.mark").alias("mark"), "n_shingles", "bands", "map")
     )
     classes = materialize(classes, "classes")
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(told))

@@ -116,3 +116,17 @@ def test_representatives_keep_columns(spark):
     kept = keep_representatives(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def test_rows_of_one_id_are_read_once(spark):
+    from pyspark.sql import functions as F
+
+    from tallyscope.llm import ngram_join as n
+
+    docs = spark.createDataFrame([(None, f"text number {i} of all the rows without any id {i * 7}") for i in range(300)], SCHEMA)
+    keyed = n._keyed(docs)[0]
+    mark = n.text_mark(F.col("text"))
+    classes = keyed.select(F.monotonically_increasing_id().alias("node"), "doc_id", mark.alias("mark"), F.lit(0).cast("long").alias("s0"), F.lit(0).cast("long").alias("s1"))
+    join = n._Join(keyed, n.materialize(classes, "classes"), 5, 80)
+    assert join.texts(join.classes.select("node")).count() == 300
+    assert len(jaccard_components(docs).collect()) == 300
