@@ -89,9 +89,10 @@ def learn_lexicons(labelled: DataFrame) -> dict[int, np.ndarray]:
         .groupBy("kind", "term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
         .where((F.col("n") >= MIN_DOCS) & (F.col("toxic") >= MIN_SHARE * F.col("n")))
     )
-    found = terms.orderBy(F.desc("toxic"), "kind", "term").limit(MAX_ENTRIES * len(KINDS)).toArrow()
+    first = Window.partitionBy("kind").orderBy(F.desc("toxic"), "term")
+    found = terms.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= MAX_ENTRIES).toArrow()
     kind, term = found.column("kind").to_numpy(), found.column("term").to_numpy()
-    return {k: np.sort(term[kind == k][:MAX_ENTRIES]) for k in KINDS}
+    return {k: np.sort(term[kind == k]) for k in KINDS}
 
 
 def text_features(data: np.ndarray, offsets: np.ndarray, lexicons: dict[int, np.ndarray]) -> np.ndarray:
