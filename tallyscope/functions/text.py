@@ -12,6 +12,9 @@ STOP_WORDS = (
     "and", "the", "for", "with", "this", "that", "from", "page", "slide", "ppt",
     "以及", "进行", "一个", "需要", "可以", "内容", "页面", "幻灯片", "展示",
 )
+#: What a Latin word is, and those that belong to no language.
+LATIN_WORD = r"[A-Za-z]+(?:[-'][A-Za-z]+)*"
+NEUTRAL_WORDS = ("ai", "api", "arr", "crm", "esg", "kpi", "mvp", "ppt", "pptx", "roi", "saas", "sam", "som", "tam")
 HAN = r"一-鿿"
 
 
@@ -70,9 +73,12 @@ def excerpt(text: Column, most: int = 120) -> Column:
 
 
 def language_label(text: Column) -> Column:
-    """ZH, EN, MIXED or UNKNOWN by the counts of Han characters (2 or more) and Latin words of 2 letters (3 or more)."""
-    han = F.regexp_count(text, F.lit(f"[{HAN}]"))
-    latin = F.regexp_count(text, F.lit(r"[A-Za-z]{2,}"))
+    """ZH, EN, MIXED or UNKNOWN by the counts of Han characters (2 or more) and Latin words (3 or more); words of no
+    language and those in capitals of up to five letters don't count."""
+    han = F.regexp_count(text, F.lit("[\u3400-\u4dbf\u4e00-\u9fff]"))
+    words = F.regexp_extract_all(text, F.lit(LATIN_WORD), F.lit(0))
+    told = lambda w: ~F.lower(w).isin(*NEUTRAL_WORDS) & ~((F.upper(w) == w) & (F.length(w) <= 5))
+    latin = F.size(F.filter(words, told))
     return (
         F.when((han >= 2) & (latin >= 3), "MIXED").when(han >= 2, "ZH").when(latin >= 3, "EN").otherwise("UNKNOWN")
     )

@@ -56,3 +56,78 @@ def task_priority(decision: Column, cover: Column, worst: Column, open_tracks: C
 
 def review_state(verdict: Column) -> Column:
     return ladder((verdict.isNull(), "OPEN"), (verdict == "REQUEST_MORE_EVIDENCE", "NEEDS_EVIDENCE"), otherwise="RESOLVED")
+
+
+#: The families of issues in order, the family that owns a code, and the order of sources and severities.
+FAMILIES = (
+    "SYSTEM_INTEGRITY", "DELIVERY_INTEGRITY", "CONTENT_EXPRESSION", "TASK_FIDELITY", "VISUAL_LAYOUT_READABILITY", "VISUAL_COMMUNICATION", "SEQUENCE_SYSTEM", "AUTHORSHIP",
+)
+OWNER = {
+    "COLOR_CONTRAST": "VISUAL_LAYOUT_READABILITY", "TEXT_CUTOFF": "VISUAL_LAYOUT_READABILITY", "ELEMENT_OVERLAP": "VISUAL_LAYOUT_READABILITY",
+    "ELEMENT_MISALIGNMENT": "VISUAL_LAYOUT_READABILITY", "SMALL_TEXT": "VISUAL_LAYOUT_READABILITY", "TYPE_LEGIBILITY": "VISUAL_LAYOUT_READABILITY",
+    "MIXED_LANGUAGE": "CONTENT_EXPRESSION", "GARBLED_TEXT": "CONTENT_EXPRESSION", "MISSING_TITLE_ANCHOR": "CONTENT_EXPRESSION",
+    "MISSING_SOURCE_REFERENCE": "TASK_FIDELITY", "TEMPLATE_ROUTINE": "AUTHORSHIP", "GENERIC_COPY": "AUTHORSHIP",
+}
+SOURCES = ("SYSTEM", "MODEL", "REDUCER", "RULE")
+WORST_FIRST = ("CRITICAL", "MAJOR", "MINOR", "INFO")
+
+
+def merge_across(raw: DataFrame, concrete: tuple[str, ...], owner: dict[str, str] = OWNER, families: tuple[str, ...] = FAMILIES) -> DataFrame:
+    """One issue for what several families of a run report alike: the issues of `raw` (run, family, metric, page, code,
+    priority, severity, source), those merged whose families have one and the same code, a `concrete` one, and exactly the
+    same pages. The columns of merge_issues, and families: those that contributed, in order.
+
+    The owner of a merged issue is the family that owns the code, if it is among those that meet, else the first of them.
+    Its priority, severity, metrics and consensus come from the findings of all. Issues with several codes, or another,
+    stay as they are. The order of rows decides nothing. A family that isn't in `families` comes last.
+    """
+    issues = merge_issues(raw)
+    code = F.get("codes", F.lit(0))
+    meets = (F.size("codes") == 1) & code.isin(*concrete)
+    place = lambda f: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, families)), f), F.lit(0)), F.lit(len(families) + 1))
+    bucket = F.when(meets, F.concat_ws("|", F.lit("="), code, F.array_join(F.transform("pages", lambda p: p.cast("string")), ","))).otherwise(F.col("family"))
+    rows = issues.select("run", "family", bucket.alias("bucket"), F.when(meets, code).alias("code"))
+    met = rows.groupBy("run", "bucket").agg(
+        F.array_sort(F.collect_set(F.struct(place(F.col("family")).alias("at"), F.col("family").alias("family")))).alias("own"), F.first("code").alias("code")
+    )  # as many families as there are
+    names = F.transform("own", lambda x: x["family"])
+    mapped = F.try_element_at(F.create_map(*[F.lit(x) for kv in owner.items() for x in kv]), F.col("code"))
+    elected = F.when(F.array_contains(names, mapped), mapped).otherwise(F.get(names, F.lit(0)))
+    met = met.select("run", names.alias("families"), elected.alias("owner"))
+    moves = met.select("run", "owner", F.explode("families").alias("family"))
+    moved = raw.join(moves, ["run", "family"]).drop("family").withColumnRenamed("owner", "family")
+    return merge_issues(moved).join(met.withColumnRenamed("owner", "family"), ["run", "family"])
+
+
+def rank_evidence(evidence: DataFrame, by: list[str], keep: int, defects: tuple[str, ...] = ()) -> DataFrame:
+    """The `keep` first pieces of evidence of each group, with rank: `evidence` has the columns `by`, source, kind, page,
+    object, message, severity, confidence, evidence_id, bbox, codes, affected.
+
+    Pieces of one source, kind, page, object and message are one: the worst, surest, then first by id, box and codes
+    stands for it, with the codes and affected pages of all. Sources outside the known ones count as RULE; a page below 1
+    is none; a piece without codes whose kind is in `defects` has its kind as code. Then they rank by source, severity,
+    page (none last), id, kind, object, message, box, codes and affected pages. Spark keeps no more than `keep` rows of a
+    group in a task before the shuffle that ranks them; null objects and messages count as empty.
+    """
+    at = lambda x, names: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, names)), x), F.lit(0)), F.lit(len(names) + 1)).cast("int")
+    source = F.when(F.col("source").isin(*SOURCES), F.col("source")).otherwise("RULE")
+    page = F.when(F.col("page") > 0, F.col("page").cast("long"))
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    none = F.array().cast("array<string>")
+    codes = F.array_sort(F.array_distinct(F.coalesce("codes", none)))
+    codes = F.when((F.size(codes) == 0) & F.col("kind").isin(*defects), F.array("kind")).otherwise(codes)
+    clean = evidence.select(
+        *by, source.alias("source"), text("kind"), page.alias("page"), text("object"), text("message"), F.coalesce("severity", F.lit("INFO")).alias("severity"), "confidence",
+        text("evidence_id"), F.coalesce(F.to_json("bbox"), F.lit("null")).alias("box"), codes.alias("codes"),
+        F.filter(F.coalesce("affected", F.array().cast("array<int>")), lambda p: p > 0).cast("array<long>").alias("affected"),
+    )
+    sure = F.coalesce(-F.col("confidence"), F.lit(1.0))
+    choice = F.struct(at(F.col("severity"), WORST_FIRST).alias("worst"), sure.alias("sure"), "evidence_id", "box", "codes", "severity", "confidence")
+    key = [*by, "source", "kind", "page", "object", "message"]
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
+    merged = clean.groupBy(*key).agg(F.min(choice).alias("x"), union("codes").alias("codes"), union("affected").alias("affected"))
+    merged = merged.select(*key, "x.worst", "x.severity", "x.confidence", "x.evidence_id", "x.box", "codes", "affected")
+    order = Window.partitionBy(*by).orderBy(
+        at(F.col("source"), SOURCES), "worst", F.col("page").isNull(), F.col("page").asc_nulls_last(), "evidence_id", "kind", "object", "message", "box", "codes", "affected"
+    )
+    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep).drop("worst")

@@ -18,7 +18,7 @@ from tallyscope.sources.tables import table
 AUTOMATIC_NAME = r"^(picture|image|photo|图片|图像)[ _-]*[0-9]+$"
 DECORATION = r"\b(?:background|connector|decoration|decorative|line|node|oval|rectangle|shape|accent|ornament|arrow)\b"
 STRUCTURE = ("connector", "group", "shape", "placeholder", "unknown")
-MEDIA = ("chart", "linked_picture", "media", "picture", "image")
+MEDIA = ("chart", "linked_picture", "media", "picture", "table")
 BULLET = r"^\s*(?:[-*•]|[0-9]+[.)、]|[一二三四五六七八九十]+[、.])\s*"
 RECORD_ID = "^[A-Za-z0-9][A-Za-z0-9._:-]{0,127}$"
 
@@ -82,7 +82,7 @@ def alt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     ['Accent_Line 1', 'photo', 'my-outline', 'Group'][((ord - 1) % 4 + 1)::int] AS name FROM obj),
 d AS (SELECT *, shown = '' AND (sort IN ('connector', 'group', 'shape', 'placeholder', 'unknown') OR w * h > 0.45 OR w * h < 0.0025 OR w < 0.012 OR h < 0.012
   OR regexp_matches(trim(regexp_replace(lower(name), '[ _-]+', ' ', 'g')), '\b(?:background|connector|decoration|decorative|line|node|oval|rectangle|shape|accent|ornament|arrow)\b')) AS decorative FROM o)
-SELECT deck, ord, decorative, decorative AND sort NOT IN ('chart', 'linked_picture', 'media', 'picture', 'image') AND (x < -0.005 OR y < -0.005 OR x + w > 1.005 OR y + h > 1.005) AS bleed FROM d""",
+SELECT deck, ord, decorative, decorative AND sort NOT IN ('chart', 'linked_picture', 'media', 'picture', 'table') AND (x < -0.005 OR y < -0.005 OR x + w > 1.005 OR y + h > 1.005) AS bleed FROM d""",
 )
 def decorative_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoration, and decoration that reaches beyond the page on purpose."""
@@ -184,29 +184,39 @@ def durations_and_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "q77_cost_budget_stop",
-    """WITH c AS (SELECT event_id, user_id AS run, (round(value * 100))::bigint AS cost FROM events),
-b AS (SELECT *, coalesce(sum(cost) OVER (PARTITION BY run ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
-SELECT run, count(*) FILTER (WHERE before < 50000) AS n_run, count(*) FILTER (WHERE before >= 50000) AS n_skipped, coalesce(sum(cost) FILTER (WHERE before < 50000), 0)::bigint AS spent FROM b GROUP BY run""",
+    """WITH c AS (SELECT event_id, user_id AS run, (round(value * 100))::bigint AS cost, event_type = 'error' AS mandatory FROM events),
+ran AS (
+  SELECT *, mandatory OR coalesce(sum(cost) OVER w, 0) < 50000 AS goes FROM c
+  WINDOW w AS (PARTITION BY run ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT run, count(*) FILTER (WHERE goes) AS n_run, count(*) FILTER (WHERE NOT goes) AS n_skipped, count(*) FILTER (WHERE goes AND mandatory) AS n_mandatory,
+  coalesce(sum(cost) FILTER (WHERE goes), 0)::bigint AS spent FROM ran GROUP BY run""",
 )
 def cost_budget_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps run while the cost of those before is within the budget; the rest is skipped."""
-    c = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("run"), F.round(F.col("value") * 100).cast("long").alias("cost"))
+    """Steps run while the cost of those before is within the budget, mandatory ones in any case; the rest is
+    skipped. A step is skipped only once the budget is spent, and from then on nothing but mandatory steps adds to the
+    cost, so the sum over all steps before tells the same as that over those that ran."""
+    c = table(spark, sf_dir, "events").select(
+        "event_id", F.col("user_id").alias("run"), F.round(F.col("value") * 100).cast("long").alias("cost"), (F.col("event_type") == "error").alias("mandatory")
+    )
     b = running_before(c, "run", "event_id", F.col("cost"), "before")
-    goes = F.col("before") < 50000
-    return b.groupBy("run").agg(F.count_if(goes).alias("n_run"), F.count_if(~goes).alias("n_skipped"), F.coalesce(F.sum(F.when(goes, F.col("cost"))), F.lit(0)).alias("spent"))
+    goes = F.col("mandatory") | (F.col("before") < 50000)
+    return b.groupBy("run").agg(
+        F.count_if(goes).alias("n_run"), F.count_if(~goes).alias("n_skipped"), F.count_if(goes & F.col("mandatory")).alias("n_mandatory"),
+        F.coalesce(F.sum(F.when(goes, F.col("cost"))), F.lit(0)).alias("spent"),
+    )
 
 
 @query(
     "q78_histogram_percentile",
     f"""WITH {OBS}, h AS (SELECT metric, floor(eff * 20)::bigint AS bin, count(*) AS n FROM obs WHERE eff IS NOT NULL GROUP BY ALL),
 c AS (SELECT *, sum(n) OVER (PARTITION BY metric ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY metric) AS total FROM h)
-SELECT metric, min(bin) FILTER (WHERE upto >= round_even(total * 0.2::double, 0)) AS low, min(bin) FILTER (WHERE upto >= round_even(total * 0.8::double, 0)) AS high FROM c GROUP BY metric""",
+SELECT metric, min(bin) FILTER (WHERE upto >= greatest(1, round_even(total * 0.2::double, 0))) AS low, min(bin) FILTER (WHERE upto >= greatest(1, round_even(total * 0.8::double, 0))) AS high FROM c GROUP BY metric""",
 )
 def histogram_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first bin at which a histogram has come to a share of its counts."""
     h = observations(spark, sf_dir).where("eff is not null").groupBy("metric", F.floor(F.col("eff") * 20).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     c = h.withColumns({"upto": F.sum("n").over(Window.partitionBy("metric").orderBy("bin")), "total": F.sum("n").over(Window.partitionBy("metric"))})
-    at = lambda f: F.min(F.when(F.col("upto") >= F.bround(F.col("total") * lit(f), 0), F.col("bin")))
+    at = lambda f: F.min(F.when(F.col("upto") >= F.greatest(lit(1), F.bround(F.col("total") * lit(f), 0)), F.col("bin")))
     return c.groupBy("metric").agg(at(0.2).alias("low"), at(0.8).alias("high"))
 
 
@@ -260,7 +270,8 @@ def bounded_sample_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "q82_language_labels",
-    """WITH n AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[一-鿿]')) AS han, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]{2,}')) AS latin FROM documents)
+    f"""WITH n AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[\u3400-\u4dbf\u4e00-\u9fff]')) AS han,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), '{X.LATIN_WORD.replace("'", "''")}'), lambda w: lower(w) NOT IN ({", ".join(f"'{w}'" for w in X.NEUTRAL_WORDS)}) AND NOT (upper(w) = w AND length(w) <= 5))) AS latin FROM documents)
 SELECT doc_id, CASE WHEN han >= 2 AND latin >= 3 THEN 'MIXED' WHEN han >= 2 THEN 'ZH' WHEN latin >= 3 THEN 'EN' ELSE 'UNKNOWN' END AS label FROM n""",
 )
 def language_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

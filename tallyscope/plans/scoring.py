@@ -122,14 +122,16 @@ def training_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "q47_profile_validity",
-    """WITH p(profile, metric, weight, gate, required) AS (VALUES ('a', 'x', 0.6::double, false, true), ('a', 'y', 0.4::double, false, false), ('b', 'x', -0.1::double, false, true), ('b', 'y', 0.9::double, true, false), ('c', 'x', 0.0::double, false, true))
+    """WITH p AS (SELECT user_id AS profile, event_type AS metric, round(avg(value) - 20, 2) AS weight, max(event_id) % 4 = 0 AS gate, count(*) % 3 <> 0 AS required FROM events GROUP BY ALL)
 SELECT profile, count(*) FILTER (WHERE weight < 0) AS n_negative, count(*) FILTER (WHERE weight > 0 AND gate) AS n_both, count(*) FILTER (WHERE required AND weight <= 0) AS n_required_unweighted,
   count(*) FILTER (WHERE weight < 0 OR (weight > 0 AND gate) OR (required AND weight <= 0)) = 0 AS valid FROM p GROUP BY profile""",
 )
 def profile_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is wrong with a profile's weights."""
-    rows = [("a", "x", 0.6, False, True), ("a", "y", 0.4, False, False), ("b", "x", -0.1, False, True), ("b", "y", 0.9, True, False), ("c", "x", 0.0, False, True)]
-    p = spark.createDataFrame(rows, "profile string, metric string, weight double, gate boolean, required boolean")
+    """What is wrong with a profile's weights; a user is a profile, the mean value of an event type, less 20, the
+    weight of a metric."""
+    p = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("profile"), F.col("event_type").alias("metric")).agg(
+        F.round(F.avg("value") - 20, 2).alias("weight"), (F.max("event_id") % 4 == 0).alias("gate"), (F.count(F.lit(1)) % 3 != 0).alias("required")
+    )
     negative, both, bare = F.col("weight") < 0, (F.col("weight") > 0) & F.col("gate"), F.col("required") & (F.col("weight") <= 0)
     return p.groupBy("profile").agg(
         F.count_if(negative).alias("n_negative"), F.count_if(both).alias("n_both"), F.count_if(bare).alias("n_required_unweighted"),
