@@ -24,6 +24,11 @@ def round6(x: Column) -> Column:
     return F.round(x, 6)
 
 
+def steady6(x: Column) -> Column:
+    """`x` to six decimals, ties and what sums in another order make of them upwards."""
+    return F.floor(x * 1_000_000 + lit(0.500001)).cast("double") / lit(1_000_000)
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is 0."""
     return F.try_divide(a, b)

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyscope.functions import text as X
-from tallyscope.functions.scores import clamp, ladder, lit, lookup, piecewise, ratio, round6, severity_band
+from tallyscope.functions.scores import clamp, ladder, lit, lookup, piecewise, ratio, round6, severity_band, steady6
 from tallyscope.operators.reduce import page_quality
 from tallyscope.operators.sampling import active_sampling, budgeted_sample, even_places, running_before
 from tallyscope.plans.registry import query
-from tallyscope.sources.tables import table
+from tallyscope.sources.tables import spread, table
 
 IMPORTANCE = {"cover": 1.25, "data": 1.20, "content": 1.00, "section": 0.75, "closing": 0.50}
 #: Characters and text objects that a page of each role carries easily (soft) and at all (hard).
@@ -36,7 +36,8 @@ def n_objects(line: Column) -> Column:
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, page, n_pages, line, objects, chars, role, importance, key_unit: one row for each line."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", lines.alias("lines"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    docs = docs.select("doc_id", "lang", "source", lines.alias("lines"))
     each = docs.select("doc_id", "lang", "source", F.size("lines").alias("n_pages"), F.posexplode("lines").alias("pos", "line"))
     each = each.withColumn("page", F.col("pos") + 1).drop("pos")
     each = each.withColumn("objects", n_objects(F.col("line"))).withColumn("chars", X.nonblank_length(F.col("line")))
@@ -103,7 +104,7 @@ reduced AS (
     CASE WHEN min(CASE WHEN key_unit THEN eff END) IS NULL THEN (0.60::double * avg(eff) + 0.25::double * quantile_disc(eff, 0.2)) / 0.85::double
       ELSE 0.60::double * avg(eff) + 0.25::double * quantile_disc(eff, 0.2) + 0.15::double * min(CASE WHEN key_unit THEN eff END) END AS score
   FROM loads GROUP BY doc_id)
-SELECT doc_id, n_pages, n_scored, round(score, 6) AS score,
+SELECT doc_id, n_pages, n_scored, floor(score * 1000000 + 0.500001::double) / 1000000 AS score,
   CASE WHEN score IS NULL THEN 'NA' WHEN score >= 0.8 THEN 'PASS' WHEN score >= 0.6 THEN 'REVIEW' ELSE 'FAIL' END AS band FROM reduced""",
 )
 def reading_load_page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +114,7 @@ def reading_load_page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     raw = F.col("raw")
     band = ladder((raw.isNull(), "NA"), (raw >= 0.8, "PASS"), (raw >= 0.6, "REVIEW"), otherwise="FAIL")
-    return found.select("doc_id", "n_pages", "n_scored", round6(raw).alias("score"), band.alias("band"))
+    return found.select("doc_id", "n_pages", "n_scored", steady6(raw).alias("score"), band.alias("band"))
 
 
 @query(
@@ -179,41 +180,50 @@ def transition_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "q04_duplicate_pages",
     f"""WITH {PAGES},
-u AS (SELECT doc_id, page, {NORM.format("line")} AS norm_text, {TOKENS.format("line")} AS t, objects FROM pg),
+u AS (SELECT doc_id, page, {NORM.format("line")} AS norm_text, list_sort({TOKENS.format("line")}) AS t, objects FROM pg),
+c AS (
+  SELECT *, min(page) OVER w AS class, count(*) OVER w AS n_pages FROM u WHERE norm_text <> '' WINDOW w AS (PARTITION BY doc_id, norm_text, objects, t)),
 pairs AS (
-  SELECT x.doc_id, x.page AS left_page, y.page AS right_page, x.norm_text = y.norm_text AS same, x.objects = y.objects AS alike,
+  SELECT x.doc_id, least(x.class, y.class) AS left_page, greatest(x.class, y.class) AS right_page, x.norm_text = y.norm_text AS same, x.objects = y.objects AS alike,
     length(x.norm_text) AS n, {SIMILAR.format("x.t", "y.t")} AS sim
-  FROM u x JOIN u y ON x.doc_id = y.doc_id AND x.page < y.page WHERE x.norm_text <> '' AND y.norm_text <> ''),
-hits AS (SELECT *, same AND (alike OR n >= 12) AS duplicate FROM pairs WHERE (same AND (alike OR n >= 12)) OR (sim >= 0.94 AND alike))
-SELECT d.doc_id, left_page, right_page, CASE WHEN left_page IS NULL THEN 1::double WHEN duplicate AND alike THEN 0::double ELSE 0.2::double END AS score
-FROM documents d LEFT JOIN hits h ON d.doc_id = h.doc_id""",
+  FROM c x JOIN c y ON x.doc_id = y.doc_id AND x.page < y.page),
+hits AS (
+  SELECT doc_id, left_page, right_page, count(*) AS n_links, CASE WHEN bool_and(same AND alike) THEN 0::double ELSE 0.2::double END AS score FROM pairs
+  WHERE (same AND (alike OR n >= 12)) OR (sim >= 0.94 AND alike) GROUP BY doc_id, left_page, right_page)
+SELECT d.doc_id, left_page, right_page, coalesce(n_links, 0) AS n_links, coalesce(score, 1::double) AS score FROM documents d LEFT JOIN hits h ON d.doc_id = h.doc_id""",
 )
 def duplicate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Duplicate and near duplicate pages of a deck; a deck without any has one row of score 1."""
+    """Duplicate and near duplicate pages of a deck. Pages of one text, number of objects and tokens are a
+    class, named after its first page; a row is a link between two classes (or of one with itself) and says how many pairs
+    of pages it stands for. A deck without links has one row of score 1."""
     u = pages(spark, sf_dir).select(
-        "doc_id", "page", "objects", X.normalize_text(F.col("line")).alias("norm"), X.tokens(F.col("line")).alias("t")
+        "doc_id", "page", "objects", X.normalize_text(F.col("line")).alias("norm"), F.array_sort(X.tokens(F.col("line"))).alias("t")
     ).where("norm <> ''")
-    # Pages meet by what a hit must share: equal pages their text, similar ones their number of objects and a token of
-    # the prefix that any two sets of this similarity share (longer tokens first, as they are rarer).
+    classes = u.groupBy("doc_id", "objects", "t", F.xxhash64("norm").alias("mark"), F.length("norm").alias("n")).agg(F.min("page").alias("class"), F.count(F.lit(1)).alias("n_pages"))
+    own = classes.where("n_pages > 1").select(
+        "doc_id", F.col("class").alias("left_page"), F.col("class").alias("right_page"), (F.col("n_pages") * (F.col("n_pages") - 1) / 2).cast("long").alias("n_links"), lit(0).alias("score")
+    )
+    x, y = classes.alias("x"), classes.alias("y")
+    ends = (F.col("x.doc_id").alias("doc_id"), F.col("x.class").alias("left_page"), F.col("y.class").alias("right_page"), (F.col("x.n_pages") * F.col("y.n_pages")).alias("n_links"))
+    alike = F.col("x.objects") == F.col("y.objects")
+    in_order = (F.col("x.doc_id") == F.col("y.doc_id")) & (F.col("x.class") < F.col("y.class"))
+    texts = x.join(y, in_order & (F.col("x.mark") == F.col("y.mark")) & (alike | (F.col("x.n") >= 12))).select(*ends, F.when(alike, lit(0)).otherwise(lit(0.2)).alias("score"))
+    # Similar classes meet by their number of objects and a token of the prefix that any two sets of this similarity share
+    # (longer tokens first, as they are rarer); only places meet, the sets follow once for each pair.
     ordered = F.transform(F.array_sort(F.transform("t", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda z: z["w"])
     prefix = F.slice(ordered, 1, F.greatest(F.size("t") - F.ceil(F.size("t") * lit(0.94) - lit(1e-9)).cast("int") + 1, F.lit(1)))
-    near = F.transform(F.when(F.size("t") == 0, F.array(F.lit(""))).otherwise(prefix), lambda w: F.concat_ws(":", F.lit("t"), "objects", w))
-    keys = F.concat(near, F.array(F.concat(F.lit("="), F.col("norm"))))
-    u = u.select("doc_id", "page", "objects", F.length("norm").alias("n"), "t", F.xxhash64("norm").alias("mark"), F.explode(keys).alias("key"))
-    u = u.withColumn("key", F.xxhash64("key"))
-    x, y = u.alias("x"), u.alias("y")
-    same = F.col("x.mark") == F.col("y.mark")
-    alike = F.col("x.objects") == F.col("y.objects")
-    sim = X.jaccard(F.col("x.t"), F.col("y.t"))
-    duplicate = same & (alike | (F.col("x.n") >= 12))
-    hits = (
-        x.join(y, (F.col("x.doc_id") == F.col("y.doc_id")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.page") < F.col("y.page")))
-        .where(duplicate | ((sim >= 0.94) & alike))
-        .select(F.col("x.doc_id").alias("doc_id"), F.col("x.page").alias("left_page"), F.col("y.page").alias("right_page"), F.when(duplicate & alike, lit(0)).otherwise(lit(0.2)).alias("score"))
-        .distinct()
-    )
+    key = F.explode(F.when(F.size("t") == 0, F.array(F.lit(""))).otherwise(prefix))
+    spots = classes.select("doc_id", "objects", "class", "mark", F.size("t").alias("size"), key.alias("key"))
+    a, b = spots.alias("x"), spots.alias("y")
+    fits = F.least("x.size", "y.size") >= lit(0.94) * F.greatest("x.size", "y.size") - lit(1e-9)
+    met = a.join(b, in_order & alike & (F.col("x.key") == F.col("y.key")) & (F.col("x.mark") != F.col("y.mark")) & fits)
+    met = met.select(F.col("x.doc_id").alias("doc_id"), F.col("x.class").alias("p"), F.col("y.class").alias("q")).distinct()
+    side = lambda c: classes.select("doc_id", F.col("class").alias(c), F.col("t").alias(f"t_{c}"), F.col("n_pages").alias(f"n_{c}"))
+    near = met.join(side("p"), ["doc_id", "p"]).join(side("q"), ["doc_id", "q"]).where(X.jaccard(F.col("t_p"), F.col("t_q")) >= 0.94)
+    near = near.select("doc_id", F.col("p").alias("left_page"), F.col("q").alias("right_page"), (F.col("n_p") * F.col("n_q")).alias("n_links"), lit(0.2).alias("score"))
+    hits = own.unionByName(texts).unionByName(near)
     decks = table(spark, sf_dir, "documents").select("doc_id")
-    return decks.join(hits, "doc_id", "left").select("doc_id", "left_page", "right_page", F.coalesce("score", lit(1)).alias("score"))
+    return decks.join(hits, "doc_id", "left").select("doc_id", "left_page", "right_page", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("score", lit(1)).alias("score"))
 
 
 @query(

@@ -8,3 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table `name` of the directory `sf_dir`, through Spark's own reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over as many tasks as there are cores, if its scan has fewer: one small file is one task, and what is costly
+    for each row would run in it alone. A table of many files stays as it is and is not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
