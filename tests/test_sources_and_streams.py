@@ -119,3 +119,30 @@ def test_a_run_is_chained_across_batches(spark):
         want.add((run, seq, payload, last.get(run, ""), own))
         last[run] = own
     assert got == want
+
+
+def test_packages_that_cannot_be_read_say_so(spark, tmp_path):
+    from tallyscope.sources.decks import deck_texts, media_integrity, page_texts, scan_packages, split_by_digest
+
+    picture = '<p:pic><p:nvPicPr><p:cNvPr id="9" name="Pic"/></p:nvPicPr><p:blipFill><a:blip r:embed="rId7"/></p:blipFill></p:pic>'
+    lost = [("ppt/slides/_rels/slide1.xml.rels", f'<Relationships xmlns="{REL}"><Relationship Id="rId7" Target="../media/gone.png"/></Relationships>')]
+    files = {
+        "good": deck([shape(2, "second") + shape(3, "hidden", hidden=True) + shape(4, ""), shape(2, "first") + shape(3, "too")]), "lost": deck([picture], lost),
+        "malformed": deck([shape(2, "x")], [("ppt/slides/slide9.xml", "")])[:-40], "zip": b"no zip", "empty": b"",
+        "tag": deck(["<p:sp>"]),
+    }
+    rows = [(name, data) for name, data in files.items()] + [("null", None)]
+    scanned = scan_packages(spark.createDataFrame(rows, "path string, content binary"))
+    got = {r.path: r for r in scanned.collect()}
+    assert len(got) == len(rows) and got["good"].findings == [] and len(got["good"].objects) == 5
+    for name in ("malformed", "zip", "empty", "null"):
+        assert [f.code for f in got[name].findings] == ["NOT_A_PACKAGE"] and got[name].objects == []
+    assert [(f.code, f.severity, f.entry) for f in got["tag"].findings] == [("PARSE_FAILED", "BLOCK", "ParseError")]
+    objects = scanned.selectExpr("path", "inline(objects)")
+    assert {(r.path, r.page, r.text) for r in page_texts(objects).collect() if r.path == "good"} == {("good", 1, "first\ntoo"), ("good", 2, "second")}
+    assert {r.path: r.text for r in deck_texts(objects).collect()}["good"] == "first\ntoo\nsecond"
+    media = {r.path: (r.status, r.score, r.severity) for r in media_integrity(scanned.where("path in ('good', 'lost')"), objects).collect()}
+    assert media == {"good": ("NA", None, "INFO"), "lost": ("SCORED", 0.0, "CRITICAL")}
+    named = [(r.path, r.sha256.upper()) for r in got.values() if r.path != "zip"] + [("zip", "0" * 64)]
+    good, bad = split_by_digest(scanned, spark.createDataFrame(named[1:], "path string, sha256 string"))
+    assert {r.path for r in bad.collect()} == {named[0][0], "zip"} and good.count() == len(rows) - 2 and good.columns == scanned.columns
