@@ -17,6 +17,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ from tallyscope.llm.common import in_arrow
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that the potentials are learned from, about; drawn by a hash of the id.
 MAX_TRAIN_DOCS = 20_000
+#: Bytes of the texts that are solved together.
+GRAPH_BYTES = 1 << 20
 #: A document's messages have settled when none of them changes by more in a round; rounds after which they are taken as
 #: they are, should they never settle.
 SETTLED, MAX_ROUNDS = 1e-4, 2000
@@ -334,6 +337,17 @@ def added_spans(texts: list[str], bases: list[list[tuple[int, int, int]]], field
     return out
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts are GRAPH_BYTES together, or one longer text: what is one graph in memory."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros(0)
+    low = 0
+    while low < batch.num_rows:
+        before = int(ends[low - 1]) if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + GRAPH_BYTES, side="right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def find_personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """doc_id, base, added for every row of `docs` (doc_id, text): arrays of (kind, start, end), by kind as in KINDS,
     then start; positions in code points, end exclusive.
@@ -348,8 +362,7 @@ def find_personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                rows = batch.slice(at, 500)
+            for rows in slices(batch):
                 texts = [t or "" for t in rows.column("text").to_pylist()]
                 bases = [base_spans(t) for t in texts]
                 more = added_spans(texts, bases, shared.value)

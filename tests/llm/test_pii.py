@@ -114,3 +114,16 @@ def test_defined_results(spark, tmp_path):
     ]
     assert find_personal_data(docs.limit(0)).collect() == []
     assert learn_field(docs.limit(0)).bias.shape == (5,)
+
+
+def test_slices_are_bounded_and_whole(monkeypatch):
+    import pyarrow as pa
+
+    from tallyscope.llm import pii
+
+    monkeypatch.setattr(pii, "GRAPH_BYTES", 10)
+    texts = ["", "a" * 4, "b" * 6, None, "c" * 30, "d", "é" * 5, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    got = [b.column("text").to_pylist() for b in pii.slices(batch)]
+    assert sum(got, []) == texts and all(len(g) == 1 or sum(len((t or "").encode()) for t in g) <= 10 for g in got)
+    assert list(pii.slices(batch.slice(0, 0))) == []
