@@ -33,9 +33,10 @@ BINS, BAND = 32, 2
 #: Leaders of a band: its central set and others by different hashes.
 LEADERS = 4
 #: Tokens that go to the end of the common order, at most; they are broadcast (8 bytes each). They are those that repeat
-#: within some neighbouring documents, the most frequent first. This order only decides which tokens make up a prefix:
-#: the join is exact under any, but a prefix of rare tokens meets few others.
-MAX_FREQUENT = 500_000
+#: within some neighbouring documents, the most frequent first, and then those whose lists in the index are longer than
+#: LONG_LIST, counted over the whole index, which is built anew for them ORDERS times at most. This order only decides
+#: which tokens make up a prefix: the join is exact under any, but a prefix of rare tokens meets few others.
+MAX_FREQUENT, LONG_LIST, ORDERS = 500_000, 64, 4
 #: Columns of 64 bits in the parity map of fixed length that travels with the index entries.
 SKETCH = [f"s{i}" for i in range(8)]
 #: Tokens of neighbouring documents that are counted at once.
@@ -180,8 +181,9 @@ def _real(part: pa.RecordBatch, sets: list[np.ndarray], met: set[int]) -> Iterat
 class _Join:
     """The classes of one corpus and the steps that compare them."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int):
+    def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int, frequent: np.ndarray):
         self.docs, self.classes, self.width, self.t = docs, classes, width, percent
+        self.frequent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def texts(self, nodes: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         """Rows with the texts of `nodes` (node and the columns `carry`, one row for each class); not yet told apart by
@@ -270,9 +272,40 @@ class _Join:
         found = found.withColumnRenamed("node", "grp")
         return materialize(whole.join(found, "grp", "left").withColumn("comp", F.coalesce("component", "grp")).drop("component"), "groups")
 
-    def met(self, groups: DataFrame, frequent) -> DataFrame:
-        """p, q: the groups of different components that meet in a list of the index and whose bounds fit."""
-        width, t = self.width, self.t
+    def met(self, groups: DataFrame) -> DataFrame:
+        """p, q: the groups of different components that meet in a list of the index and whose bounds fit.
+
+        A list of very many groups would make pairs with the square of their number. So the lists are counted, and the
+        tokens of long ones go to the end of the common order, until no list is long or that end is full; the last index
+        is joined. Which tokens go there changes the work, never the answer.
+        """
+        index = self.index(groups)
+        for _ in range(ORDERS):
+            long = index.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LONG_LIST)
+            room = MAX_FREQUENT - len(self.frequent.value)
+            found = long.orderBy(F.col("n").desc(), "token").limit(room).select("token").toArrow().column("token").to_numpy().view(np.uint64)
+            found = np.setdiff1d(found, self.frequent.value)
+            if not len(found):
+                break
+            frequent = np.union1d(self.frequent.value, found)
+            self.frequent.destroy()
+            self.frequent = self.docs.sparkSession.sparkContext.broadcast(frequent)
+            index = self.index(groups)
+        t = self.t
+        x, y = index.alias("x"), index.alias("y")
+        fits = (
+            (F.col("x.comp") < F.col("y.comp"))
+            & (100 * F.col("x.high") >= t * F.col("y.low"))
+            & (100 * F.col("y.high") >= t * F.col("x.low"))
+            # the tokens of one list entry and those after it bound the intersection
+            & ((100 + t) * F.least("x.rest", "y.rest") >= t * (F.col("x.low") + F.col("y.low")))
+        )
+        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(F.col("x.grp").alias("p"), F.col("y.grp").alias("q"))
+        return materialize(pairs.distinct(), "met")
+
+    def index(self, groups: DataFrame) -> DataFrame:
+        """token, grp, comp, low, high, rest: the blocks of the index under the order of tokens as it is, written."""
+        width, t, frequent = self.width, self.t, self.frequent
 
         def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """(token, grp, comp, low, high, rest): of one group's sets in a list, the sizes and the most tokens from there on."""
@@ -307,21 +340,11 @@ class _Join:
                 ["token", "grp", "comp", "low", "high", "rest"],
             )
 
-        index = in_arrow(self.texts(groups, ("grp", "comp")), blocks, "token long, grp long, comp long, low int, high int, rest int")
-        x, y = index.alias("x"), index.alias("y")
-        fits = (
-            (F.col("x.comp") < F.col("y.comp"))
-            & (100 * F.col("x.high") >= t * F.col("y.low"))
-            & (100 * F.col("y.high") >= t * F.col("x.low"))
-            # the tokens of one list entry and those after it bound the intersection
-            & ((100 + t) * F.least("x.rest", "y.rest") >= t * (F.col("x.low") + F.col("y.low")))
-        )
-        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(F.col("x.grp").alias("p"), F.col("y.grp").alias("q"))
-        return materialize(pairs.distinct(), "met")
+        return materialize(in_arrow(self.texts(groups, ("grp", "comp")), blocks, "token long, grp long, comp long, low int, high int, rest int"), "index")
 
-    def member_links(self, groups: DataFrame, open_pairs: DataFrame, frequent) -> DataFrame:
+    def member_links(self, groups: DataFrame, open_pairs: DataFrame) -> DataFrame:
         """p, q: of the pairs of groups in `open_pairs` those of which some members link."""
-        width, t = self.width, self.t
+        width, t, frequent = self.width, self.t, self.frequent
         some = groups.join(open_pairs.select(F.explode(F.array("p", "q")).alias("grp")).distinct(), "grp", "left_semi")
 
         def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,13 +385,13 @@ class _Join:
         pairs = materialize(self.possible(pairs), "possible")
         return materialize(pairs.join(self.compared(pairs), ["a", "b"]).where(self.linked()).select("p", "q").distinct(), "member-links")
 
-    def components(self, frequent) -> DataFrame:
+    def components(self) -> DataFrame:
         """node, comp for every class."""
         groups = self.groups()
         bounds = groups.groupBy("grp").agg(F.min("n_shingles").alias("low"), F.max("extra").alias("extra"), F.first("comp").alias("comp"))
         bounds = materialize(bounds, "bounds")
         own = lambda x: bounds.select(F.col("grp").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("low", "extra", "comp")])
-        pairs = self.met(groups, frequent).join(own("p"), "p").join(own("q"), "q")
+        pairs = self.met(groups).join(own("p"), "p").join(own("q"), "q")
         # a group is named after its leader: its answer is computed, those of the members derived from it
         room, least = F.col("extra_p") + F.col("extra_q"), F.col("low_p") + F.col("low_q")
         pairs = pairs.withColumns({"a": F.col("p"), "b": F.col("q")})
@@ -384,7 +407,7 @@ class _Join:
             left = left.join(end("p"), "comp_p", "left").join(end("q"), "comp_q", "left")
             apart = ~F.coalesce("end_p", "comp_p").eqNullSafe(F.coalesce("end_q", "comp_q"))
             left = materialize(left.where(apart).select("p", "q", "comp_p", "comp_q"), "open")
-            more = left.join(self.member_links(groups, left.select("p", "q"), frequent), ["p", "q"])
+            more = left.join(self.member_links(groups, left.select("p", "q")), ["p", "q"])
             links = links.unionByName(more.select(F.col("comp_p").alias("a"), F.col("comp_q").alias("b")))
         ends = connected_components(links).withColumnRenamed("node", "comp")
         return groups.select("node", "comp").join(ends, "comp", "left").select("node", F.coalesce("component", "comp").alias("comp"))
@@ -419,9 +442,9 @@ def _classified(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
         .select(F.monotonically_increasing_id().alias("node"), "s0", "s1", "head", F.col("head.doc_id").alias("doc_id"), F.col("head.mark").alias("mark"), "n_shingles", "bands", "map")
     )
     classes = materialize(classes, "classes")
-    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(told))
-    ends = materialize(_Join(docs, classes, width, percent).components(frequent), "components")
-    frequent.destroy()
+    join = _Join(docs, classes, width, percent, _frequent(told))
+    ends = materialize(join.components(), "components")
+    join.frequent.destroy()
     named = materialize(classes.select("node", "s0", "s1", "head").join(ends, "node"), "named")
     least = materialize(named.groupBy("comp").agg(F.min("head").alias("least")), "heads")
     named = named.join(least, "comp").select("s0", "s1", F.col("head.doc_id").alias("class_id"), "comp", "least")

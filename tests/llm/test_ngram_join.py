@@ -127,6 +127,27 @@ def test_rows_of_one_id_are_read_once(spark):
     keyed = n._keyed(docs)[0]
     mark = n.text_mark(F.col("text"))
     classes = keyed.select(F.monotonically_increasing_id().alias("node"), "doc_id", mark.alias("mark"), F.lit(0).cast("long").alias("s0"), F.lit(0).cast("long").alias("s1"))
-    join = n._Join(keyed, n.materialize(classes, "classes"), 5, 80)
+    join = n._Join(keyed, n.materialize(classes, "classes"), 5, 80, n.np.zeros(0, dtype=n.np.uint64))
     assert join.texts(join.classes.select("node")).count() == 300
     assert len(jaccard_components(docs).collect()) == 300
+
+
+def test_thinly_spread_openings_make_no_square_of_pairs(spark, monkeypatch):
+    import random
+
+    from tallyscope.llm import ngram_join as n
+
+    r = random.Random(8)
+    opening = " ".join(f"open{i}" for i in range(28))
+    rows = [(i, opening + " " + " ".join(f"w{r.randrange(10**9)}" for _ in range(32))) for i in range(150)]
+    met, real = [], n._Join.met
+    monkeypatch.setattr(n._Join, "met", lambda self, groups: met.append(real(self, groups)) or met[-1])
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert sorted((x.doc_id, x.component_id) for x in jaccard_components(docs.repartition(150, "doc_id")).collect()) == [(i, i) for i in range(150)]
+    assert met[-1].count() == 0
+    monkeypatch.setattr(n, "LONG_LIST", 2)
+    text = lambda: [r.choice("abcdefgh") for _ in range(40)]
+    base = [text() for _ in range(6)]
+    rows = [(i, " ".join([*r.choice(base)[: r.choice([30, 38, 40])], *text()[: r.choice([0, 2, 10])]])) for i in range(80)]
+    found = jaccard_components(spark.createDataFrame(rows, SCHEMA).repartition(40)).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in found) == brute(rows)
