@@ -17,6 +17,7 @@ groups or among the blocks that are left.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import checked, drop_rows, in_arrow, materialize, text_mark
+from tallyscope.llm.common import checked, drop_rows, in_arrow, materialize, remove_folder, text_mark
 from tallyscope.llm.components import connected_components
 from tallyscope.llm.wordhash import Words, mix, pieces
 
@@ -290,7 +291,8 @@ class _Join:
             frequent = np.union1d(self.frequent.value, found)
             self.frequent.destroy()
             self.frequent = self.docs.sparkSession.sparkContext.broadcast(frequent)
-            index = self.index(groups)
+            old, index = index, self.index(groups)
+            remove_folder(self.docs.sparkSession, os.path.dirname(old.inputFiles()[0]))  # the last index alone is joined
         t = self.t
         x, y = index.alias("x"), index.alias("y")
         fits = (
