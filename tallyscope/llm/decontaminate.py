@@ -34,7 +34,7 @@ LEAD = 4096
 #: Bytes of a long text in which regions are sought at once; neighbours share OVERLAP, more than a region is long.
 WINDOW, OVERLAP = PIECE, 1024
 #: Places of q-grams of passages that are counted at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 #: A shorter passage says nothing about where a text comes from: a text that holds it isn't dropped for it.
 MIN_CHARS = 8
 
