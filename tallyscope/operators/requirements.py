@@ -65,18 +65,23 @@ def requirement_observations(requirements: DataFrame, objects: DataFrame) -> Dat
     subject, within the scope; page falls back to the scope. Null and blank requirements are left out, and so are those of
     a deck without objects; null texts of objects count as empty. A deck's objects are one row, as a document is.
     """
-    item = F.struct(F.col("page").cast("long").alias("page"), "place", "object", F.coalesce("text", F.lit("")).alias("text"))
-    decks = objects.groupBy("deck").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    decks = decks.withColumn("pages", F.array_distinct(F.transform("items", lambda x: x["page"])))
-    asked = requirements.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
+    # each object is normalised and taken apart once, however many requirements its deck is held against
+    read = objects.withColumn("text", F.coalesce("text", F.lit(""))).withColumns({"norm": X.normalize_text(F.col("text")), "tokens": X.tokens(F.col("text"))})
+    item = F.struct(F.col("page").cast("long").alias("page"), "place", "object", "norm", "tokens")
+    joined = lambda items: F.array_join(F.transform(items, lambda x: x["norm"]), "")
+    held = lambda items: F.array_distinct(F.flatten(F.transform(items, lambda x: x["tokens"])))
+    decks = read.groupBy("deck").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    decks = decks.withColumns({"pages": F.array_distinct(F.transform("items", lambda x: x["page"])), "all_norm": joined(F.col("items")), "all_tokens": held(F.col("items"))})
+    asked = requirements.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").withColumn("about", subject(F.col("text")))
+    asked = asked.withColumns({"needed": X.tokens(F.col("about")), "needle": X.normalize_text(F.col("about"))})
+    asked = asked.withColumn("marks", F.filter(F.transform("needed", X.normalize_text), lambda t: t != ""))
     rows = scoped(asked, decks)
-    own = F.when(F.col("scope").isNull(), F.col("items")).otherwise(F.filter("items", lambda x: x["page"] == F.col("scope")))
-    rows = rows.withColumns({"own": own, "about": subject(F.col("text"))}).withColumn("needed", X.tokens(F.col("about")))
-    rows = rows.withColumn("hay", F.array_join(F.transform("own", lambda x: x["text"]), "\n"))
-    marks = F.filter(F.transform("needed", X.normalize_text), lambda t: t != "")
-    hits = lambda x: F.exists(F.col("marks"), lambda t: F.contains(X.normalize_text(x["text"]), t))
-    rows = rows.withColumn("marks", marks).withColumn("found", F.get(F.filter("own", hits), F.lit(0)))
-    coverage = X.token_recall(F.col("about"), F.col("hay"))
+    deckwide = F.col("scope").isNull()
+    rows = rows.withColumn("own", F.when(deckwide, F.col("items")).otherwise(F.filter("items", lambda x: x["page"] == F.col("scope"))))
+    hits = lambda x: F.exists(F.col("marks"), lambda t: F.contains(x["norm"], t))
+    rows = rows.withColumn("found", F.get(F.filter("own", hits), F.lit(0)))
+    hay, tokens = F.when(deckwide, F.col("all_norm")).otherwise(joined(F.col("own"))), F.when(deckwide, F.col("all_tokens")).otherwise(held(F.col("own")))
+    coverage = X.recall_of(F.col("needle"), F.col("needed"), hay, tokens)
     rows = rows.select("deck", "ord", "scope", coverage.alias("coverage"), is_negative(F.col("text")).alias("negative"), (F.coalesce("declared", F.lit(False)) | is_critical(F.col("text"))).alias("critical"), "found")
     met = F.when(F.col("negative"), lit(1) - F.col("coverage")).otherwise(F.col("coverage"))
     rows = rows.withColumn("satisfaction", met)
