@@ -131,3 +131,65 @@ def rank_evidence(evidence: DataFrame, by: list[str], keep: int, defects: tuple[
         at(F.col("source"), SOURCES), "worst", F.col("page").isNull(), F.col("page").asc_nulls_last(), "evidence_id", "kind", "object", "message", "box", "codes", "affected"
     )
     return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep).drop("worst")
+
+
+#: The metrics that a family owns, and the words that tell the family of other metrics; the first that fits.
+OWNED = {
+    "DELIVERY_INTEGRITY": ("v8_functional_integrity", "file_deliverability"),
+    "CONTENT_EXPRESSION": ("content_structure", "language_consistency", "compression_richness", "critical_content_visibility"),
+    "TASK_FIDELITY": (
+        "instruction", "audience", "fact_claim", "internal_data_consistency", "key_point", "numeric", "source_claim", "traceability", "asset_coverage", "asset_presentation",
+        "chart_fidelity", "crop_image_integrity", "media_integrity",
+    ),
+    "VISUAL_LAYOUT_READABILITY": ("composition_craft", "typography_craft"),
+    "VISUAL_COMMUNICATION": ("palette_craft", "visual_communication"),
+    "SEQUENCE_SYSTEM": ("visual_system_sequence",),
+    "AUTHORSHIP": ("authorship_specificity_v2", "authorship_specificity"),
+}
+TOLD_BY = (
+    ("SYSTEM_INTEGRITY", ("harness", "provider", "evidence_integrity")),
+    ("AUTHORSHIP", ("author", "specificity")),
+    ("SEQUENCE_SYSTEM", ("sequence", "cross_slide", "transition", "duplicate_slide")),
+    ("VISUAL_LAYOUT_READABILITY", ("typograph", "readability", "legibility", "contrast", "reading")),
+    ("VISUAL_COMMUNICATION", ("imagery", "palette", "visual_communication", "data_visual")),
+    ("VISUAL_LAYOUT_READABILITY", ("layout", "composition", "geometry", "crop", "render_integrity")),
+    ("TASK_FIDELITY", ("requirement", "instruction", "audience", "source", "claim", "asset", "chart", "numeric", "key_point", "traceability", "media", "task_fidelity")),
+    ("CONTENT_EXPRESSION", ("content", "language", "title", "structure", "expression", "compression")),
+    ("DELIVERY_INTEGRITY", ("deliver", "functional", "security")),
+)
+#: What a reason says when evidence is missing, and a phrase that says so by itself.
+GAPS, GAP_PHRASE = ("MISSING", "UNCONFIGURED", "UNAVAILABLE", "PROVIDER", "INSUFFICIENT", "ERROR"), "required metric is unresolved"
+
+
+def semantic_family(metric: Column) -> Column:
+    """The family that a metric's issues belong to: its owner, else the first family that a word in its name tells of,
+    else that of content. A null metric counts as empty."""
+    name = F.lower(F.coalesce(metric, F.lit("")))
+    owned = [(name.isin(*metrics), family) for family, metrics in OWNED.items()]
+    told = [(name.rlike("|".join(words)), family) for family, words in TOLD_BY]
+    return ladder(*owned, *told, otherwise="CONTENT_EXPRESSION")
+
+
+def evidence_gap(reason: Column) -> Column:
+    """Whether a reason says that evidence is missing; a null one doesn't."""
+    said = F.coalesce(reason, F.lit(""))
+    return F.upper(said).rlike("|".join(GAPS)) | (said == GAP_PHRASE)
+
+
+def issue_order(priority: Column, severity: Column, pages: Column, issue_id: Column) -> list[Column]:
+    """What raw issues are sorted by: priority, severity, first page (none last), id. Null priorities are P3, null
+    severities INFO; unknown ones come last."""
+    at = lambda x, names: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, names)), x), F.lit(0)), F.lit(len(names) + 1))
+    first = F.coalesce(F.array_min(pages).cast("long"), F.lit(10**9))
+    return [at(F.coalesce(priority, F.lit("P3")), PRIORITIES), at(F.coalesce(severity, F.lit("INFO")), WORST_FIRST), first, F.coalesce(issue_id, F.lit(""))]
+
+
+def issue_details(issues: DataFrame, raw: DataFrame, shown: list[str]) -> DataFrame:
+    """`issues` (run, issue_id, raw_ids) with raw (array of structs of raw_id and `shown`) and n_raw: the raw issues
+    (`raw`: run, raw_id and others) of each in the order of its raw_ids; ids that stand for none are left out."""
+    named = issues.select("run", "issue_id", F.posexplode("raw_ids").alias("nth", "raw_id"))
+    found = named.join(raw.select("run", "raw_id", *shown), ["run", "raw_id"])
+    held = found.groupBy("run", "issue_id").agg(F.array_sort(F.collect_list(F.struct("nth", "raw_id", *shown))).alias("raw"))
+    parts = lambda x: F.struct(*[x[c].alias(c) for c in ("raw_id", *shown)])
+    every = issues.join(held, ["run", "issue_id"], "left")
+    return every.withColumn("raw", F.coalesce(F.transform("raw", parts), F.array())).withColumn("n_raw", F.size("raw"))
