@@ -90,3 +90,18 @@ def source_traceability(decks: DataFrame, sources: DataFrame) -> DataFrame:
     ))
     rows = decks.join(own, "deck").select("deck", F.inline(_once(cited, seen)))
     return rows.withColumns({"score": F.col("hit").cast("double"), "confidence": lit(0.88)})
+
+
+def render_parity(pages: DataFrame, rendered: DataFrame) -> DataFrame:
+    """`pages` (deck, page, n_pages and others) with status, score, severity, key_unit, critical: whether each page is
+    among the `rendered` ones (deck, page; repeats count once). A page that isn't is critical; of a deck without any
+    rendered page every page is NA. Rendered pages of no deck are left out, pages that a deck doesn't have prove nothing
+    but that it was rendered."""
+    own = rendered.select("deck", "page").distinct()
+    some = own.select("deck").distinct().withColumn("_some", F.lit(True))
+    every = pages.join(own.withColumn("_here", F.lit(True)), ["deck", "page"], "left").join(some, "deck", "left")
+    here, known = F.coalesce("_here", F.lit(False)), F.col("_some").isNotNull()
+    return every.withColumns({
+        "status": F.when(known, "SCORED").otherwise("NA"), "score": F.when(known, here.cast("double")), "severity": F.when(known & ~here, "CRITICAL").otherwise("INFO"),
+        "key_unit": known & ((F.col("page") == 1) | (F.col("page") == F.col("n_pages"))), "critical": known & ~here,
+    }).drop("_here", "_some")

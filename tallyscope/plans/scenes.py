@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyscope.functions.scores import lit, steady6
-from tallyscope.operators.scenes import CUES, audience_fit, fact_support, source_traceability
-from tallyscope.plans.documents import CASE_OF, NORM, TOKENS, with_cases
+from tallyscope.operators.scenes import CUES, audience_fit, fact_support, render_parity, source_traceability
+from tallyscope.plans.documents import CASE_OF, NORM, PAGES, TOKENS, pages, with_cases
 from tallyscope.plans.registry import query
+from tallyscope.sources.artifacts import rendered_pages
 from tallyscope.sources.tables import spread, table
 
 PEOPLE = (" board", " engineers", " customers and clients", "")
@@ -101,3 +102,18 @@ def traceability(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = with_cases(docs.select("doc_id"), items).join(words, "item_id").select(F.col("doc_id").alias("deck"), (F.col("at") + 1).alias("nth"), uri.alias("uri"))
     found = source_traceability(docs.withColumnRenamed("doc_id", "deck"), own)
     return found.select("deck", "nth", F.md5(F.col("uri").cast("binary")).alias("uri_md5"), "hit", "score", "confidence")
+
+
+@query(
+    "q106_render_parity",
+    f"""WITH {PAGES}, r AS (SELECT *, doc_id % 4 <> 1 AND chars % 7 <> 3 AS here FROM pg), k AS (SELECT *, bool_or(here) OVER (PARTITION BY doc_id) AS known FROM r)
+SELECT doc_id, page, n_pages, importance, CASE WHEN known THEN 'SCORED' ELSE 'NA' END AS status, CASE WHEN known THEN here::int::double END AS score, CASE WHEN known AND NOT here THEN 'CRITICAL' ELSE 'INFO' END AS severity,
+  known AND (page = 1 OR page = n_pages) AS key_unit, known AND NOT here AS critical FROM k""",
+)
+def render_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which pages of each document were rendered, by the names of the files; some pages and the pages of
+    one document in four never were."""
+    every = pages(spark, sf_dir).select(F.col("doc_id").cast("string").alias("deck"), "page", "n_pages", "importance", "chars", "doc_id")
+    files = every.where("doc_id % 4 <> 1 and chars % 7 <> 3").select(F.concat("deck", F.lit("/slide-"), F.col("page").cast("string"), F.lit(".png")).alias("path"))
+    found = render_parity(every, rendered_pages(files)[0])
+    return found.select("doc_id", "page", "n_pages", "importance", "status", "score", "severity", "key_unit", "critical")

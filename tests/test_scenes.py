@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallyscope.operators.scenes import audience_fit, fact_support, source_traceability
+from tallyscope.operators.scenes import audience_fit, fact_support, render_parity, source_traceability
 
 
 def test_audience_fit(spark):
@@ -44,3 +44,13 @@ def test_source_traceability(spark):
     assert sorted((r.deck, r.nth, r.label, r.hit, r.score) for r in found) == [
         ("a", 1, "report.pdf", True, 1.0), ("a", 2, "report.doc", False, 0.0), ("a", 3, "", False, 0.0), ("a", 4, "", False, 0.0), ("a", 5, "page", True, 1.0), ("b", 1, "notes.txt", True, 1.0),
     ]
+
+
+def test_render_parity(spark):
+    pages = spark.createDataFrame([("a", 1, 3), ("a", 2, 3), ("a", 3, 3), ("b", 1, 1), ("c", 1, 2), ("c", 2, 2)], "deck string, page int, n_pages int")
+    rendered = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("c", 9), ("z", 1)], "deck string, page int")
+    found = render_parity(pages, rendered).collect()
+    assert sorted((r.deck, r.page, r.status, r.score, r.severity, r.key_unit, r.critical) for r in found) == [
+        ("a", 1, "SCORED", 1.0, "INFO", True, False), ("a", 2, "SCORED", 1.0, "INFO", False, False), ("a", 3, "SCORED", 0.0, "CRITICAL", True, True),
+        ("b", 1, "NA", None, "INFO", False, False), ("c", 1, "SCORED", 0.0, "CRITICAL", True, True), ("c", 2, "SCORED", 0.0, "CRITICAL", True, True),
+    ]
