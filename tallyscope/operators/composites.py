@@ -106,7 +106,7 @@ def reduce_graph(observations: DataFrame, by: Sequence[str], graph: Sequence[Red
     kind = own(lambda r: r.kind)
     raw = F.when(kind == PAGE, F.col("page")).when(kind == PAIR, F.col("pair")).otherwise(F.col("coverage"))
     required = own(lambda r: r.required)
-    missing = (F.col("n_scored") == 0) | (required & (F.col("observability") < R.LEAST_OBSERVABILITY))
+    missing = (F.col("n_scored") == 0) | (required & (F.col("observability") < R.LEAST_OBSERVABILITY - R.SUM_NOISE))
     status = F.when(F.col("n_misplaced") > 0, "ERROR").when(missing, "NA").otherwise("SCORED")
     capped = F.when(F.col("held"), F.least(raw, lit(R.CRITICAL_CAP))).otherwise(raw)
     sample = own(lambda r: r.sample or 0)

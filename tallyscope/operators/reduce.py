@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from tallyscope.functions.scores import SEVERITIES, lit, severity_rank
 
 CRITICAL_CAP, LEAST_OBSERVABILITY = 0.34, 0.60
+#: What sums of doubles in another order take from a share: one that is `least` in exact numbers isn't below it.
+SUM_NOISE = 1e-9
 
 
 def p20(x: str) -> Column:
@@ -73,8 +75,9 @@ def reduce_metric(
 ) -> DataFrame:
     """The group columns, status, score, uncapped_score, observability, confidence, severity, n_scored, n_missing.
 
-    A group with nothing scored, or a required one observed to less than `least`, is NA. A critical finding caps the
-    score at `cap`; the uncapped score stays beside it.
+    A group with nothing scored, or a required one observed to less than `least`, is NA; observed to just `least` it is
+    scored, in whatever order its rows are summed. A critical finding caps the score at `cap`; the uncapped score stays
+    beside it.
     """
     found = observations.groupBy(*by).agg(
         score.alias("raw"),
@@ -87,7 +90,7 @@ def reduce_metric(
     )
     missing = F.col("n_scored") == 0
     if required:
-        missing = missing | (F.col("observability") < least)
+        missing = missing | (F.col("observability") < least - SUM_NOISE)
     capped = F.when(F.col("held"), F.least(F.col("raw"), lit(cap))).otherwise(F.col("raw"))
     return found.select(
         *by,

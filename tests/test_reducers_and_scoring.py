@@ -44,6 +44,15 @@ def test_missing_units(spark):
     assert reduced(spark, [unit(None)], R.importance_coverage(), required=False).status == "NA"
 
 
+def test_what_is_observed_to_just_the_least_share_is_scored(spark):
+    # 111 of 185 parts are 0.6; as doubles the sums give 0.5999999999999999, first to last and last to first
+    parts = [73, 0, 38, 1, 57, 12, 4]
+    rows = [unit(0.9 if i < 3 else None, importance=k / 50) for i, k in enumerate(parts)]
+    for own in (rows, rows[::-1]):
+        r = R.reduce_metric(obs(spark, own).coalesce(1), ["run"], R.importance_coverage()).first()
+        assert r.observability < 0.6 and (r.status, r.score) == ("SCORED", pytest.approx(0.9))
+
+
 def test_critical_cap(spark):
     rows = [unit(0.9), unit(0.9), unit(0.9, key=True, severity="CRITICAL")]
     r = reduced(spark, rows, R.importance_coverage())
