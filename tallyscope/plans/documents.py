@@ -10,7 +10,7 @@ from tallyscope.functions.scores import clamp, ladder, lit, lookup, piecewise, r
 from tallyscope.operators.reduce import page_quality
 from tallyscope.operators.sampling import active_sampling, budgeted_sample, even_places, running_before
 from tallyscope.plans.registry import query
-from tallyscope.sources.tables import spread, table
+from tallyscope.sources.tables import spread, table, written
 
 IMPORTANCE = {"cover": 1.25, "data": 1.20, "content": 1.00, "section": 0.75, "closing": 0.50}
 #: Characters and text objects that a page of each role carries easily (soft) and at all (hard).
@@ -190,21 +190,31 @@ pairs AS (
 hits AS (
   SELECT doc_id, left_page, right_page, count(*) AS n_links, CASE WHEN bool_and(same AND alike) THEN 0::double ELSE 0.2::double END AS score FROM pairs
   WHERE (same AND (alike OR n >= 12)) OR (sim >= 0.94 AND alike) GROUP BY doc_id, left_page, right_page)
-SELECT d.doc_id, left_page, right_page, coalesce(n_links, 0) AS n_links, coalesce(score, 1::double) AS score FROM documents d LEFT JOIN hits h ON d.doc_id = h.doc_id""",
+SELECT d.doc_id, 'deck' AS kind, NULL::bigint AS left_page, NULL::bigint AS right_page, 0 AS n_links, 1::double AS score FROM documents d ANTI JOIN hits h ON d.doc_id = h.doc_id
+UNION ALL SELECT doc_id, 'link', left_page, right_page, n_links, score FROM hits UNION ALL SELECT doc_id, 'page', class, page, 0, 1::double FROM c""",
 )
 def duplicate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duplicate and near duplicate pages of a deck. Pages of one text, number of objects and tokens are a
-    class, named after its first page; a row is a link between two classes (or of one with itself) and says how many pairs
-    of pages it stands for. A deck without links has one row of score 1."""
+    class, named after its first page. A `page` row puts a page (right_page) into its class (left_page), one for every
+    page that has a text; a `link` row is a link between two classes (or of one with itself) and says how many pairs of
+    pages it stands for. A deck without links has a `deck` row of score 1."""
     u = pages(spark, sf_dir).select(
         "doc_id", "page", "objects", X.normalize_text(F.col("line")).alias("norm"), F.array_sort(X.tokens(F.col("line"))).alias("t")
     ).where("norm <> ''")
-    classes = u.groupBy("doc_id", "objects", "t", F.xxhash64("norm").alias("mark"), F.length("norm").alias("n")).agg(F.min("page").alias("class"), F.count(F.lit(1)).alias("n_pages"))
+    marked = u.select("doc_id", "page", "objects", "t", F.xxhash64("norm").alias("mark"), F.length("norm").alias("n"), F.xxhash64("t").alias("set"))
+    # written once, as all that follows reads it; the pages of a class are no more than the lines of its deck
+    classes = written(
+        marked.groupBy("doc_id", "objects", "mark", "n", "set").agg(F.min("page").alias("class"), F.first("t").alias("t"), F.array_sort(F.collect_list("page")).alias("pages")), "classes"
+    ).withColumn("n_pages", F.size("pages").cast("long"))
+    long = lambda c: c.cast("long")
+    members = classes.select("doc_id", F.lit("page").alias("kind"), F.col("class").alias("left_page"), F.explode("pages").alias("right_page"), long(F.lit(0)).alias("n_links"), lit(1).alias("score"))
+    link = F.lit("link").alias("kind")
     own = classes.where("n_pages > 1").select(
-        "doc_id", F.col("class").alias("left_page"), F.col("class").alias("right_page"), (F.col("n_pages") * (F.col("n_pages") - 1) / 2).cast("long").alias("n_links"), lit(0).alias("score")
+        "doc_id", link, F.col("class").alias("left_page"), F.col("class").alias("right_page"), long(F.col("n_pages") * (F.col("n_pages") - 1) / 2).alias("n_links"), lit(0).alias("score")
     )
-    x, y = classes.alias("x"), classes.alias("y")
-    ends = (F.col("x.doc_id").alias("doc_id"), F.col("x.class").alias("left_page"), F.col("y.class").alias("right_page"), (F.col("x.n_pages") * F.col("y.n_pages")).alias("n_links"))
+    spots = classes.select("doc_id", "class", "objects", "mark", "n", "n_pages", F.size("t").alias("size"))
+    x, y = spots.alias("x"), spots.alias("y")
+    ends = (F.col("x.doc_id").alias("doc_id"), link, F.col("x.class").alias("left_page"), F.col("y.class").alias("right_page"), (F.col("x.n_pages") * F.col("y.n_pages")).alias("n_links"))
     alike = F.col("x.objects") == F.col("y.objects")
     in_order = (F.col("x.doc_id") == F.col("y.doc_id")) & (F.col("x.class") < F.col("y.class"))
     texts = x.join(y, in_order & (F.col("x.mark") == F.col("y.mark")) & (alike | (F.col("x.n") >= 12))).select(*ends, F.when(alike, lit(0)).otherwise(lit(0.2)).alias("score"))
@@ -213,17 +223,21 @@ def duplicate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = F.transform(F.array_sort(F.transform("t", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda z: z["w"])
     prefix = F.slice(ordered, 1, F.greatest(F.size("t") - F.ceil(F.size("t") * lit(0.94) - lit(1e-9)).cast("int") + 1, F.lit(1)))
     key = F.explode(F.when(F.size("t") == 0, F.array(F.lit(""))).otherwise(prefix))
-    spots = classes.select("doc_id", "objects", "class", "mark", F.size("t").alias("size"), key.alias("key"))
-    a, b = spots.alias("x"), spots.alias("y")
+    keyed = classes.select("doc_id", "objects", "class", "mark", F.size("t").alias("size"), key.alias("key")).withColumn("key", F.xxhash64("key"))
+    a, b = keyed.alias("x"), keyed.alias("y")
     fits = F.least("x.size", "y.size") >= lit(0.94) * F.greatest("x.size", "y.size") - lit(1e-9)
     met = a.join(b, in_order & alike & (F.col("x.key") == F.col("y.key")) & (F.col("x.mark") != F.col("y.mark")) & fits)
     met = met.select(F.col("x.doc_id").alias("doc_id"), F.col("x.class").alias("p"), F.col("y.class").alias("q")).distinct()
     side = lambda c: classes.select("doc_id", F.col("class").alias(c), F.col("t").alias(f"t_{c}"), F.col("n_pages").alias(f"n_{c}"))
     near = met.join(side("p"), ["doc_id", "p"]).join(side("q"), ["doc_id", "q"]).where(X.jaccard(F.col("t_p"), F.col("t_q")) >= 0.94)
-    near = near.select("doc_id", F.col("p").alias("left_page"), F.col("q").alias("right_page"), (F.col("n_p") * F.col("n_q")).alias("n_links"), lit(0.2).alias("score"))
+    near = near.select("doc_id", link, F.col("p").alias("left_page"), F.col("q").alias("right_page"), (F.col("n_p") * F.col("n_q")).alias("n_links"), lit(0.2).alias("score"))
     hits = own.unionByName(texts).unionByName(near)
-    decks = table(spark, sf_dir, "documents").select("doc_id")
-    return decks.join(hits, "doc_id", "left").select("doc_id", "left_page", "right_page", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("score", lit(1)).alias("score"))
+    hits = written(hits, "links")
+    linked = hits.select("doc_id").distinct()
+    lone = table(spark, sf_dir, "documents").select("doc_id").join(linked, "doc_id", "left_anti").select(
+        "doc_id", F.lit("deck").alias("kind"), F.lit(None).cast("int").alias("left_page"), F.lit(None).cast("int").alias("right_page"), long(F.lit(0)).alias("n_links"), lit(1).alias("score")
+    )
+    return lone.unionByName(hits).unionByName(members)
 
 
 @query(

@@ -99,3 +99,14 @@ def test_logs(spark):
     stored = [("c", 1, "a", "", h1), ("c", 2, "b", h1, "forged"), ("c", 3, "d", "forged", "forged")]
     got = verify_chain(spark.createDataFrame(stored, "chain string, seq int, payload string, previous_hash string, event_hash string"), "chain", "seq", ["payload"]).first()
     assert (got.n_events, got.n_broken, got.first_broken) == (3, 2, 2)
+
+
+def test_every_page_with_a_text_is_in_a_class(spark, tmp_path):
+    from tallyscope.plans.documents import duplicate_pages
+
+    texts = [(1, "Alpha beta gamma.\nOther words here.\nAlpha beta gamma.\n\nalpha BETA gamma."), (2, "Single line"), (3, None)]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in texts], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [tuple(r) for r in duplicate_pages(spark, str(tmp_path)).collect()]
+    assert sorted(r[2:4] for r in rows if r[:2] == (1, "page")) == [(1, 1), (1, 3), (1, 5), (2, 2)]
+    assert [r[1:] for r in rows if r[0] == 1 and r[1] == "link"] == [("link", 1, 1, 3, 0.0)]
+    assert {r for r in rows if r[0] != 1} == {(2, "deck", None, None, 0, 1.0), (2, "page", 1, 1, 0, 1.0), (3, "deck", None, None, 0, 1.0)}
