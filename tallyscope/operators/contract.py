@@ -63,11 +63,15 @@ def _breach(broken: Column, code: str) -> Column:
     return F.when(F.coalesce(broken, F.lit(False)), F.lit(code))
 
 
-def _keys(v: Column, part: str) -> Column:
-    """The codes of keys that lack or don't belong; of a value that is no mapping that alone."""
+def _held(v: Column) -> Column:
+    """The keys of a mapping; null for another kind."""
+    return F.json_object_keys(F.to_json(v))
+
+
+def _keys(held: Column, part: str) -> Column:
+    """The codes of keys that lack or don't belong, of those `held`; of a value that is no mapping that alone."""
     needed, optional = KEYS[part]
     lead = f"{part}." if part else ""
-    held = F.json_object_keys(F.to_json(v))
     lacks = F.transform(F.array_except(F.array(*map(F.lit, needed)), held), lambda k: F.concat(F.lit(lead), k, F.lit(": missing")))
     odd = F.transform(F.array_except(held, F.array(*map(F.lit, (*needed, *optional)))), lambda k: F.concat(F.lit(lead), k, F.lit(": unknown")))
     return F.when(held.isNull(), F.array(F.lit(f"{part or 'response'}: no mapping"))).otherwise(F.concat(lacks, odd))
@@ -87,10 +91,13 @@ def _codes(*codes: Column) -> Column:
     return F.filter(F.array(*codes), lambda c: c.isNotNull())
 
 
+PARTS = ("model", "prompt", "usage", "evidence")
+
+
 def _own_breaches(v: Column) -> Column:
-    """The codes of a response that are about itself."""
-    model, prompt, usage, evidence = (_part(v, p) for p in ("model", "prompt", "usage", "evidence"))
-    keys = [_keys(v, "")] + [F.when(_has(v, p), _keys(_part(v, p), p)).otherwise(F.array().cast("array<string>")) for p in ("model", "prompt", "usage")]
+    """The codes of a response that are about itself; its parts and their keys are columns beside it, taken out once."""
+    model, prompt, usage, evidence = (F.col(f"of_{p}") for p in PARTS)
+    keys = [_keys(F.col("held"), "")] + [F.when(F.col(f"of_{p}").isNotNull(), _keys(F.col(f"held_{p}"), p)).otherwise(F.array().cast("array<string>")) for p in PARTS[:3]]
     blank = [_breach(_has(of, k) & _text(_part(of, k)).isNull(), f"{p}.{k}: blank") for p, of in (("model", model), ("prompt", prompt)) for k in KEYS[p][0]]
     digest = _text(_part(prompt, "sha256"))
     counts = [_breach(_has(usage, k) & ~_is_count(_part(usage, k)), f"usage.{k}: no count") for k in ("input_tokens", "output_tokens")]
@@ -125,9 +132,9 @@ def _item_breaches(e: Column) -> Column:
     outside = F.exists(numbers, lambda x: (x < 0) | (x > 1))
     wide = F.try_add(F.get(numbers, F.lit(0)), F.get(numbers, F.lit(2))) > lit(EDGE)
     high = F.try_add(F.get(numbers, F.lit(1)), F.get(numbers, F.lit(3))) > lit(EDGE)
-    mapped = F.json_object_keys(F.to_json(e)).isNotNull()
+    mapped = F.col("held").isNotNull()
     return F.concat(
-        _keys(e, "evidence"),
+        _keys(F.col("held"), "evidence"),
         _codes(
             *[_breach(_has(e, k) & _text(_part(e, k)).isNull(), f"evidence.{k}: blank") for k in KEYS["evidence"][0]],
             *[_breach(_given(_part(e, k)) & _text(_part(e, k)).isNull(), f"evidence.{k}: blank") for k in ("object_id", "source_uri")],
@@ -153,8 +160,14 @@ def breaches(responses: DataFrame, requests: DataFrame, pages: DataFrame, object
     have no row; equal breaches of one item are one.
     """
     read = responses.join(requests, "request_id", "left").withColumn("v", F.try_parse_json("body"))
-    own = read.select("response_id", F.lit(None).cast("int").alias("place"), F.explode(F.array_distinct(_own_breaches(F.col("v")))).alias("code"))
+    # each step is a column of its own before it is used often, and codes are one before they are exploded: within an
+    # expression of an explode nothing is shared, so every rule would take the text apart anew
+    taken = read.withColumns({f"of_{p}": _part(F.col("v"), p) for p in PARTS}).withColumn("held", _held(F.col("v")))
+    taken = taken.withColumns({f"held_{p}": _held(F.col(f"of_{p}")) for p in PARTS[:3]})
+    told = taken.select("response_id", F.array_distinct(_own_breaches(F.col("v"))).alias("codes"))
+    own = told.select("response_id", F.lit(None).cast("int").alias("place"), F.explode("codes").alias("code"))
     items = read.select("response_id", "request_id", "slide_count", "visual", F.posexplode(F.try_variant_get("v", "$.evidence", "array<variant>")).alias("place", "e"))
+    items = items.withColumn("held", _held(F.col("e")))
     page, uri, thing = (_part(F.col("e"), k) for k in ("page_number", "source_uri", "object_id"))
     items = items.select(
         "response_id", "request_id", "place", "visual", "slide_count", _item_breaches(F.col("e")).alias("codes"),
@@ -172,7 +185,7 @@ def breaches(responses: DataFrame, requests: DataFrame, pages: DataFrame, object
         _breach(F.col("uri").isNotNull() & F.col("has_uri").isNull(), "evidence.source_uri: unknown"),
         _breach(F.col("page").isNotNull() & F.col("object_id").isNotNull() & F.col("has_object").isNull(), "evidence.object_id: not on the page"),
     )
-    about = found.select("response_id", "place", F.explode(F.array_distinct(F.concat("codes", absent))).alias("code"))
+    about = found.select("response_id", "place", F.array_distinct(F.concat("codes", absent)).alias("codes")).select("response_id", "place", F.explode("codes").alias("code"))
     return own.unionByName(about)
 
 

@@ -89,3 +89,18 @@ def test_grounding(spark):
     assert {i for i, r in got.items() if r.reason == "DECK_LEVEL_COMPARISON_GROUNDING_INSUFFICIENT"} == {1, 2, 9}
     assert {i for i, r in got.items() if r.reason == "RENDER_DEFECT_LOCALIZATION_INSUFFICIENT"} == {6, 7}
     assert all((r.score is None) == (r.reason is not None) and (r.observability == "INSUFFICIENT") == (r.reason is not None) for r in got.values())
+
+
+def test_codes_are_made_before_they_are_exploded(spark):
+    import re
+
+    from tallyscope.operators.contract import breaches
+
+    of = lambda schema: spark.createDataFrame([], schema)
+    found = breaches(
+        of("response_id int, request_id string, body string"),
+        of("request_id string, slide_count int, visual boolean, prompt_id string, prompt_version string, prompt_sha256 string"),
+        of("request_id string, page long"), of("request_id string, page long, object_id string"), of("request_id string, uri string"),
+    )
+    made = re.findall(r"Generate explode\((.*)", found._jdf.queryExecution().analyzed().toString())
+    assert len(made) == 2 and all(m.startswith("codes#") for m in made)
