@@ -87,8 +87,10 @@ class Grams:
         self.entry = at * len(own) + self.segment  # sorted: the places of a gram in a range of segments are a slice
         self.edit = np.array(edits, dtype=np.int64)
         self.need = np.array([len(t) + 1 - q * (e + 1) for t, e in zip(texts, edits, strict=True)], dtype=np.int64)
-        self.sieve = np.zeros(1 << 22, dtype=bool)
-        self.sieve[_slot(self.gram)] = True
+        # 16 to 32 slots a gram, 1 << 22 at most: each worker holds a sieve for every q
+        self.bits = min(22, max(10, (16 * len(self.gram)).bit_length()))
+        self.sieve = np.zeros(1 << self.bits, dtype=bool)
+        self.sieve[_slot(self.gram, self.bits)] = True
 
 
 class Passages:
@@ -126,8 +128,8 @@ def grams_of(data: np.ndarray, q: int = Q) -> np.ndarray:
     return runs.astype(np.uint64) if q == 8 else runs & np.uint64((1 << 8 * q) - 1)
 
 
-def _slot(grams: np.ndarray) -> np.ndarray:
-    return ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
+def _slot(grams: np.ndarray, bits: int) -> np.ndarray:
+    return ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def find_regions(data: np.ndarray, offsets: np.ndarray, index: Passages) -> np.ndarray:
@@ -148,7 +150,7 @@ def find_regions(data: np.ndarray, offsets: np.ndarray, index: Passages) -> np.n
 
 def _regions(data: np.ndarray, offsets: np.ndarray, index: Grams) -> np.ndarray:
     gram = grams_of(data, index.q)
-    at = np.flatnonzero(index.sieve[_slot(gram)])
+    at = np.flatnonzero(index.sieve[_slot(gram, index.bits)])
     found = np.minimum(np.searchsorted(index.gram, gram[at]), len(index.gram) - 1)
     real = index.gram[found] == gram[at]
     at, found = at[real], found[real]

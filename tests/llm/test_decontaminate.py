@@ -183,3 +183,11 @@ def test_a_self_similar_text_takes_bounded_memory():
     )
     taken = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) // 1024
     assert taken < 500
+
+
+def test_the_sieve_is_of_the_size_of_its_grams():
+    from tallyscope.llm.decontaminate import Passages
+
+    text = b"a passage of a benchmark that a worker holds a sieve for"
+    (own,) = Passages([(1, text)]).grams
+    assert 16 * len(own.gram) <= len(own.sieve) <= 32 * len(own.gram) + 1024 and own.sieve.sum() <= len(own.gram)
