@@ -16,11 +16,13 @@ STOP_WORDS = (
 LATIN_WORD = r"[A-Za-z]+(?:[-'][A-Za-z]+)*"
 NEUTRAL_WORDS = ("ai", "api", "arr", "crm", "esg", "kpi", "mvp", "ppt", "pptx", "roi", "saas", "sam", "som", "tam")
 HAN = r"一-鿿"
+#: All but a-z, 0-9 and Han characters, as ranges: Java's regex runs a negated class with a range beyond Latin-1 several times slower.
+NOT_NORMAL = r"\x00-/:-`{-\u4dff\ua000-\x{10ffff}"
 
 
 def normalize_text(text: Column) -> Column:
     """Lower-cased letters a-z, digits and Han characters; nothing else."""
-    return F.regexp_replace(F.lower(text), f"[^0-9a-z{HAN}]+", "")
+    return F.regexp_replace(F.lower(text), f"[{NOT_NORMAL}]+", "")
 
 
 def tokens(text: Column) -> Column:
@@ -60,6 +62,12 @@ def recall_of(needle: Column, needed: Column, hay: Column, held: Column) -> Colu
     return F.when((needle != "") & held_whole, lit(1)).otherwise(F.coalesce(recall(needed, held), held_whole.cast("double")))
 
 
+def tokens_if_any(needed: Column, text: Column) -> Column:
+    """tokens(text), or none where no token of `needed` stands anywhere in the text: enough for the recall of `needed`."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(F.exists(needed, lambda t: F.contains(low, t)), tokens(text)).otherwise(F.array().cast("array<string>"))
+
+
 def sentences(text: Column, least: int = 8, most: int = 240) -> Column:
     """The sentences of `least` to `most` characters: split at line ends and closing marks."""
     parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"[\n.!?;。！？；]+"), lambda s: F.trim(s))

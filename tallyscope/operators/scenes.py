@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.functions.scores import clamp, lit
-from tallyscope.functions.text import normalize_text, recall_of, token_recall, tokens
+from tallyscope.functions.text import normalize_text, recall_of, tokens, tokens_if_any
 
 #: By what an audience is named, and what such an audience looks for.
 CUES = (
@@ -45,8 +45,11 @@ def audience_fit(audience: Column, text: Column) -> Column:
 
     sought = F.concat(*[F.when(named(words), F.array(*map(F.lit, cues))).otherwise(F.array().cast("array<string>")) for words, cues in CUES])
     found = lambda hay: F.transform(sought, lambda cue: F.contains(hay, cue).cast("double"))
-    share = _once(normalize_text(shown), lambda hay: F.when(F.size(sought) > 0, _mean(found(hay))).otherwise(lit(0.5)))
-    return F.when(name != "", clamp(lit(0.35) + lit(0.35) * token_recall(name, shown) + lit(0.30) * share))
+    share = lambda hay: F.when(F.size(sought) > 0, _mean(found(hay))).otherwise(lit(0.5))
+    # the text is normalised once, and taken apart only where a word of the name may be one of its tokens
+    recalled = lambda need, hay: recall_of(normalize_text(name), need, hay, tokens_if_any(need, shown))
+    fit = lambda need: _once(normalize_text(shown), lambda hay: lit(0.35) + lit(0.35) * recalled(need, hay) + lit(0.30) * share(hay))
+    return F.when(name != "", _once(_once(tokens(name), fit), clamp))
 
 
 def fact_support(decks: DataFrame, claims: DataFrame, facts: DataFrame) -> DataFrame:

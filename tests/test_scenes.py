@@ -18,6 +18,16 @@ def test_audience_fit(spark):
     }
 
 
+def test_audience_fit_reads_the_text_once(spark):
+    """The plan normalises the text in one place, and tokens that only look like a word of the name don't count."""
+    rows = [(1, "board engineers", "the boards reengineers"), (2, "board engineers", "a board-room, engineers"), (3, "board engineers", "9board")]
+    df = spark.createDataFrame(rows, "deck int, audience string, text string").select("deck", audience_fit(F.col("audience"), F.col("text")).alias("s"))
+    got = {r.deck: round(r.s, 6) for r in df.collect()}
+    assert got == {1: 0.35, 2: round(0.35 + 0.35 / 2, 6), 3: round(0.35 + 0.35 / 2, 6)}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(lower(coalesce(text") == 1
+
+
 def test_fact_support(spark):
     decks = [("claims", "x"), ("facts", "The river is 20 km long."), ("both", "nothing"), ("empty bundle", "a"), ("none", "a"), ("blank fact", "a"), ("null text", None)]
     claims = [

@@ -29,6 +29,25 @@ def test_text_measures(spark):
     assert len(values(spark, [("x" * 500,)], "t string", X.excerpt(F.col("t")))[0][0]) == 120
 
 
+def test_normalised_text_is_cheap(spark):
+    """No letter of Unicode is taken otherwise than by the negated class, and it takes no longer than one of ASCII alone."""
+    import time
+
+    every = spark.range(0x110000).where("id not between 55296 and 57343").select(F.concat(F.lit("a"), F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32"), F.lit("z")).alias("t"))
+    plain = F.regexp_replace(F.lower("t"), f"[^0-9a-z{X.HAN}]+", "")
+    assert every.where(~plain.eqNullSafe(X.normalize_text(F.col("t")))).count() == 0
+    long = spark.range(0, 8000, 1, 4).select(F.repeat(F.concat(F.lit("Some words of "), F.col("id").cast("string"), F.lit(", and more. ")), 60).alias("t"))
+
+    def took(norm):
+        began = time.time()
+        long.agg(F.sum(F.length(norm))).collect()
+        return time.time() - began
+
+    ascii_only = F.regexp_replace(F.lower("t"), "[^0-9a-z]+", "")
+    least = lambda norm: min(took(norm) for _ in range(4))
+    assert least(X.normalize_text(F.col("t"))) < 3 * least(ascii_only)
+
+
 def test_ids(spark):
     import hashlib
 
