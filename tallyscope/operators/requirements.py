@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions import text as X
 from tallyscope.functions.scores import lit, severity_band
+from tallyscope.sources.tables import written
 
 #: The wording that forbids, that is critical, that names every page or one page, and that is no subject.
 NEGATIVE = r"(?i)(?:不得|禁止|不可|不要|严禁|never|do\s+not|must\s+not)"
@@ -19,6 +20,8 @@ MODAL_HAN = r"必须|务必|不得|禁止|不可|不要|严禁|应当|需要|请
 REQUIRED, EXPECTED = 0.45, 0.70
 #: Charts of a deck with a token from which the token is a frequent one.
 FREQUENT = 32
+#: Charts of a deck, and characters of them together, up to which each expectation of the deck is held against all of them.
+FEW, SHORT = 32, 16_384
 
 
 def is_negative(text: Column) -> Column:
@@ -97,21 +100,14 @@ def _grams(norm: Column, size: int) -> Column:
     return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(norm, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
 
 
-def best_charts(expectations: DataFrame, charts: DataFrame) -> DataFrame:
-    """deck, ord, coverage, critical, severity, importance, page, object, n_charts: each expectation with the chart of its
-    deck that recalls most of it, the first by page and place among equals.
+def _likely(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """deck, ord, critical, coverage, at, n_charts of the expectations of large decks (`asked`, with n_charts and the
+    first place), whose charts are `held`.
 
-    `expectations` (deck, ord, text, critical), `charts` (deck, page, place, object, text: its values). An expectation
-    meets only charts that may be its best: those that share a rare token with it, those that hold its rarest run of
-    three characters and so may hold it whole, for its frequent tokens the first of all charts with the same frequent
-    ones (any other of these recalls no more and comes later), and the deck's first chart. Without charts coverage is 0
-    and the place null. Null texts count as empty; an empty expectation is recalled by the first chart.
+    An expectation meets only charts that may be its best: those that share a rare token with it, those that hold its
+    rarest run of three characters and so may hold it whole, for its frequent tokens the first of all charts with the
+    same frequent ones (any other of these recalls no more and comes later), and the deck's first chart.
     """
-    asked = expectations.withColumn("text", F.coalesce("text", F.lit("")))
-    asked = asked.withColumns({"needed": X.tokens(F.col("text")), "needle": X.normalize_text(F.col("text"))})
-    held = charts.withColumn("text", F.coalesce("text", F.lit(""))).withColumns({"held": X.tokens(F.col("text")), "hay": X.normalize_text(F.col("text"))})
-    held = held.withColumn("at", F.struct(F.col("page").cast("long").alias("page"), F.col("place").cast("long").alias("place"), F.col("object").cast("string").alias("object")))
-    decks = held.groupBy("deck").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n_charts"))
     tokens = held.select("deck", "at", F.explode("held").alias("token"))
     counts = tokens.groupBy("deck", "token").agg(F.count(F.lit(1)).alias("n"))
     rare = tokens.join(counts.where(F.col("n") <= FREQUENT), ["deck", "token"])
@@ -129,13 +125,44 @@ def best_charts(expectations: DataFrame, charts: DataFrame) -> DataFrame:
     # a run that no chart has rules the whole needle out
     rarest = needles.join(sizes, ["deck", "gram"], "left").groupBy("deck", "ord").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("x"))
     by_gram = rarest.where("x.n > 0").select("deck", "ord", F.col("x.gram").alias("gram")).join(pieces, ["deck", "gram"]).select("deck", "ord", "at")
-    first = asked.select("deck", "ord").join(decks, "deck").select("deck", "ord", F.col("first").alias("at"))
+    first = asked.select("deck", "ord", F.col("first").alias("at"))
     pairs = by_token.unionByName(by_mark).unionByName(by_gram).unionByName(first).distinct()
     weighed = pairs.join(asked.select("deck", "ord", "needed", "needle"), ["deck", "ord"]).join(held.select("deck", "at", "held", "hay"), ["deck", "at"])
     weighed = weighed.select("deck", "ord", "at", X.recall_of(F.col("needle"), F.col("needed"), F.col("hay"), F.col("held")).alias("coverage"))
     order = Window.partitionBy("deck", "ord").orderBy(F.col("coverage").desc(), F.col("at").asc())
     best = weighed.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
-    found = asked.select("deck", "ord", "critical").join(best, ["deck", "ord"], "left").join(decks.select("deck", "n_charts"), "deck", "left")
+    return asked.select("deck", "ord", "critical", "n_charts").join(best, ["deck", "ord"], "left").select("deck", "ord", "critical", "coverage", "at", "n_charts")
+
+
+def best_charts(expectations: DataFrame, charts: DataFrame) -> DataFrame:
+    """deck, ord, coverage, critical, severity, importance, page, object, n_charts: each expectation with the chart of its
+    deck that recalls most of it, the first by page and place among equals.
+
+    `expectations` (deck, ord, text, critical), `charts` (deck, page, place, object, text: its values). A deck of few and
+    short charts is one row, and each of its expectations is held against all of them; for other decks see `_likely`.
+    Without charts coverage is 0 and the place null. Null texts count as empty; an empty expectation is recalled by the
+    first chart.
+    """
+    asked = expectations.withColumn("text", F.coalesce("text", F.lit("")))
+    asked = asked.withColumns({"needed": X.tokens(F.col("text")), "needle": X.normalize_text(F.col("text"))})
+    held = charts.withColumn("text", F.coalesce("text", F.lit(""))).withColumns({"held": X.tokens(F.col("text")), "hay": X.normalize_text(F.col("text"))})
+    held = held.withColumn("at", F.struct(F.col("page").cast("long").alias("page"), F.col("place").cast("long").alias("place"), F.col("object").cast("string").alias("object")))
+    # written once, as the size of a deck decides what its charts are held against
+    held = written(held.select("deck", "at", "held", "hay"), "charts")
+    decks = held.groupBy("deck").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n_charts"), F.sum(F.length("hay")).alias("chars"))
+    small = (F.col("n_charts") <= FEW) & (F.col("chars") <= SHORT)
+    shelves = held.join(decks.where(small).select("deck"), "deck", "left_semi").groupBy("deck").agg(F.collect_list(F.struct("at", "held", "hay")).alias("charts"))
+    large = decks.where(~small)
+    # the least is the best: coverage falls, places rise
+    each = F.transform("charts", lambda c: F.struct((-X.recall_of(F.col("needle"), F.col("needed"), c["hay"], c["held"])).alias("less"), c["at"].alias("at")))
+    rows = lambda best: ("deck", "ord", "critical", (-best["less"]).alias("coverage"), best["at"].alias("at"), "n_charts")
+    shelved = lambda a: a.join(shelves, "deck", "left").withColumns({"best": F.array_min(each), "n_charts": F.array_size("charts").cast("long")}).select(*rows(F.col("best")))
+    if large.isEmpty():
+        found = shelved(asked)
+    else:
+        big = asked.join(large.select("deck", "n_charts", "first"), "deck")
+        found = shelved(asked.join(large.select("deck"), "deck", "left_anti"))
+        found = found.unionByName(_likely(big, held.join(large.select("deck"), "deck", "left_semi")))
     found = found.withColumns({"coverage": F.coalesce("coverage", lit(0)), "critical": F.coalesce("critical", F.lit(False))})
     severity = F.when(F.col("critical") & (F.col("coverage") < EXPECTED), "CRITICAL").otherwise(severity_band(F.col("coverage")))
     return found.select(

@@ -86,6 +86,28 @@ def test_best_charts_equal_all_pairs(spark, monkeypatch, frequent):
     assert best(spark, asked, charts) == all_pairs(spark, asked, charts)
 
 
+@pytest.mark.parametrize("few, short", [(32, 16384), (0, 0), (8, 16384), (32, 150)])
+def test_few_charts_equal_all_pairs(spark, monkeypatch, few, short):
+    """Decks of few charts, of many, of none and of long ones, dealt to both ways by either bound."""
+    monkeypatch.setattr(Q, "FEW", few)
+    monkeypatch.setattr(Q, "SHORT", short)
+    r = random.Random(few + short)
+    word = lambda: r.choice(["revenue", "cost", "even", "seven", "收入", "增长", "ab", str(r.randrange(30)), f"{r.randrange(9)}.5%"])
+    charts = [(d, i // 3 + 1, i % 3, f"o{i}", " ".join(word() for _ in range(r.randrange(6)))) for d in range(6) for i in range(3 * d)]
+    asked = [(d, i, " ".join(word() for _ in range(r.randrange(4))), False) for d in range(6) for i in range(15)]
+    asked += [(2, 100, None, None), (3, 101, "...", None), (4, 102, "nowhere to be found", True), (None, 103, "revenue", True)]
+    assert best(spark, asked, charts) == all_pairs(spark, asked, charts)
+
+
+def test_few_charts_are_met_without_runs_of_characters(spark):
+    """No chart is cut into runs, and no pairs are dealt out, where an expectation can meet every chart of its deck."""
+    charts = [(d, i, 1, f"o{i}", f"revenue 2024 total {i}") for d in range(9) for i in range(20)]
+    found = Q.best_charts(spark.createDataFrame([(d, i, f"total {i}", True) for d in range(9) for i in range(20)], EXPECTED), spark.createDataFrame(charts, CHARTS))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Join") <= 2
+    assert all((r.page, r.coverage, r.n_charts) == (r.ord, 1.0, 20) for r in found.collect() if r.ord > 2)
+
+
 def test_many_charts_make_few_pairs(spark):
     charts = [(1, i, 1, f"o{i}", f"revenue 2024 total {i}") for i in range(1000)]
     asked = [(1, i, f"revenue 2024 total {i + 300}", i % 2 == 0) for i in range(1000)]
