@@ -51,7 +51,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("page") == 1, "cover"),
         ((F.col("page") == F.col("n_pages")) & said, "closing"),
         (F.col("line").rlike("[0-9]"), "data"),
-        ((norm > 0) & (norm <= 90) & (F.col("objects") <= 2), "section"),
+        ((F.col("objects") <= 2) & (norm > 0) & (norm <= 90), "section"),
         otherwise="content",
     )
     return (
@@ -167,7 +167,9 @@ def transition_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("page").alias("right_page"), F.lag("page").over(w).alias("left_page"), "role", "t", F.lag("t").over(w).alias("u"),
         "chars", F.lag("chars").over(w).alias("before"), F.greatest("importance", F.lag("importance").over(w)).alias("importance"),
     ).where("left_page is not null")
-    sim = X.jaccard(F.col("t"), F.col("u"))
+    # a column of its own, so that the tokens of two pages meet once
+    pairs = pairs.withColumn("sim", X.jaccard(F.col("t"), F.col("u")))
+    sim = F.col("sim")
     score = ladder(
         ((F.col("chars") == 0) | (F.col("before") == 0), F.lit(None).cast("double")),
         (F.col("role").isin("section", "closing"), lit(0.85)),

@@ -48,6 +48,15 @@ def test_normalised_text_is_cheap(spark):
     assert least(X.normalize_text(F.col("t"))) < 3 * least(ascii_only)
 
 
+def test_tokens_of_two_pages_meet_once(spark, tmp_path):
+    from tallyscope.queries import QUERIES
+
+    spark.createDataFrame([(1, "first words here\nfirst words there.a.b.c")], "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["q03_transition_adjacent"](spark, str(tmp_path))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("array_intersect") <= 3
+    assert [r.score for r in found.collect()] == [1.0]
+
+
 def test_ids(spark):
     import hashlib
 
