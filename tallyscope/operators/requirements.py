@@ -47,15 +47,77 @@ def subject(text: Column) -> Column:
     return F.when(left != "", left).otherwise(text)
 
 
-def scoped(requirements: DataFrame, decks: DataFrame) -> DataFrame:
-    """Each of `requirements` (deck, text, ...) with its deck's columns, once for each page of its scope: all pages if it
-    names every page, the named pages that exist, else once with scope null. `decks` has the column pages: the numbers of
-    a deck's pages."""
-    joined = requirements.join(decks, "deck")
-    wanted = F.array_intersect(named_pages(F.col("text")), F.col("pages"))
-    one = F.array(F.lit(None).cast("long"))
-    pages = F.when(F.col("text").rlike(EVERY_PAGE), F.col("pages")).otherwise(wanted)
-    return joined.withColumn("scope", F.explode(F.when(F.size(pages) > 0, pages).otherwise(one)))
+def worded(requirements: DataFrame) -> DataFrame:
+    """`requirements` (text, declared, and others) with what their wording says, so that a wording that many decks are held
+    against is read once: needed, needle, marks (the normalised tokens), negative, critical, every_page, named. Null and
+    blank ones are left out."""
+    text = F.col("text")
+    rows = requirements.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").withColumn("about", subject(text))
+    rows = rows.withColumns({
+        "needed": X.tokens(F.col("about")), "needle": X.normalize_text(F.col("about")), "negative": is_negative(text),
+        "critical": F.coalesce("declared", F.lit(False)) | is_critical(text), "every_page": text.rlike(EVERY_PAGE), "named": named_pages(text),
+    })
+    return rows.withColumn("marks", F.filter(F.transform("needed", X.normalize_text), lambda t: t != "")).drop("text", "declared", "about")
+
+
+def paged(objects: DataFrame) -> DataFrame:
+    """deck, pages: the `objects` (deck, page, place, object, text) of each deck as an array of page, objects (place,
+    object, text), both in order."""
+    thing = F.struct("place", "object", "text")
+    rows = objects.select("deck", F.col("page").cast("long").alias("page"), thing.alias("thing")).repartition("deck")
+    own = rows.groupBy("deck", "page").agg(F.array_sort(F.collect_list("thing")).alias("objects"))
+    return own.groupBy("deck").agg(F.array_sort(F.collect_list(F.struct("page", "objects"))).alias("pages"))
+
+
+def read_pages(pages: Column) -> Column:
+    """Pages (page, objects) as views: scope, items (page, object, norm), hay, tokens. Each object is normalised once and
+    each page taken apart once, however many requirements the deck is held against."""
+    text = lambda x: F.coalesce(x["text"], F.lit(""))
+    item = lambda p: lambda x: F.struct(p["page"].alias("page"), x["object"].alias("object"), X.normalize_text(text(x)).alias("norm"))
+    apart = lambda p: X.tokens(F.array_join(F.transform(p["objects"], text), "\n"))
+    read = F.transform(pages, lambda p: F.struct(p["page"].alias("scope"), F.transform(p["objects"], item(p)).alias("items"), apart(p).alias("tokens")))
+    hay = lambda v: F.array_join(F.transform(v["items"], lambda x: x["norm"]), "")
+    return F.transform(read, lambda v: F.struct(v["scope"].alias("scope"), v["items"].alias("items"), hay(v).alias("hay"), v["tokens"].alias("tokens")))
+
+
+def deck_view(views: Column) -> Column:
+    """The view of a whole deck, with scope null, from the views of its pages."""
+    of = lambda name: F.transform(views, lambda v: v[name])
+    return F.struct(
+        F.lit(None).cast("long").alias("scope"), F.flatten(of("items")).alias("items"), F.array_join(of("hay"), "").alias("hay"), F.array_distinct(F.flatten(of("tokens"))).alias("tokens"),
+    )
+
+
+def scoped(rows: DataFrame) -> DataFrame:
+    """`rows` of worded requirements with the views and the whole view of their deck, once for each view of their scope:
+    all pages if they name every page, the named pages that exist, else the whole deck. Each row carries the view of its
+    scope alone, so the work on a deck grows with its length and not with its pages times it."""
+    wanted = F.flatten(F.transform("named", lambda n: F.filter("views", lambda v: v["scope"] == n)))
+    every = F.transform("views", lambda v: F.when(v["scope"].isNull(), F.col("whole")).otherwise(v))
+    chosen = rows.withColumn("chosen", F.when(F.col("every_page"), every).otherwise(wanted))
+    view = F.explode(F.when(F.size("chosen") > 0, F.col("chosen")).otherwise(F.array("whole")))
+    return chosen.select("deck", "ord", "needed", "needle", "marks", "negative", "critical", view.alias("view"))
+
+
+def observed(rows: DataFrame) -> DataFrame:
+    """The observations of `rows`: worded requirements with the `views` (see `read_pages`) of their deck."""
+    rows = scoped(rows)
+    hits = lambda x: F.exists(F.col("marks"), lambda t: F.contains(x["norm"], t))
+    found = F.get(F.filter("view.items", hits), F.lit(0))
+    coverage = X.recall_of(F.col("needle"), F.col("needed"), F.col("view.hay"), F.col("view.tokens"))
+    rows = rows.select("deck", "ord", F.col("view.scope").alias("scope"), coverage.alias("coverage"), "negative", "critical", found.alias("found"))
+    met = F.when(F.col("negative"), lit(1) - F.col("coverage")).otherwise(F.col("coverage"))
+    rows = rows.withColumn("satisfaction", met)
+    severity = F.when(F.col("critical") & (F.col("satisfaction") < REQUIRED), "CRITICAL").otherwise(severity_band(F.col("satisfaction")))
+    return rows.select(
+        "deck", "ord", "scope", "coverage", "satisfaction", "negative", "critical", severity.alias("severity"), F.when(F.col("critical"), lit(1.5)).otherwise(lit(1)).alias("importance"),
+        F.coalesce("found.page", "scope").alias("page"), F.col("found.object").alias("object"),
+    )
+
+
+def viewed(decks: DataFrame) -> DataFrame:
+    """`decks` (pages, see `paged`, and others) with views and whole in place of pages."""
+    return decks.withColumn("views", read_pages(F.col("pages"))).drop("pages").withColumn("whole", deck_view(F.col("views")))
 
 
 def requirement_observations(requirements: DataFrame, objects: DataFrame) -> DataFrame:
@@ -68,31 +130,7 @@ def requirement_observations(requirements: DataFrame, objects: DataFrame) -> Dat
     subject, within the scope; page falls back to the scope. Null and blank requirements are left out, and so are those of
     a deck without objects; null texts of objects count as empty. A deck's objects are one row, as a document is.
     """
-    # each object is normalised and taken apart once, however many requirements its deck is held against
-    read = objects.withColumn("text", F.coalesce("text", F.lit(""))).withColumns({"norm": X.normalize_text(F.col("text")), "tokens": X.tokens(F.col("text"))})
-    item = F.struct(F.col("page").cast("long").alias("page"), "place", "object", "norm", "tokens")
-    joined = lambda items: F.array_join(F.transform(items, lambda x: x["norm"]), "")
-    held = lambda items: F.array_distinct(F.flatten(F.transform(items, lambda x: x["tokens"])))
-    decks = read.groupBy("deck").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    decks = decks.withColumns({"pages": F.array_distinct(F.transform("items", lambda x: x["page"])), "all_norm": joined(F.col("items")), "all_tokens": held(F.col("items"))})
-    asked = requirements.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").withColumn("about", subject(F.col("text")))
-    asked = asked.withColumns({"needed": X.tokens(F.col("about")), "needle": X.normalize_text(F.col("about"))})
-    asked = asked.withColumn("marks", F.filter(F.transform("needed", X.normalize_text), lambda t: t != ""))
-    rows = scoped(asked, decks)
-    deckwide = F.col("scope").isNull()
-    rows = rows.withColumn("own", F.when(deckwide, F.col("items")).otherwise(F.filter("items", lambda x: x["page"] == F.col("scope"))))
-    hits = lambda x: F.exists(F.col("marks"), lambda t: F.contains(x["norm"], t))
-    rows = rows.withColumn("found", F.get(F.filter("own", hits), F.lit(0)))
-    hay, tokens = F.when(deckwide, F.col("all_norm")).otherwise(joined(F.col("own"))), F.when(deckwide, F.col("all_tokens")).otherwise(held(F.col("own")))
-    coverage = X.recall_of(F.col("needle"), F.col("needed"), hay, tokens)
-    rows = rows.select("deck", "ord", "scope", coverage.alias("coverage"), is_negative(F.col("text")).alias("negative"), (F.coalesce("declared", F.lit(False)) | is_critical(F.col("text"))).alias("critical"), "found")
-    met = F.when(F.col("negative"), lit(1) - F.col("coverage")).otherwise(F.col("coverage"))
-    rows = rows.withColumn("satisfaction", met)
-    severity = F.when(F.col("critical") & (F.col("satisfaction") < REQUIRED), "CRITICAL").otherwise(severity_band(F.col("satisfaction")))
-    return rows.select(
-        "deck", "ord", "scope", "coverage", "satisfaction", "negative", "critical", severity.alias("severity"), F.when(F.col("critical"), lit(1.5)).otherwise(lit(1)).alias("importance"),
-        F.coalesce("found.page", "scope").alias("page"), F.col("found.object").alias("object"),
-    )
+    return observed(worded(requirements).join(viewed(paged(objects)), "deck"))
 
 
 def _grams(norm: Column, size: int) -> Column:

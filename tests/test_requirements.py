@@ -56,6 +56,38 @@ def test_coverage_location_and_severity(spark):
     assert (rows[2, 1].coverage, rows[2, 1].object) == (0.0, None) and (rows[1, 8].coverage, rows[1, 8].object) == (1.0, "d")
 
 
+def test_a_page_is_all_that_travels_for_it(spark):
+    """A requirement for every page or for one carries that page's objects alone, whatever its deck holds besides."""
+    objects = [(1, p, k, f"{p}:{k}", f"page{p} words{k}") for p in range(1, 41) for k in range(5)]
+    asked = spark.createDataFrame([(1, 1, "every page words3", None), (1, 2, "page 7 words4", None), (1, 3, "words4", None)], ASKED)
+    decks = Q.viewed(Q.paged(spark.createDataFrame(objects, OBJECTS)))
+    rows = Q.scoped(Q.worded(asked).join(decks, "deck"))
+    assert not {"views", "whole", "pages"} & set(rows.columns)
+    assert sorted((r[0], r[1] or 0, r[2]) for r in rows.select("ord", "view.scope", F.size("view.items")).collect()) == [*[(1, p, 5) for p in range(1, 41)], (2, 7, 5), (3, 0, 200)]
+    got = {(r.ord, r.scope): (r.coverage, r.page, r.object) for r in Q.observed(Q.worded(asked).join(decks, "deck")).collect()}
+    assert got == {**{(1, p): (1.0, p, f"{p}:3") for p in range(1, 41)}, (2, 7): (1.0, 7, "7:4"), (3, None): (1.0, 1, "1:4")}
+
+
+def test_observations_equal_plain_recall(spark):
+    r = random.Random(5)
+    word = lambda: r.choice(["revenue", "cost", "3.5", "40%", "north", "收入", "增长率", "ab", "a_b-c", "Growth,", str(r.randrange(30))])
+    said = lambda n: " ".join(word() for _ in range(r.randrange(n)))
+    objects = [(d, p, k, f"{p}:{k}", said(5)) for d in range(8) for p in range(1, d + 1) for k in range(r.randrange(1, 4))]
+    lead = lambda: r.choice(["", "every page ", "page 2 ", "page 1 and slide 3 ", "never "])
+    asked = [(d, i, lead() + said(4) + " cost", None) for d in range(9) for i in range(12)]
+    texts = {}
+    for d, p, _, _, text in sorted(objects, key=lambda o: o[:3]):
+        texts.setdefault((d, p), []).append(text)
+        texts.setdefault((d, None), []).append(text)
+    hay = spark.createDataFrame([(*k, "\n".join(v)) for k, v in texts.items()], "deck int, scope long, hay string")
+    got = Q.requirement_observations(spark.createDataFrame(asked, ASKED), spark.createDataFrame(objects, OBJECTS)).select("deck", "ord", "scope", "coverage")
+    about = spark.createDataFrame(asked, ASKED).select("deck", "ord", Q.subject(F.col("text")).alias("about"))
+    both = got.join(about, ["deck", "ord"]).alias("g").join(hay.alias("h"), F.col("g.deck").eqNullSafe(F.col("h.deck")) & F.col("g.scope").eqNullSafe(F.col("h.scope")))
+    rows = both.select("g.deck", "ord", "g.scope", "coverage", X.token_recall(F.col("about"), F.col("hay")).alias("plain")).collect()
+    assert len(rows) == got.count() > 7 * 12 and all(x.coverage == x.plain for x in rows)
+    assert len({x.coverage for x in rows}) > 3
+
+
 CHARTS, EXPECTED = "deck int, page int, place int, object string, text string", "deck int, ord int, text string, critical boolean"
 
 
