@@ -10,7 +10,7 @@ from tallyscope.operators.scenes import CUES, audience_fit, fact_support, render
 from tallyscope.plans.documents import CASE_OF, NORM, PAGES, TOKENS, pages, with_cases
 from tallyscope.plans.registry import query
 from tallyscope.sources.artifacts import rendered_pages
-from tallyscope.sources.tables import spread, table
+from tallyscope.sources.tables import spread, table, written
 
 PEOPLE = (" board", " engineers", " customers and clients", "")
 
@@ -113,7 +113,8 @@ SELECT doc_id, page, n_pages, importance, CASE WHEN known THEN 'SCORED' ELSE 'NA
 def render_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which pages of each document were rendered, by the names of the files; some pages and the pages of
     one document in four never were."""
-    every = pages(spark, sf_dir).select(F.col("doc_id").cast("string").alias("deck"), "page", "n_pages", "importance", "chars", "doc_id")
+    # written once, as pages are asked for on both sides of each join and their texts are costly to measure
+    every = written(pages(spark, sf_dir).select(F.col("doc_id").cast("string").alias("deck"), "page", "n_pages", "importance", "chars", "doc_id"), "pages")
     files = every.where("doc_id % 4 <> 1 and chars % 7 <> 3").select(F.concat("deck", F.lit("/slide-"), F.col("page").cast("string"), F.lit(".png")).alias("path"))
     found = render_parity(every, rendered_pages(files)[0])
     return found.select("doc_id", "page", "n_pages", "importance", "status", "score", "severity", "key_unit", "critical")

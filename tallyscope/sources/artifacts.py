@@ -94,11 +94,11 @@ def rendered_pages(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     number = F.regexp_extract(name, r"([0-9]+)[^0-9]*\.(?i:png|jpe?g|webp)$", 1)
     page = F.nullif(number, F.lit("")).try_cast("int")
     known = files.select("path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("deck"), page.alias("page"))
-    claims = known.where("page is not null").groupBy("deck", "page").agg(F.count(F.lit(1)).alias("n"))
-    told = known.join(claims, ["deck", "page"], "left")
+    claims = known.where("page is not null").groupBy("deck", "page").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path"))
+    rendered = claims.where("page >= 1 and n = 1").select("deck", "page", "path")
+    told = known.join(claims.drop("path"), ["deck", "page"], "left")
     reason = F.when(F.col("n").isNull(), "no page number").when(F.col("page") < 1, "page below 1").when(F.col("n") > 1, "page named twice")
-    told = told.withColumn("reason", reason)
-    return told.where("reason is null").select("deck", "page", "path"), told.where("reason is not null").select("path", "deck", "page", "reason")
+    return rendered, told.withColumn("reason", reason).where("reason is not null").select("path", "deck", "page", "reason")
 
 
 def scan_profiles(files: DataFrame) -> DataFrame:

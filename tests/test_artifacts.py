@@ -79,6 +79,14 @@ def test_rendered_pages(spark):
     }
 
 
+def test_rendered_pages_are_counted_and_not_joined(spark):
+    """A page of one file carries its path through the count of its claims; paths are taken apart in one place."""
+    pages, _ = rendered_pages(spark.createDataFrame([("d/1.png",), ("d/2.png",), ("d/02.png",), ("d/0.png",), ("e/1.png",), (None,)], "path string"))
+    assert sorted(map(tuple, pages.collect())) == [("d", 1, "d/1.png"), ("e", 1, "e/1.png")]
+    plan = pages._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1
+
+
 def test_profiles(spark):
     whole = {k: {} if k.endswith("weights") else [] for k in PROFILE_FIELDS} | {"profile_id": "p", "version": "8.3", "scene": "Finished_Deck", "base_weights": {"a": 0.5, "b": 1}, "scene_weights": {"b": 2}, "note": {"x": 1}}
     texts = {

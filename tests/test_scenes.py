@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyscope.operators.scenes import audience_fit, fact_support, render_parity, source_traceability
+from tallyscope.plans.scenes import render_availability
 
 
 def test_audience_fit(spark):
@@ -64,3 +65,15 @@ def test_render_parity(spark):
         ("a", 1, "SCORED", 1.0, "INFO", True, False), ("a", 2, "SCORED", 1.0, "INFO", False, False), ("a", 3, "SCORED", 0.0, "CRITICAL", True, True),
         ("b", 1, "NA", None, "INFO", False, False), ("c", 1, "SCORED", 0.0, "CRITICAL", True, True), ("c", 2, "SCORED", 0.0, "CRITICAL", True, True),
     ]
+
+
+def test_render_availability_measures_its_pages_once(spark, tmp_path):
+    """The texts are read to write the pages down; the joins and counts behind read those, and no text again."""
+    texts = ["one\ntwo lines. more", "not rendered", None, "abc\n\nthanks"]
+    docs = spark.createDataFrame([(4 * i + i % 2, t, "en", "web") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = render_availability(spark, str(tmp_path))
+    assert found.count() == 7 and not [f for f in found.inputFiles() if "documents.parquet" in f]
+    got = {(r.doc_id, r.page): (r.status, r.score, r.key_unit, r.critical) for r in found.collect()}
+    assert got[0, 1] == ("SCORED", 0.0, True, True) and got[0, 2] == ("SCORED", 1.0, True, False)
+    assert got[5, 1] == ("NA", None, False, False) and got[8, 1] == ("SCORED", 1.0, True, False) and got[13, 1] == ("NA", None, False, False)
