@@ -92,9 +92,10 @@ def scoped(rows: DataFrame) -> DataFrame:
     """`rows` of worded requirements with the views and the whole view of their deck, once for each view of their scope:
     all pages if they name every page, the named pages that exist, else the whole deck. Each row carries the view of its
     scope alone, so the work on a deck grows with its length and not with its pages times it."""
-    wanted = F.flatten(F.transform("named", lambda n: F.filter("views", lambda v: v["scope"] == n)))
-    every = F.transform("views", lambda v: F.when(v["scope"].isNull(), F.col("whole")).otherwise(v))
-    chosen = rows.withColumn("chosen", F.when(F.col("every_page"), every).otherwise(wanted))
+    wanted = F.flatten(F.transform("named", lambda n: F.filter("views", lambda v: v["scope"].eqNullSafe(n))))
+    own = F.when(F.col("every_page"), F.col("views")).otherwise(wanted)
+    # objects without a page number are no page of their own: what would be held against them is held against the deck
+    chosen = rows.withColumn("chosen", F.transform(own, lambda v: F.when(v["scope"].isNull(), F.col("whole")).otherwise(v)))
     view = F.explode(F.when(F.size("chosen") > 0, F.col("chosen")).otherwise(F.array("whole")))
     return chosen.select("deck", "ord", "needed", "needle", "marks", "negative", "critical", view.alias("view"))
 

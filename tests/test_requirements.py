@@ -68,6 +68,14 @@ def test_a_page_is_all_that_travels_for_it(spark):
     assert got == {**{(1, p): (1.0, p, f"{p}:3") for p in range(1, 41)}, (2, 7): (1.0, 7, "7:4"), (3, None): (1.0, 1, "1:4")}
 
 
+def test_objects_without_a_page_are_held_against_the_deck(spark):
+    asked = [(1, 1, "every page cost", None), (1, 2, "page 99999999999999999999 page 2 cost", None), (1, 3, "page 2 cost", None)]
+    got = observed(spark, asked, [(1, None, 1, "a", "revenue"), (1, 1, 1, "b", "cost"), (1, 2, 1, "c", "north")])
+    assert {k: (r.coverage, r.page, r.object) for k, r in got.items()} == {
+        (1, None): (1.0, 1, "b"), (1, 1): (1.0, 1, "b"), (1, 2): (0.0, 2, None), (2, None): (1.0, 1, "b"), (2, 2): (0.0, 2, None), (3, 2): (0.0, 2, None),
+    }
+
+
 def test_observations_equal_plain_recall(spark):
     r = random.Random(5)
     word = lambda: r.choice(["revenue", "cost", "3.5", "40%", "north", "收入", "增长率", "ab", "a_b-c", "Growth,", str(r.randrange(30))])
