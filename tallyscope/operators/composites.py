@@ -77,14 +77,15 @@ RECOVERED = (
 )
 
 
-def reduce_graph(observations: DataFrame, by: Sequence[str], graph: Sequence[Reducer] = GRAPH) -> DataFrame:
+def reduce_graph(observations: DataFrame, by: Sequence[str], graph: Sequence[Reducer] = GRAPH, order: Sequence[str] = ()) -> DataFrame:
     """The group columns, reducer, status, score, uncapped_score, observability, least_observability, confidence,
     severity, n_units, n_scored: one row for each group and reducer that some observation feeds.
 
     `observations` has the columns of `operators.reduce` and metric and scope. An observation counts for every reducer
     that reads its metric; one that no reducer reads counts nowhere. A reducer with observations of another scope than its
     own is in ERROR and has no score. One without scored observations is NA, and so is a required one that was observed to
-    less than .60. least_observability is .60 or, of a reducer over a bounded sample that is complete, the share of
+    less than .60; at just .60 the sums in the order of the columns `order` tell, if any are named, and else it is scored.
+    least_observability is .60 or, of a reducer over a bounded sample that is complete, the share of
     importance sampled. Null groups are a group of their own; an empty table gives an empty result.
     """
     feeds: dict[str, list[str]] = {}
@@ -103,10 +104,11 @@ def reduce_graph(observations: DataFrame, by: Sequence[str], graph: Sequence[Red
         F.sum(F.when(scored, F.col("importance"))).alias("sampled"),
         F.count_if(~F.col("scope").eqNullSafe(own(lambda r: r.scope))).alias("n_misplaced"),
     )
+    per = R.observed_enough(per, routed, [*by, "reducer"], order)
     kind = own(lambda r: r.kind)
     raw = F.when(kind == PAGE, F.col("page")).when(kind == PAIR, F.col("pair")).otherwise(F.col("coverage"))
     required = own(lambda r: r.required)
-    missing = (F.col("n_scored") == 0) | (required & (F.col("observability") < R.LEAST_OBSERVABILITY - R.SUM_NOISE))
+    missing = (F.col("n_scored") == 0) | (required & ~F.col("enough"))
     status = F.when(F.col("n_misplaced") > 0, "ERROR").when(missing, "NA").otherwise("SCORED")
     capped = F.when(F.col("held"), F.least(raw, lit(R.CRITICAL_CAP))).otherwise(raw)
     sample = own(lambda r: r.sample or 0)

@@ -65,6 +65,23 @@ def has_critical() -> Column:
     )
 
 
+def observed_enough(found: DataFrame, observations: DataFrame, by: Sequence[str], order: Sequence[str] = (), least: float = LEAST_OBSERVABILITY) -> DataFrame:
+    """`found` (the group columns, observability: an aggregate of `observations`) with enough: whether a group was observed
+    to `least`.
+
+    Of a group at just `least` the sums of doubles tell by their order alone. Without `order` it is observed enough. With
+    it, its rows are summed anew in the order of those columns, as one that reads the table row by row sums them, however
+    they are dealt; only the rows of such groups are shuffled. A null group is compared as it was summed.
+    """
+    share = F.col("observability")
+    if not order:
+        return found.withColumn("enough", share >= least - SUM_NOISE)
+    near = found.where(F.abs(share - least) <= SUM_NOISE).select(*by)
+    rows = observations.join(near, list(by), "left_semi").repartition(*by).sortWithinPartitions(*by, *order)
+    again = rows.groupBy(*by).agg(observability().alias("in_order"))
+    return found.join(again, list(by), "left").withColumn("enough", F.coalesce("in_order", share) >= least).drop("in_order")
+
+
 def reduce_metric(
     observations: DataFrame,
     by: Sequence[str],
@@ -72,12 +89,13 @@ def reduce_metric(
     required: bool = True,
     cap: float = CRITICAL_CAP,
     least: float = LEAST_OBSERVABILITY,
+    order: Sequence[str] = (),
 ) -> DataFrame:
     """The group columns, status, score, uncapped_score, observability, confidence, severity, n_scored, n_missing.
 
     A group with nothing scored, or a required one observed to less than `least`, is NA; observed to just `least` it is
-    scored, in whatever order its rows are summed. A critical finding caps the score at `cap`; the uncapped score stays
-    beside it.
+    scored, in whatever order its rows are summed, or as they are summed in the order of the columns `order`, if any. A
+    critical finding caps the score at `cap`; the uncapped score stays beside it.
     """
     found = observations.groupBy(*by).agg(
         score.alias("raw"),
@@ -90,7 +108,8 @@ def reduce_metric(
     )
     missing = F.col("n_scored") == 0
     if required:
-        missing = missing | (F.col("observability") < least - SUM_NOISE)
+        found = observed_enough(found, observations, by, order, least)
+        missing = missing | ~F.col("enough")
     capped = F.when(F.col("held"), F.least(F.col("raw"), lit(cap))).otherwise(F.col("raw"))
     return found.select(
         *by,

@@ -85,7 +85,7 @@ reduced AS (
 @query("q83_reducer_graph", f"WITH {GRAPH_SQL} SELECT * FROM reduced")
 def reducer_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every reducer of every run, in one aggregation."""
-    return reduce_graph(deck_observations(spark, sf_dir), ["run"])
+    return reduce_graph(deck_observations(spark, sf_dir), ["run"], order=["event_id"])
 
 
 def _attributes_sql() -> str:
@@ -139,5 +139,5 @@ def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = deck_observations(spark, sf_dir)
     scene = F.element_at(F.array(*map(F.lit, SCENES)), (F.col("run") % 4 + 1).cast("int"))
     decks = observations(spark, sf_dir).select("run", scene.alias("scene")).distinct()
-    found = quality_attributes(decks, reduce_graph(obs, ["run"]), model_scores(spark, sf_dir), ["run"])
+    found = quality_attributes(decks, reduce_graph(obs, ["run"], order=["event_id"]), model_scores(spark, sf_dir), ["run"])
     return found.withColumns({c: F.round(F.col(c), 6) for c in ("rule_score", "model_score")})

@@ -77,7 +77,7 @@ ROUNDED = """SELECT run, metric, status, round(score, 6) AS score, round(uncappe
 
 
 def metrics(spark: SparkSession, sf_dir: str, score, required: bool = True) -> DataFrame:
-    return R.reduce_metric(observations(spark, sf_dir), ["run", "metric"], score, required)
+    return R.reduce_metric(observations(spark, sf_dir), ["run", "metric"], score, required, order=["event_id"])
 
 
 def rounded(df: DataFrame) -> DataFrame:

@@ -53,6 +53,37 @@ def test_what_is_observed_to_just_the_least_share_is_scored(spark):
         assert r.observability < 0.6 and (r.status, r.score) == ("SCORED", pytest.approx(0.9))
 
 
+def test_at_the_least_share_the_sums_in_the_given_order_tell(spark):
+    # 132 of 220 parts are 0.6; as doubles the sums give 0.5999999999999999 first to last, and 0.6 last to first
+    parts = [36, 96, 64, 24]
+    rows = [("r", *unit(0.9 if i < 2 else None, importance=k / 50), i, -i) for i, k in enumerate(parts)]
+    dealt = spark.createDataFrame(rows[::-1], OBS + ", at int, back int").repartition(3)
+    for order, status in (("at", "NA"), ("back", "SCORED")):
+        assert R.reduce_metric(dealt, ["run"], R.importance_coverage(), order=[order]).first().status == status
+
+
+def test_queries_at_the_least_share_equal_their_twins(spark, tmp_path):
+    import datetime
+
+    import duckdb
+
+    from tallyscope.queries import QUERIES, SQL
+
+    # runs that are observed to just 0.6: first those with a score, then those without, and the other way round
+    at, rows = datetime.datetime(2024, 1, 1), []
+    for run, (parts, places) in enumerate((([36, 96, 64, 24], (4, 5, 11, 12)), ([24, 64, 96, 36], (0, 1, 4, 5)), ([73, 0, 38, 1, 57, 12, 4], (4, 5, 6, 11, 12, 22, 23)))):
+        rows += [(1100 * run + place, at, run, "click", 50.0, f'{{"k": {k}}}') for k, place in zip(parts, places, strict=True)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame([(run, 0, "user", "said") for run in range(3)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    db = duckdb.connect()
+    for name in ("events", "conversations"):
+        db.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("q16_page_quality", "q18_importance_coverage", "q24_construct_mean", "q103_review_validation"):
+        got, twin = QUERIES[name](spark, str(tmp_path)), db.sql(SQL[name])
+        places = [twin.columns.index(c) for c in got.columns]
+        assert sorted(repr(tuple(r)) for r in got.collect()) == sorted(repr(tuple(r[i] for i in places)) for r in twin.fetchall()), name
+
+
 def test_critical_cap(spark):
     rows = [unit(0.9), unit(0.9), unit(0.9, key=True, severity="CRITICAL")]
     r = reduced(spark, rows, R.importance_coverage())
