@@ -55,7 +55,7 @@ def _number(v: Column) -> Column:
 
 def _text(v: Column) -> Column:
     """The text without blanks around it; null for another kind and for blanks alone."""
-    own = F.when(_kind(v) == "STRING", F.regexp_replace(F.try_variant_get(v, "$", "string"), r"^\s+|\s+$", ""))
+    own = F.when(_kind(v) == "STRING", F.trim(F.try_variant_get(v, "$", "string"), F.lit(" \t\n\x0b\f\r")))
     return F.when(own != "", own)
 
 
@@ -65,15 +65,16 @@ def _breach(broken: Column, code: str) -> Column:
 
 def _held(v: Column) -> Column:
     """The keys of a mapping; null for another kind."""
-    return F.json_object_keys(F.to_json(v))
+    return F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
 
 
 def _keys(held: Column, part: str) -> Column:
     """The codes of keys that lack or don't belong, of those `held`; of a value that is no mapping that alone."""
     needed, optional = KEYS[part]
     lead = f"{part}." if part else ""
-    lacks = F.transform(F.array_except(F.array(*map(F.lit, needed)), held), lambda k: F.concat(F.lit(lead), k, F.lit(": missing")))
-    odd = F.transform(F.array_except(held, F.array(*map(F.lit, (*needed, *optional)))), lambda k: F.concat(F.lit(lead), k, F.lit(": unknown")))
+    lacks = _codes(*[_breach(~F.array_contains(held, k), f"{lead}{k}: missing") for k in needed])
+    others = F.array_except(held, F.array(*map(F.lit, (*needed, *optional))))
+    odd = F.when(F.size(others) > 0, F.transform(others, lambda k: F.concat(F.lit(lead), k, F.lit(": unknown")))).otherwise(F.array().cast("array<string>"))
     return F.when(held.isNull(), F.array(F.lit(f"{part or 'response'}: no mapping"))).otherwise(F.concat(lacks, odd))
 
 
@@ -88,7 +89,8 @@ def _in_range(v: Column, key: str, code: str, most: float | None = 1.0) -> list[
 
 
 def _codes(*codes: Column) -> Column:
-    return F.filter(F.array(*codes), lambda c: c.isNotNull())
+    """Those that aren't null; they hold no line break. A filter by a lambda would not be compiled, nor what is in it."""
+    return F.array_remove(F.split(F.concat_ws("\n", *codes), "\n"), "")
 
 
 PARTS = ("model", "prompt", "usage", "evidence")
@@ -103,8 +105,7 @@ def _own_breaches(v: Column) -> Column:
     counts = [_breach(_has(usage, k) & ~_is_count(_part(usage, k)), f"usage.{k}: no count") for k in ("input_tokens", "output_tokens")]
     counts += [_breach(_given(_part(usage, k)) & ~_is_count(_part(usage, k)), f"usage.{k}: no count") for k in KEYS["usage"][1][:-1]]
     flag = _part(usage, "cost_known")
-    items = F.try_variant_get(evidence, "$", "array<variant>")
-    ids = F.filter(F.transform(items, lambda x: _text(_part(x, "evidence_id"))), lambda x: x.isNotNull())
+    ids = F.col("ids")
     known = F.col("prompt_id").isNotNull()
     another = ~(
         (_text(_part(prompt, "prompt_id")) == F.col("prompt_id")) & (_text(_part(prompt, "version")) == F.col("prompt_version")) & (F.lower(digest) == F.col("prompt_sha256"))
@@ -117,8 +118,8 @@ def _own_breaches(v: Column) -> Column:
             _breach(digest.isNotNull() & ~F.lower(digest).rlike("^[0-9a-f]{64}$"), "prompt.sha256: no digest"),
             _breach(known & another, "prompt: another one"),
             *counts, *_in_range(usage, "cost", "usage.cost", None), _breach(_given(flag) & (_kind(flag) != "BOOLEAN"), "usage.cost_known: no boolean"),
-            _breach(evidence.isNotNull() & items.isNull(), "evidence: no list"), _breach(F.size(items) == 0, "evidence: empty"),
-            _breach(F.size(F.array_distinct(ids)) < F.size(ids), "evidence.evidence_id: repeated"),
+            _breach(evidence.isNotNull() & ids.isNull(), "evidence: no list"), _breach(F.size(ids) == 0, "evidence: empty"),
+            _breach(F.size(F.array_distinct(F.array_compact(ids))) < F.size(F.array_compact(ids)), "evidence.evidence_id: repeated"),
         ),
     )
 
@@ -144,7 +145,7 @@ def _item_breaches(e: Column) -> Column:
             _breach(_given(thing) & ~_given(page).eqNullSafe(True), "evidence.object_id: without page"),
             _breach(_given(box) & no_box, "evidence.bbox: no box"), _breach(~no_box & outside, "evidence.bbox: out of range"),
             _breach(~no_box & ~outside & (wide | high), "evidence.bbox: beyond the slide"),
-            _breach(_has(e, "payload") & F.json_object_keys(F.to_json(_part(e, "payload"))).isNull(), "evidence.payload: no mapping"),
+            _breach(_has(e, "payload") & _held(_part(e, "payload")).isNull(), "evidence.payload: no mapping"),
         ),
     )
 
@@ -163,11 +164,14 @@ def breaches(responses: DataFrame, requests: DataFrame, pages: DataFrame, object
     # each step is a column of its own before it is used often, and codes are one before they are exploded: within an
     # expression of an explode nothing is shared, so every rule would take the text apart anew
     taken = read.withColumns({f"of_{p}": _part(F.col("v"), p) for p in PARTS}).withColumn("held", _held(F.col("v")))
-    taken = taken.withColumns({f"held_{p}": _held(F.col(f"of_{p}")) for p in PARTS[:3]})
+    ids = F.transform(F.try_variant_get("of_evidence", "$", "array<variant>"), lambda x: _text(_part(x, "evidence_id")))
+    taken = taken.withColumns({**{f"held_{p}": _held(F.col(f"of_{p}")) for p in PARTS[:3]}, "ids": ids})
     told = taken.select("response_id", F.array_distinct(_own_breaches(F.col("v"))).alias("codes"))
-    own = told.select("response_id", F.lit(None).cast("int").alias("place"), F.explode("codes").alias("code"))
-    items = read.select("response_id", "request_id", "slide_count", "visual", F.posexplode(F.try_variant_get("v", "$.evidence", "array<variant>")).alias("place", "e"))
-    items = items.withColumn("held", _held(F.col("e")))
+    # outer: below an explode Spark puts a filter on the size of its array, which would make all codes once more for each
+    # mention of them
+    own = told.select("response_id", F.lit(None).cast("int").alias("place"), F.explode_outer("codes").alias("code")).where("code is not null")
+    items = read.select("response_id", "request_id", "slide_count", "visual", F.posexplode_outer(F.try_variant_get("v", "$.evidence", "array<variant>")).alias("place", "e"))
+    items = items.where("place is not null").withColumn("held", _held(F.col("e")))
     page, uri, thing = (_part(F.col("e"), k) for k in ("page_number", "source_uri", "object_id"))
     items = items.select(
         "response_id", "request_id", "place", "visual", "slide_count", _item_breaches(F.col("e")).alias("codes"),
@@ -185,7 +189,8 @@ def breaches(responses: DataFrame, requests: DataFrame, pages: DataFrame, object
         _breach(F.col("uri").isNotNull() & F.col("has_uri").isNull(), "evidence.source_uri: unknown"),
         _breach(F.col("page").isNotNull() & F.col("object_id").isNotNull() & F.col("has_object").isNull(), "evidence.object_id: not on the page"),
     )
-    about = found.select("response_id", "place", F.array_distinct(F.concat("codes", absent)).alias("codes")).select("response_id", "place", F.explode("codes").alias("code"))
+    about = found.select("response_id", "place", F.array_distinct(F.concat("codes", absent)).alias("codes"))
+    about = about.select("response_id", "place", F.explode_outer("codes").alias("code")).where("code is not null")
     return own.unionByName(about)
 
 

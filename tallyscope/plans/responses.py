@@ -11,7 +11,7 @@ from tallyscope.functions.scores import round6
 from tallyscope.operators.contract import DECK_LEVEL, EDGE, KEYS, accepted, breaches, ground_scores
 from tallyscope.plans.observations import OBS, observations
 from tallyscope.plans.registry import query
-from tallyscope.sources.tables import spread
+from tallyscope.sources.tables import dealt
 
 SLIDES = 18
 PROMPT = hashlib.sha256(b"tallyscope").hexdigest()
@@ -98,9 +98,9 @@ listed AS (SELECT event_id, count(*) AS n, list_sort(list(code)) AS codes FROM t
 
 def responses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     """The responses and what the requests of the runs supplied: seen pages, the objects on them, known addresses."""
-    obs = spread(observations(spark, sf_dir))
+    obs = observations(spark, sf_dir)
     asked = F.concat_ws("/", F.col("run").cast("string"), "metric").alias("request_id")
-    bodies = obs.select(F.col("event_id").alias("response_id"), asked, F.expr(BODY).alias("body"))
+    bodies = dealt(obs, "event_id").select(F.col("event_id").alias("response_id"), asked, F.expr(BODY).alias("body"))
     own = obs.select("run", "metric").distinct()
     requests = own.select(
         asked, F.lit(SLIDES).alias("slide_count"), F.lit(True).alias("visual"), F.col("metric").alias("prompt_id"), F.lit("1").alias("prompt_version"), F.lit(PROMPT).alias("prompt_sha256")

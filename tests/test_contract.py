@@ -104,3 +104,12 @@ def test_codes_are_made_before_they_are_exploded(spark):
     )
     made = re.findall(r"Generate explode\((.*)", found._jdf.queryExecution().analyzed().toString())
     assert len(made) == 2 and all(m.startswith("codes#") for m in made)
+
+
+def test_no_filter_makes_the_codes_anew(spark):
+    responses = spark.createDataFrame([(1, 1, json.dumps(response(score=2)))], "response_id int, request_id int, body string")
+    requests = spark.createDataFrame([(1, 5, True, "a", "2", SHA)], "request_id int, slide_count int, visual boolean, prompt_id string, prompt_version string, prompt_sha256 string")
+    supplied = [spark.createDataFrame([], f"request_id int, {c}") for c in ("page int", "page int, object_id string", "uri string")]
+    plan = breaches(responses, requests, *supplied)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert filters and not [line for line in filters if "out of range" in line or "size(" in line]
