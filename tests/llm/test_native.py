@@ -91,6 +91,30 @@ def test_line_dedup(spark):
     assert kept[10] == "Home\nMe &amp; you" and kept[0] == "Text 0\nrare"
 
 
+def test_text_after_an_unclosed_script_is_read(spark, tmp_path):
+    import random
+    import time
+
+    import duckdb
+
+    from tallyscope.llm.queries import QUERIES, SQL
+
+    pages = ["<p>own</p><script>never <p>closed</p>", "<style><p>a</p><script>x</script><p>b</p><!-- y --><p>c</p>", "<p>a</p><!-- b <style>c</style> d <script>e", "<script " * 100_000 + "<p>end</p>"]
+    rng, parts = random.Random(5), ("<script>", "</script>", "<style>", "</style>", "<!--", "-->", "<p>", "a", "b ", "\n", "<scr", "ipt", "<scripted>", "<!-->")
+    pages += ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(1000)]
+    spark.createDataFrame([(i, f"http://h.test/{i}", x) for i, x in enumerate(pages)], PAGES).coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    db = duckdb.connect()
+    db.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    began = time.time()
+    found = QUERIES["op2_line_dedup"](spark, str(tmp_path))
+    got, twin = found.collect(), db.sql(SQL["op2_line_dedup"])
+    assert time.time() - began < 60
+    places = [twin.columns.index(c) for c in found.columns]
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr(tuple(r[i] for i in places)) for r in twin.fetchall())
+    n_lines = {r.page_id: r.n_lines for r in got}
+    assert [n_lines[i] for i in range(4)] == [3, 3, 2, 2]
+
+
 def test_unclosed_tags_are_text_and_cost_no_rescan(spark):
     import time
 
